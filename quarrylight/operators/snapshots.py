@@ -78,9 +78,9 @@ def diff_bucket(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _diff_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches), ignore_index=True) if batches else None
-    if rows is not None and len(rows):
-        yield diff_bucket(rows)
+    rows = [b for b in batches if len(b)]
+    if rows:
+        yield diff_bucket(pd.concat(rows, ignore_index=True))
 
 
 def snapshot_changes(
