@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import encode, language, leaks, rank_merge
+from quarrylight.llm import credentials, encode, language, leaks, rank_merge
 from quarrylight.runtime import table
 
 
@@ -15,6 +15,19 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("query_id", "generation_id", "path")
 
 
+def _credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.credentials(table(spark, sf_dir, "files"), table(spark, sf_dir, "chunks"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _credentials(spark, sf_dir).select("origin", "generation_id", "record_key", "line_no").distinct()
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that held credentials, with these masked."""
+    return _credentials(spark, sf_dir).where("redacted IS NOT NULL").select("origin", "generation_id", "record_key", "redacted").distinct()
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_texts(table(spark, sf_dir, "documents"))
 
@@ -52,6 +65,8 @@ def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found,
+    "p4_found": p4_found,
+    "p4_redacted": p4_redacted,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_items": p9_items,
