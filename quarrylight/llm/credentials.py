@@ -143,7 +143,7 @@ def value_features(t: str, kind: str) -> tuple[str, ...]:
         mixed = any(c.isupper() for c in t) and any(c.islower() for c in t)
         if n >= 20 and switch > 0.35 and mixed and _entropy(t) > 3.6:
             out.append("random-long")
-        elif n >= 16 and switch > 0.3 and mixed:
+        elif n >= 16 and mixed and (switch > 0.3 or switch * (n - 1) >= 5 and any(c.isdigit() for c in t[1:-3])):
             out.append("random")
         elif mixed and letters >= 6 and t[-1] in "0123456789*!#%$&" or re.search(r"[A-Za-zÀ-ÿ]{3,}.*\d{1,4}(?:[*!#$&]|%\d\d)?$", t) and re.search(r"[A-Z*!#$]", t):
             out.append("passwordlike")
@@ -381,7 +381,12 @@ def training_lines(count: int = 2400, seed: int = 5) -> list[tuple[str, str | No
             body = "\n".join(rand(64, alnum + "+/") for _ in range(5))
             name = pick(["PRIVATE KEY", "RSA PRIVATE KEY", "EC PRIVATE KEY", "PUBLIC KEY", "CERTIFICATE"])
             block = f"-----BEGIN {name}-----\n{body}\n-----END {name}-----"
-            out.append((styled("pem", block), block if "PRIVATE" in name else None))
+            mark = pick(["", "", "# ", "-- ", "    ", "// "])
+            shown = "\n".join(mark + x for x in block.split("\n"))[len(mark) :] if rng.random() < 0.8 else block.replace("\n", "\\n")
+            line = mark + shown if mark or rng.random() < 0.3 else styled("pem", shown)
+            if rng.random() < 0.15:
+                line, name = f"# header looks like -----BEGIN {name}----- and so on", "PUBLIC"
+            out.append((line, shown if "PRIVATE" in name else None))
         else:
             v = "-".join(rand(n, "0123456789abcdef") for n in (8, 4, 4, 4, 12))
             out.append((styled(pick(["user_id", "session_id", "doc_id", "trace", "node", "id"]), v), None))
