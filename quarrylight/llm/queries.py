@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import credentials, encode, language, leaks, rank_merge
+from quarrylight.llm import credentials, encode, handwritten, language, leaks, rank_merge
 from quarrylight.runtime import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, sf_dir, "files")).select("generation_id", "path").distinct()
+
+
+def p1_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label of every file with the probability that it is handwritten."""
+    return handwritten.beliefs(table(spark, sf_dir, "files"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_merge.top_candidates(
         table(spark, sf_dir, "repomap_entries"), table(spark, sf_dir, "search_hits"), table(spark, sf_dir, "ranking_queries")
@@ -64,6 +73,8 @@ def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_labels": p1_labels,
     "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_redacted": p4_redacted,
