@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.llm import credentials, encode, handwritten, language, leaks, rank_merge
+from quarrylight.llm.syntax import check as syntax
 from quarrylight.runtime import table
 
 
@@ -37,6 +38,14 @@ def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _credentials(spark, sf_dir).where("redacted IS NOT NULL").select("origin", "generation_id", "record_key", "redacted").distinct()
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.invalid_files(table(spark, sf_dir, "files")).select("generation_id", "path").distinct()
+
+
+def p7_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.invalid_rates(table(spark, sf_dir, "files"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_texts(table(spark, sf_dir, "documents"))
 
@@ -78,6 +87,8 @@ QUERIES = {
     "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_redacted": p4_redacted,
+    "p7_found": p7_found,
+    "p7_rates": p7_rates,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_items": p9_items,
