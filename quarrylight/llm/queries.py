@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import credentials, encode, handwritten, language, leaks, rank_merge
+from quarrylight.llm import credentials, encode, handwritten, language, leaks, rank_merge, scans
 from quarrylight.llm.syntax import check as syntax
 from quarrylight.runtime import table
 
@@ -38,6 +38,20 @@ def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _credentials(spark, sf_dir).where("redacted IS NOT NULL").select("origin", "generation_id", "record_key", "redacted").distinct()
 
 
+def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = table(spark, sf_dir, "document_nodes").select("id", "document_id", "node_type", "page_number", "raw_text", "ingested_at")
+    return scans.repair(nodes)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repaired(spark, sf_dir).select("id", F.explode("kinds").alias("kind"))
+
+
+def p6_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Continuous readable text of each damaged or wrapped body node."""
+    return _repaired(spark, sf_dir).select("id", "text")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.invalid_files(table(spark, sf_dir, "files")).select("generation_id", "path").distinct()
 
@@ -87,6 +101,8 @@ QUERIES = {
     "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_redacted": p4_redacted,
+    "p6_found": p6_found,
+    "p6_texts": p6_texts,
     "p7_found": p7_found,
     "p7_rates": p7_rates,
     "p8_ids": p8_ids,
