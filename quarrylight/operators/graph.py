@@ -43,7 +43,8 @@ def resolve_names(edges: DataFrame, symbols: DataFrame, scope: str = "generation
 
 def containing_symbol(points: DataFrame, symbols: DataFrame, scope: list[str]) -> DataFrame:
     """The smallest span of ``symbols`` (line_start, line_end, name) around each point (id, line)."""
-    pairs = points.join(symbols, scope).where(F.col("line").between(F.col("line_start"), F.col("line_end")))
+    spans = symbols.select(*scope, "name", "line_start", "line_end")
+    pairs = points.join(spans, scope).where(F.col("line").between(F.col("line_start"), F.col("line_end")))
     order = Window.partitionBy(*scope, "id", "line").orderBy(F.col("line_end") - F.col("line_start"), F.desc("line_start"), "name")
     return pairs.withColumn("nth", F.row_number().over(order)).where("nth = 1").select(*scope, "id", "line", "name", "line_start", "line_end")
 
@@ -164,7 +165,7 @@ def choose_map(entries: DataFrame, budget: int, *, focused: bool = False) -> Dat
 
     # Damped scores only fall along a directory, so this keeps every entry that the fold can reach.
     reachable = fits.withColumn("damped", F.col("score") / (1 + fall * (F.col("k") - 1))).orderBy(F.desc("damped"), "path").limit(max(1, budget))
-    return reachable.groupBy(F.lit(1)).applyInPandas(lambda k, f: fold(f), "path string, score double, position int, tokens int")
+    return reachable.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(lambda k, f: fold(f), "path string, score double, position int, tokens int")
 
 
 def impact(edges: DataFrame, target: str, depth: int = 3) -> DataFrame:

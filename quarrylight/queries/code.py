@@ -1,2 +1,205 @@
-QUERIES = {}
-ORACLE = {}
+"""Queries over source files: admission, extraction, search, graph, maps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarrylight.functions import text
+from quarrylight.operators import catalog, chunking, extract, graph, lexical
+from quarrylight.plans import lifecycle
+from quarrylight.runtime import cut, table
+from quarrylight.sources import admission
+
+SEARCHES = ("merge token", "limit")
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "files")
+
+
+def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest rows of each repository's active generation, as one tree per repository."""
+    active = catalog.active_generations(table(spark, sf_dir, "generations"))
+    rows = _files(spark, sf_dir).join(active.select("generation_id"), "generation_id", "left_semi")
+    return catalog.first_per(rows, ["generation_id", "path"], [F.desc("captured_at"), F.desc("content_hash")])
+
+
+def file_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(spark, sf_dir).select("path", admission.language_of(F.col("path")).alias("language")).distinct()
+
+
+def secret_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(spark, sf_dir).where(admission.holds_secret(F.col("text"))).select("generation_id", "path").distinct()
+
+
+def safe_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(spark, sf_dir).select("path", admission.is_safe(F.col("path")).alias("safe")).distinct()
+
+
+def binary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _files(spark, sf_dir).where("text IS NOT NULL").select(admission.is_binary(F.encode("text", "UTF-8")).alias("binary"))
+    return rows.groupBy("binary").agg(F.count("*").alias("n"))
+
+
+def admission_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = admission.admission(_files(spark, sf_dir).select("path", "size"))
+    return rows.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def import_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _files(spark, sf_dir).select("path", "size", F.col("content_hash").alias("checksum"), "generation_id").where("checksum IS NOT NULL")
+    rows = files.groupBy("path", "checksum").agg(F.min("size").alias("size"))
+    known = files.where("generation_id <= 10").select("checksum")
+    return admission.import_outcomes(rows, known).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+def test_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("path")
+    return _files(spark, sf_dir).select("path", text.looks_like_test(p).alias("is_test"), text.looks_like_test_in_search(p).alias("in_search"), text.bucket_of(p).alias("bucket"), text.top_directory(p).alias("top")).distinct()
+
+
+def file_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.histograms(_files(spark, sf_dir).select("path", "language"))
+
+
+def exact_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.exact_hits(_files(spark, sf_dir), "limit").distinct()
+
+
+def code_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search_code(table(spark, sf_dir, "chunks"), SEARCHES[0])
+
+
+def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "chunks").dropDuplicates(["generation_id", "id"])
+    return lexical.index_terms(chunks, ["path", "heading", "content"], ["generation_id", "id"]).groupBy("term").agg(F.count("*").alias("items"), F.sum("tf").alias("occurrences"))
+
+
+def code_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.code_chunks(_files(spark, sf_dir))
+
+
+def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.symbols(_files(spark, sf_dir))
+
+
+def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.edges(_files(spark, sf_dir))
+
+
+def relation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.edges(_files(spark, sf_dir)).groupBy("relation").agg(F.count("*").alias("n"))
+
+
+def resolved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _live(spark, sf_dir)
+    edges = extract.edges(files).withColumn("target_symbol_id", F.lit(None).cast("string"))
+    named = graph.resolve_names(edges, extract.symbols(files))
+    return named.groupBy("relation").agg(F.count("*").alias("n"), F.count("resolved_id").alias("resolved"))
+
+
+def file_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.file_links(_live(spark, sf_dir))
+
+
+def chunk_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = table(spark, sf_dir, "chunks").select("generation_id", "path", "id", F.col("line_start").alias("line")).distinct()
+    return graph.containing_symbol(points, extract.symbols(_live(spark, sf_dir)), ["generation_id", "path"])
+
+
+def file_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = cut(_live(spark, sf_dir).select("generation_id", "path", "language", "text", "content_hash"))
+    return graph.page_rank(files.select(F.col("path").alias("node")), lifecycle.file_links(files)).select(F.col("node").alias("path"), F.round("rank", 9).alias("rank"))
+
+
+def repository_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = cut(_live(spark, sf_dir))
+    return lifecycle.overview(files, "merge token", 2_000)
+
+
+def link_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers and customers within two steps of nation 7, over trade of lines and orders by nation."""
+    supplier, customer = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
+    edges = supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("source"), F.concat(F.lit("n"), "s_nationkey").alias("target"), F.lit(1.0).alias("weight")).unionByName(
+        customer.select(F.concat(F.lit("c"), "c_custkey").alias("source"), F.concat(F.lit("n"), "c_nationkey").alias("target"), F.lit(1.0).alias("weight"))
+    )
+    return graph.expand(edges, spark.createDataFrame([("s7",)], "node string"), 2)
+
+
+def impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = cut(lifecycle.file_links(_live(spark, sf_dir)))
+    target = links.groupBy("target").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "target").first()
+    return graph.impact(links, target["target"] if target else "none")
+
+
+def related_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = cut(_live(spark, sf_dir))
+    return graph.related_tests(files.select("path"), lifecycle.file_links(files))
+
+
+def generation_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.fingerprint(_files(spark, sf_dir))
+
+
+def chunk_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = catalog.first_per(_files(spark, sf_dir).select("generation_id", "path", "content_hash", "captured_at"), ["generation_id", "path"], [F.desc("captured_at"), F.desc("content_hash")])
+    chunks = table(spark, sf_dir, "chunks").select("id", "generation_id", "path").distinct()
+    return chunks.join(files, ["generation_id", "path"]).select("id", "generation_id", "path", "content_hash")
+
+
+def published_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = table(spark, sf_dir, "search_hits").select("query_id", "generation_id", F.col("path").alias("item_id")).distinct()
+    files = _files(spark, sf_dir).select(F.col("path").alias("id"), "generation_id")
+    active = catalog.active_generations(table(spark, sf_dir, "generations"))
+    return catalog.rehydrate(hits, files, active).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        file_languages, secret_files, safe_paths, binary_files, admission_reasons, import_outcomes, test_paths, file_histograms, exact_hits, code_search, index_terms, code_spans, symbols, relations, relation_counts,
+        resolved_names, file_links, chunk_symbols, file_ranks, repository_map, link_expansion, impact, related_tests, generation_fingerprints, chunk_hashes, published_hits,
+    )
+}
+
+_LANG = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in admission.LANGUAGES.items()) + "}"
+_NAME = "string_split(path, '/')[-1]"
+_LOCKS = ", ".join(f"'{x}'" for x in admission.LOCK_FILES)
+_SAFE = "(NOT regexp_matches(path, '^[/\\\\]|^[A-Za-z]:|(^|[/\\\\])\\.\\.([/\\\\]|$)') AND trim(path) <> '')"
+_IN = lambda xs: ", ".join(f"'{x}'" for x in xs)
+
+ORACLE = {
+    "file_languages": f"""SELECT DISTINCT path, CASE WHEN {_NAME} IN ('Dockerfile', 'Containerfile') THEN 'dockerfile' WHEN lower({_NAME}) IN ({_LOCKS}) THEN 'lockfile'
+  ELSE coalesce({_LANG}[lower(regexp_extract({_NAME}, '[^.]\\.([^.]+)$', 1))], 'text') END AS language FROM files""",
+    "secret_files": "SELECT DISTINCT generation_id, path FROM files WHERE regexp_matches(substr(text, 1, 256000), '" + "|".join(admission.SECRETS) + "')",
+    "safe_paths": f"SELECT DISTINCT path, {_SAFE} AS safe FROM files",
+    "admission_reasons": f"""
+WITH f AS (SELECT path, size, lower({_NAME}) AS name, lower(regexp_extract({_NAME}, '[^.]\\.([^.]+)$', 1)) AS ext, string_split(lower(path), '/')[1:-2] AS dirs FROM files)
+SELECT CASE WHEN NOT {_SAFE} THEN 'outside_source_root' WHEN list_has_any(dirs, [{_IN(admission.SKIPPED_DIRECTORIES)}]) THEN 'excluded_directory' WHEN name IN ({_IN(admission.ADMINISTRATIVE)}) THEN 'excluded_administrative_file'
+  WHEN starts_with(name, '~$') OR starts_with(name, '.~lock.') THEN 'excluded_sidecar_file' WHEN ext IN ({_IN(admission.ARCHIVES)}) THEN 'excluded_archive' WHEN ext IN ({_IN(admission.SIDECARS)}) THEN 'excluded_sidecar_file'
+  WHEN ext NOT IN ({_IN(admission.DOCUMENT_SUFFIXES)}) THEN 'unsupported_extension' WHEN size > 104857600 THEN 'file_too_large' END AS reason, count(*) AS n FROM f GROUP BY 1""",
+    "test_paths": """SELECT DISTINCT path, regexp_matches(lower(path), '(^|/)(tests?|__tests__)/|(^|/)test_[^/]*$|\\.(test|spec)\\.[^/]*$|_test\\.py$') AS is_test,
+  regexp_matches(lower(path), '(^|/)(tests|__tests__)/|\\.test\\.|\\.spec\\.') AS in_search,
+  array_to_string(string_split(path, '/')[1:CASE WHEN string_split(path, '/')[1] IN ('apps', 'packages') AND len(string_split(path, '/')) >= 6 THEN 5
+    WHEN string_split(path, '/')[1] IN ('apps', 'packages') AND len(string_split(path, '/')) >= 2 THEN least(4, len(string_split(path, '/')) - 1) ELSE 1 END], '/') AS bucket,
+  CASE WHEN contains(path, '/') THEN string_split(path, '/')[1] ELSE '.' END AS top FROM files""",
+    "file_histograms": """SELECT * FROM (SELECT 'language' AS what, language AS value, count(*) AS n FROM files GROUP BY language ORDER BY n DESC, value NULLS FIRST LIMIT 12)
+UNION ALL SELECT * FROM (SELECT 'directory' AS what, CASE WHEN contains(path, '/') THEN string_split(path, '/')[1] ELSE '.' END AS value, count(*) AS n FROM files GROUP BY 2 ORDER BY n DESC, value LIMIT 12)""",
+    "exact_hits": """SELECT DISTINCT generation_id, path, CAST((length(text) - length(replace(text, 'limit', ''))) // 5 AS BIGINT) AS occurrences, 5.0 + 0.05 * least((length(text) - length(replace(text, 'limit', ''))) // 5, 20) AS score,
+  CAST(len(string_split(substr(text, 1, instr(text, 'limit') - 1), chr(10))) AS INTEGER) AS line_no FROM files WHERE instr(text, 'limit') > 0""",
+    "index_terms": """
+WITH c AS (SELECT DISTINCT ON (generation_id, id) * FROM chunks), w AS (SELECT generation_id, id, unnest(list_transform(regexp_extract_all(concat_ws(' ', path, coalesce(heading, ''), coalesce(content, '')), '[\\p{L}\\p{N}_]+'), lambda x: lower(x))) AS term FROM c)
+SELECT term, count(*) AS items, CAST(sum(tf) AS BIGINT) AS occurrences FROM (SELECT generation_id, id, term, count(*) AS tf FROM w GROUP BY ALL) GROUP BY term""",
+    "link_expansion": """
+WITH RECURSIVE e AS (SELECT 's' || s_suppkey AS a, 'n' || s_nationkey AS b FROM supplier UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+walk AS (SELECT 's7' AS node, 0 AS distance UNION SELECT b, distance + 1 FROM walk JOIN both_ways ON a = node WHERE distance < 2)
+SELECT node, CAST(min(distance) AS INTEGER) AS distance FROM walk GROUP BY node""",
+    "chunk_hashes": """
+WITH f AS (SELECT generation_id, path, content_hash, row_number() OVER (PARTITION BY generation_id, path ORDER BY captured_at DESC, content_hash DESC NULLS LAST) AS n FROM files)
+SELECT DISTINCT c.id, c.generation_id, c.path, f.content_hash FROM chunks c JOIN f ON f.generation_id = c.generation_id AND f.path = c.path AND f.n = 1""",
+    "published_hits": """
+WITH h AS (SELECT DISTINCT query_id, generation_id, path FROM search_hits), a AS (SELECT max(generation_id) AS generation_id FROM generations WHERE state = 'active' GROUP BY repository_id), k AS (SELECT DISTINCT path, generation_id FROM files)
+SELECT CASE WHEN a.generation_id IS NULL THEN 'stale' WHEN k.path IS NULL THEN 'missing' ELSE 'accepted' END AS reason, count(*) AS n FROM h LEFT JOIN a USING (generation_id) LEFT JOIN k ON k.path = h.path AND k.generation_id = h.generation_id GROUP BY 1""",
+}

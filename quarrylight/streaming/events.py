@@ -17,7 +17,9 @@ LATE = "1 hour"
 
 
 def read_stream(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int = 8) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    # Watermarks need instants; times without a zone are taken as UTC.
+    return rows.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
 def distinct_events(stream: DataFrame, key: list[str], time: str = "ts") -> DataFrame:
