@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from quarrylight.functions.text import bucket_of, code_terms, looks_like_test, t
 from quarrylight.runtime import cut
 
 DAMPING, ITERATIONS, CUT_EVERY = 0.85, 30, 5
+#: Graphs up to this size are ranked in one task; larger ones by joins.
+ONE_TASK_NODES, ONE_TASK_LINKS = 1_000_000, 5_000_000
 #: Weight of a symbol kind; others weigh 0.5.
 SYMBOL_WEIGHTS = {"enum": 1.3, "function": 1.2, "method": 0.75, "table": 1.35, "view": 1.25, "heading": 0.45, "config_key": 0.18}
 MANIFESTS = ("readme.md", "agents.md", "pyproject.toml", "package.json", "cargo.toml", "go.mod", "docker-compose.yml", "docker-compose.yaml")
@@ -70,6 +74,26 @@ def expand(edges: DataFrame, seeds: DataFrame, depth: int, *, per_hop: int | Non
     return seen
 
 
+def _page_rank_in_one_task(nodes: DataFrame, links: DataFrame, iterations: int, damping: float) -> DataFrame:
+    """The same iteration over arrays, for graphs of proven small size."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches), ignore_index=True)
+        names = np.unique(rows.loc[rows["target"].isna(), "source"].to_numpy(dtype=str))
+        held = rows[rows["target"].notna()]
+        a, b = np.searchsorted(names, held["source"].to_numpy(dtype=str)), np.searchsorted(names, held["target"].to_numpy(dtype=str))
+        n = len(names)
+        degree = np.bincount(a, minlength=n)
+        rank = np.full(n, 1.0 / max(1, n))
+        for _ in range(iterations):
+            share = damping * rank / np.maximum(degree, 1)
+            rank = (1 - damping) / n + damping * rank[degree == 0].sum() / n + np.bincount(b, weights=share[a], minlength=n)
+        yield pd.DataFrame({"node": names, "rank": rank})
+
+    rows = nodes.select(F.col("node").alias("source"), F.lit(None).cast("string").alias("target")).unionByName(links.select("source", "target"))
+    return rows.coalesce(1).mapInPandas(run, "node string, rank double")
+
+
 def page_rank(nodes: DataFrame, edges: DataFrame, *, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
     """node and rank; mass of nodes without links is spread evenly, loops and repeated links are ignored."""
     links = edges.where("source <> target").select("source", "target").distinct()
@@ -78,7 +102,9 @@ def page_rank(nodes: DataFrame, edges: DataFrame, *, iterations: int = ITERATION
     out = links.groupBy("source").agg(F.count("*").alias("degree"))
     base = cut(ids.join(out.withColumnRenamed("source", "node"), "node", "left"))
     links = cut(links)
-    count = base.count()
+    count, many = base.count(), links.count()
+    if count <= ONE_TASK_NODES and many <= ONE_TASK_LINKS:
+        return _page_rank_in_one_task(ids, links, iterations, damping)
     ranks = base.withColumn("rank", F.lit(1.0 / max(1, count)))
     for i in range(iterations):
         given = ranks.where("degree IS NOT NULL").select(F.col("node").alias("source"), (F.lit(damping) * F.col("rank") / F.col("degree")).alias("share"))
