@@ -57,6 +57,7 @@ _JWT = re.compile(r"eyJ[\w\-]{8,}\.[\w\-]{8,}\.[\w\-]{8,}$")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
 _GROUPS = re.compile(r"[A-Z0-9]{4,8}(?:-[A-Z0-9]{4,8}){2,}$")
 _HEX = re.compile(r"(?:0x)?[0-9a-fA-F]+$")
+_CONSTANT = re.compile(r"[%$]?[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+%?$")
 _NUMBER = re.compile(r"[\d.,:/+\-%]+$|\d[\d.]*[a-z]{0,3}$")
 
 
@@ -135,6 +136,8 @@ def value_features(t: str, kind: str) -> tuple[str, ...]:
         out.append("groups")
     elif _NUMBER.match(t):
         out.append("number")
+    elif _CONSTANT.match(t):
+        out.append("constant")
     elif _HEX.match(t):
         out.append("hex-digest" if len(t) in (32, 40, 56, 64, 96, 128) else "hex")
     else:
