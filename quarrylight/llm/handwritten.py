@@ -205,7 +205,7 @@ def _leaves(files: DataFrame) -> DataFrame:
     copied = (
         pieces.join(spread_out.select("block", F.lit(1).alias("shared")), "block", "left")
         .groupBy("text_key", "language")
-        .agg(F.avg(F.coalesce("shared", F.lit(0))).alias("copied"))
+        .agg(F.avg(F.coalesce("shared", F.lit(0))).alias("copied"), F.count("shared").alias("shared_blocks"))
     )
     rows = rows.join(copied, ["text_key", "language"], "left")
     low = F.lower(F.array_join("parts", "/"))
@@ -214,7 +214,7 @@ def _leaves(files: DataFrame) -> DataFrame:
         name = _evidence(k, [(low.rlike(pattern), w) for pattern, w in FILE_NAMES.get(k, ())])
         score = F.lit(PRIOR[k]) + F.coalesce(F.col(f"t{k}"), F.lit(0.0)) + name
         if k == V:
-            score = score + F.when(F.col("copied") >= COPIED, F.lit(3.5)).otherwise(F.lit(0.0))
+            score = score + F.when(F.col("copied") >= COPIED, F.least(F.lit(9.0), 1.5 * F.col("shared_blocks"))).otherwise(F.lit(0.0))
         if k == B:
             score = score + F.when(F.col("language") == "lockfile", F.lit(5.0)).otherwise(F.lit(0.0))
         scores.append(score.alias(f"l{k}"))

@@ -39,7 +39,7 @@ def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = table(spark, sf_dir, "document_nodes").select("id", "document_id", "node_type", "page_number", "raw_text", "ingested_at")
+    nodes = table(spark, sf_dir, "document_nodes").select("id", "document_id", "node_type", "page_number", "raw_text", "metadata", "ingested_at")
     return scans.repair(nodes)
 
 
