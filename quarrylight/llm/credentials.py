@@ -28,15 +28,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.runtime import distinct_texts, spread
+from quarrylight.runtime import distinct_texts
 
 # ---- tokens ----------------------------------------------------------------
 
 _PEM = r"-----BEGIN [A-Z0-9 ]{0,40}?(?:PRIVATE KEY|PUBLIC KEY|CERTIFICATE|KEY BLOCK)[A-Z ]{0,20}-----.{40,20000}?-----END [A-Z0-9 ]{3,60}-----"
 #: A literal continued by another one: one value in several pieces.
-_CAT = r"[\w.+/~*!#%^&\-]{4,}=*(?:[\"'`][ \t]*[+.\\][ \t]*\r?\n?[ \t]*[\"'`][\w.+/~*!#%^&\-]{4,}=*)+(?=[\"'`])"
-_JOIN = re.compile(r"[\"'`][ \t]*[+.\\][ \t]*\r?\n?[ \t]*[\"'`]")
-_GOES_ON = re.compile(r"[\"'`][ \t]*[+.\\][ \t]*\r?$")
+_GLUE = r"[\"'`][ \t]*(?:[+.\\][ \t]*\r?\n?|\r?\n)[ \t]*(?:[+.][ \t]*)?[\"'`]"
+_CAT = rf"[\w.+/~*!#%^&\-]{{4,}}=*(?:{_GLUE}[\w.+/~*!#%^&\-]{{4,}}=*)+(?=[\"'`])"
+_JOIN = re.compile(_GLUE)
+_GOES_ON = re.compile(r"[\"'`][ \t]*(?:[+.\\][ \t]*)?\r?$")
+_FOLLOWS = re.compile(r"[ \t]*(?:[+.][ \t]*)?[\"'`]")
 _IS_NAME = re.compile(r"[\"'`]?\s*(?::(?!//)|=(?!=))")
 _TOKEN = re.compile(
     rf"(?P<pem>{_PEM})|(?P<cat>{_CAT})|(?P<word>[\w.+/~*!#%^&\-]+=*(?=[\"'`\s),;<>\\]|$)|[\w.+/~*!#%^&\-]+)|(?P<mark>[^\w\s])", re.S
@@ -430,10 +432,12 @@ def find_spans(text: str, field: Field, remembered: dict | None = None) -> list[
                 tail = text.find("\n", block.end())
                 end = n if tail < 0 else tail
                 line = text[at:end]
-        while _GOES_ON.search(line) and end < n:
+        last = at
+        while end < n and _FOLLOWS.match(text, end + 1) and _GOES_ON.search(text, max(last, end - 80), end):
+            last = end + 1
             tail = text.find("\n", end + 1)
             end = n if tail < 0 else tail
-            line = text[at:end]
+        line = text[at:end]
         if len(line) >= MIN_LENGTH and _QUICK.search(line):
             found = remembered.get(line) if remembered is not None else None
             if found is None:
@@ -494,7 +498,7 @@ def scan(texts: DataFrame) -> DataFrame:
             if rows:
                 yield pd.DataFrame(rows, columns=["text_key", "line_no", "start", "stop", "redacted"])
 
-    return spread(texts.select("text_key", "text")).mapInPandas(run, FOUND)
+    return texts.select("text_key", "text").mapInPandas(run, FOUND).dropDuplicates(["text_key", "start"])
 
 
 def _sources(files: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -512,6 +516,6 @@ def credentials(files: DataFrame, chunks: DataFrame) -> DataFrame:
     Each distinct text is scanned once; the narrow result is joined back.
     """
     rows = _sources(files, chunks)
-    found = scan(distinct_texts(rows, "text"))
+    found = scan(distinct_texts(rows, "text", salt="record_key"))
     keyed = rows.select("origin", "generation_id", "record_key", F.sha2("text", 256).alias("text_key")).distinct()
     return keyed.join(found, "text_key").drop("text_key")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.functions.paths import canonical_digest
-from quarrylight.runtime import cut, distinct_texts, spread
+from quarrylight.runtime import cut, distinct_texts
 
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
 H, G, M, V, B = range(5)
@@ -191,9 +191,9 @@ def _leaves(files: DataFrame) -> DataFrame:
         F.sha2("text", 256).alias("own_key"),
         parts.alias("parts"),
     ).withColumn("text_key", F.coalesce("own_key", "said_key")).drop("own_key", "said_key").distinct()
-    texts = distinct_texts(known.withColumn("language", F.coalesce("language", F.lit(""))), "text", "language")
+    texts = distinct_texts(known.withColumn("language", F.coalesce("language", F.lit(""))), "text", "language", salt="path")
     read = cut(
-        spread(texts).mapInPandas(_read, "text_key string, language string, " + ", ".join(f"t{k} double" for k in range(5)) + ", blocks array<long>")
+        texts.mapInPandas(_read, "text_key string, language string, " + ", ".join(f"t{k} double" for k in range(5)) + ", blocks array<long>").dropDuplicates(["text_key", "language"])
     )
     rows = rows.join(read.drop("blocks"), ["text_key", "language"], "left")
     # Share of a text's blocks that several repositories hold.

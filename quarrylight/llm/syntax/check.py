@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quarrylight.functions.paths import canonical_digest
 from quarrylight.llm.syntax.grammars import LANGUAGES, grammar
 from quarrylight.llm.syntax.lexers import BAD
-from quarrylight.runtime import distinct_texts, spread
+from quarrylight.runtime import distinct_texts
 
 #: Languages whose files are sequences of statements that blank lines may part.
 PIECEWISE = {"python", "javascript", "typescript", "toml", "sql", "shell"}
@@ -84,7 +84,7 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def rejected_texts(files: DataFrame) -> DataFrame:
     """text_key and language of every distinct text that is invalid in its language."""
     known = files.where(F.col("language").isin(*LANGUAGES))
-    return spread(distinct_texts(known, "text", "language")).mapInPandas(_judge, "text_key string, language string")
+    return distinct_texts(known, "text", "language", salt="path").mapInPandas(_judge, "text_key string, language string").distinct()
 
 
 def _keyed(files: DataFrame) -> DataFrame:
