@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.runtime import distinct_texts, spread
+from quarrylight.runtime import distinct_texts
 
 SYMBOL = "text_key string, language string, name string, qualified_name string, kind string, line_start int, line_end int"
 EDGE = "text_key string, language string, source_name string, relation string, target_name string, line int, confidence double"
@@ -202,7 +202,7 @@ def _run(which: int, columns: list[str]):
 
 
 def _texts(files: DataFrame) -> DataFrame:
-    return spread(distinct_texts(files.where("language IS NOT NULL"), "text", "language"))
+    return distinct_texts(files.where("language IS NOT NULL"), "text", "language", salt="path")
 
 
 def _rows(files: DataFrame) -> DataFrame:
@@ -212,7 +212,7 @@ def _rows(files: DataFrame) -> DataFrame:
 def symbols(files: DataFrame) -> DataFrame:
     """Symbols of every file; each distinct text is read once, so unchanged files are not extracted again."""
     columns = [c.split()[0] for c in SYMBOL.split(", ")]
-    found = _texts(files).mapInPandas(_run(0, columns), SYMBOL)
+    found = _texts(files).mapInPandas(_run(0, columns), SYMBOL).distinct()
     rows = _rows(files).join(found, ["text_key", "language"])
     identity = F.concat_ws("\x00", F.col("generation_id").cast("string"), "path", "qualified_name", "kind", F.col("line_start").cast("string"))
     return rows.select("generation_id", "path", "language", "name", "qualified_name", "kind", "line_start", "line_end", F.concat(F.lit("symbol_"), F.sha2(identity, 256)).alias("id"))
@@ -220,5 +220,5 @@ def symbols(files: DataFrame) -> DataFrame:
 
 def edges(files: DataFrame) -> DataFrame:
     columns = [c.split()[0] for c in EDGE.split(", ")]
-    found = _texts(files).mapInPandas(_run(1, columns), EDGE)
+    found = _texts(files).mapInPandas(_run(1, columns), EDGE).distinct()
     return _rows(files).join(found, ["text_key", "language"]).select("generation_id", F.col("path").alias("source_path"), "source_name", "relation", "target_name", "line", "confidence")

@@ -49,30 +49,44 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
-def spread(df: DataFrame, *keys, factor: int = 3) -> DataFrame:
-    """Give Python stages enough partitions.
+#: Estimated bytes of a plan's output that one task of a Python stage takes.
+BYTES_PER_TASK = 64 << 20
+_WIDE = ("Aggregate", "Join", "Window", "Distinct", "Sort ", "Repartition", "Deduplicate")
+
+
+def partitions_for(df: DataFrame, factor: int = 3) -> int:
+    """Partitions that keep all cores busy and hold a bounded part of the plan's estimated size."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    # Estimates multiply over joins; one that no input can have says nothing.
+    tasks = size // BYTES_PER_TASK if size < 1 << 50 else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(parallelism(df.sparkSession) * factor, tasks)
+
+
+def spread(df: DataFrame, factor: int = 3) -> DataFrame:
+    """Give a Python stage enough partitions.
 
     A scan that already yields one split per core is left alone; a smaller one
-    (few row groups) is redistributed, by ``keys`` if given.
+    (few row groups), or the few coalesced partitions of an aggregation, are
+    redistributed.
     """
-    want = parallelism(df.sparkSession) * factor
-    if not keys and df.rdd.getNumPartitions() >= want:
+    want = partitions_for(df, factor)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if not any(w in plan for w in _WIDE) and df.rdd.getNumPartitions() >= parallelism(df.sparkSession):
         return df
-    return df.repartition(want, *keys)
+    return df.repartition(want)
 
 
-def distinct_texts(df: DataFrame, text: str, *others: str) -> DataFrame:
-    """Each distinct (others, text) once, with ``text_key``, its SHA-256.
+def distinct_texts(df: DataFrame, text: str, *others: str, salt: str, salts: int = 4) -> DataFrame:
+    """The distinct texts of ``df`` (others, text) with ``text_key``, their SHA-256, in one shuffle.
 
-    The aggregation is partial before the shuffle, so a text held by a third of
-    all rows leaves each input split once.
+    Copies under one ``salt`` value meet in one task and leave one; a text held
+    by a third of all rows is spread over ``salts`` tasks and may come once from
+    each, so results are to be made distinct by their key.
     """
-    return (
-        df.where(F.col(text).isNotNull())
-        .select(*others, F.col(text).alias("text"))
-        .distinct()
-        .withColumn("text_key", F.sha2(F.col("text"), 256))
+    rows = df.where(F.col(text).isNotNull()).select(
+        *others, F.col(text).alias("text"), F.sha2(F.col(text), 256).alias("text_key"), F.pmod(F.xxhash64(salt), F.lit(salts)).alias("_salt")
     )
+    return rows.repartition(partitions_for(rows), "text_key", "_salt").distinct().drop("_salt")
 
 
 def data_home() -> str:
