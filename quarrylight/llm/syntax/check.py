@@ -13,6 +13,7 @@ once.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,14 +28,14 @@ from quarrylight.runtime import distinct_texts
 #: Languages whose files are sequences of statements that blank lines may part.
 PIECEWISE = {"python", "javascript", "typescript", "toml", "sql", "shell"}
 _OPEN, _CLOSE = {"(", "[", "{", "${", "`start"}, {")", "]", "}", "}$", "`end"}
-MAX_REMEMBERED = 50_000
+MAX_REMEMBERED = 500_000
 
 
 class Checker:
     """Verdicts of one worker; remembers token shapes it has parsed."""
 
     def __init__(self) -> None:
-        self.remembered: dict[tuple, bool] = {}
+        self.remembered: dict[bytes, bool] = {}
 
     def valid(self, text: str, language: str) -> bool:
         lex, dialects = LANGUAGES[language]
@@ -63,14 +64,14 @@ class Checker:
         return [(kinds[a:b], fresh[a:b]) for a, b in zip(cuts, cuts[1:]) if b > a]
 
     def _accepted(self, kinds: list[str], fresh: list[bool], language: str, dialects: tuple[str, ...]) -> bool:
-        key = (language, tuple(kinds), tuple(fresh))
+        shape = "\x00".join((language, *kinds)).encode() + b"\x01" + bytes(fresh)
+        key = hashlib.blake2b(shape, digest_size=16).digest()
         found = self.remembered.get(key)
         if found is None:
             found = any(grammar(d).parse(kinds, fresh or None) < 0 for d in dialects)
-            if len(kinds) < 2000:
-                if len(self.remembered) >= MAX_REMEMBERED:
-                    self.remembered.clear()
-                self.remembered[key] = found
+            if len(self.remembered) >= MAX_REMEMBERED:
+                self.remembered.clear()
+            self.remembered[key] = found
         return found
 
 
