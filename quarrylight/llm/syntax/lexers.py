@@ -61,7 +61,7 @@ _F_PREFIX = r"(?:[fFtT][rR]?|[rR][fFtT])"
 #: Between the braces of a formatted string anything may stand, quotes and line ends included.
 _F_BODY = r"(?:[^%s\\\n{]|\\.|\{\{|\{(?:[^{}]|\{[^{}]*\})*\})*"
 _PY = re.compile(
-    rf"(?P<space>[ \t\f]+|\\\r?\n|#[^\n]*)|(?P<NL>\r?\n)|(?P<STR>{_F_PREFIX}(?:\"{_F_BODY % '\"'}\"(?!\")|'{_F_BODY % "'"}'(?!'))|{_PREFIX}(?:\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'))"
+    rf"(?P<space>[ \t\f]+|\\\r?\n|#[^\n]*)|(?P<NL>\r?\n)|(?P<STR>{_F_PREFIX}(?:(?!\"\"\")\"{_F_BODY % '\"'}\"(?!\")|(?!''')'{_F_BODY % "'"}'(?!'))|{_PREFIX}(?:\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*'''|(?!\"\"\")\"(?:[^\"\\\n]|\\.)*\"|(?!''')'(?:[^'\\\n]|\\.)*'))"
     r"|(?P<NUM>(?:0[xX](?:_?[\da-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:\d(?:_?\d)*)?\.\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?|\d(?:_?\d)*\.?(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?))(?![\w])"
     r"|(?P<word>[^\W\d]\w*)|(?P<mark>\*\*=|//=|>>=|<<=|\.\.\.|->|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|==|!=|<=|>=|<<|>>|\*\*|//|[-+*/%@&|^~<>()\[\]{},:.;=])|(?P<bad>.)",
     re.S,
