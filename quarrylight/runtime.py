@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 from pathlib import Path
 
@@ -17,6 +18,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever the driver was started.
+
+    Executors on this machine find it in its folder; on a cluster they are sent
+    an archive of it.
+    """
+    sc = spark.sparkContext
+    home = str(Path(__file__).resolve().parents[1])
+    paths = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if home not in paths:
+        sc.environment["PYTHONPATH"] = os.pathsep.join([home, *filter(None, paths)])
+    if not sc.master.startswith("local") and not getattr(sc, "_quarrylight_sent", False):
+        folder = tempfile.mkdtemp()
+        sc.addPyFile(shutil.make_archive(f"{folder}/quarrylight", "zip", home, "quarrylight"))
+        sc._quarrylight_sent = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster.
 
