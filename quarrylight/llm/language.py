@@ -47,6 +47,8 @@ CELLS, HASHES = 1 << 21, 2
 SHARE = 0.35
 MIN_WORDS, MIN_LETTERS = 5, 20
 MIN_RATE, MIN_MARGIN = 0.72, 0.10
+#: Confidence of the surest full sentence from which a further language of a text counts.
+SECOND_CONFIDENCE = 0.93
 
 _SENTENCE = re.compile(r"[^.!?…;\n。]+[.!?…;。]*")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -288,21 +290,22 @@ def segments(docs: DataFrame, held: LanguageFilter) -> DataFrame:
 def languages(marked: DataFrame) -> DataFrame:
     """doc_id, label, lang, sentences, chars and confidence of each language of each document.
 
-    A language counts if a full sentence is in it, or if it is the only one of
-    the document.
+    The language of most text counts; a further one does if a full sentence is
+    surely in it, since neighbouring languages share many short sentences.
     """
     each = marked.select("doc_id", "label", F.explode("segments").alias("s")).select("doc_id", "label", "s.*")
     per = each.groupBy("doc_id", "label", "lang").agg(
         F.sum(F.col("full").cast("int")).alias("sentences"),
         F.sum(F.col("end") - F.col("start")).alias("chars"),
         F.avg("confidence").alias("confidence"),
+        F.max(F.when(F.col("full"), F.col("confidence"))).alias("surest"),
     )
     doc = Window.partitionBy("doc_id", "label")
     return (
         per.withColumn("most", F.max("sentences").over(doc))
         .withColumn("rank", F.row_number().over(doc.orderBy(F.desc("chars"), "lang")))
-        .where("sentences > 0 OR (most = 0 AND rank = 1)")
-        .drop("most", "rank")
+        .where((F.col("rank") == 1) & ((F.col("sentences") > 0) | (F.col("most") == 0)) | (F.col("sentences") > 0) & (F.col("surest") >= SECOND_CONFIDENCE))
+        .drop("most", "rank", "surest")
     )
 
 
