@@ -137,7 +137,7 @@ def text_evidence(text: str, language: str | None) -> list[float]:
     return score
 
 
-MIN_BLOCK = 80
+MIN_BLOCK = 45
 #: Share of blocks held by several repositories from which a text counts as a copy.
 COPIED = 0.7
 _MARKS = re.compile(r"^(?:\s*(?:/\*.*?\*/|<!--.*?-->|(?://|#|--)[^\n]*(?:\n|$)))+", re.S)
