@@ -94,6 +94,29 @@ def _page_rank_in_one_task(nodes: DataFrame, links: DataFrame, iterations: int,
     return rows.coalesce(1).mapInPandas(run, "node string, rank double")
 
 
+def traverse(edges: DataFrame, root: str, *, direction: str = "dependencies", depth: int = 3, relations: list[str] | None = None, most: int = 200) -> DataFrame:
+    """Symbols reached from ``root`` with their distance, the nearest first; at most ``most``.
+
+    ``edges``: source, target, relation. callees and dependencies follow edges,
+    callers and dependents go against them, both does either.
+    """
+    held = edges.where(F.col("relation").isin(*relations)) if relations else edges
+    if direction in ("callers", "callees"):
+        held = held.where("relation = 'calls'")
+    along = held.select(F.col("source").alias("node"), F.col("target").alias("next"))
+    against = held.select(F.col("target").alias("node"), F.col("source").alias("next"))
+    steps = {"dependencies": along, "callees": along, "dependents": against, "callers": against, "both": along.unionByName(against)}[direction].distinct()
+    seen = edges.sparkSession.createDataFrame([(root, 0)], "node string, distance int")
+    frontier = seen
+    for hop in range(1, depth + 1):
+        fresh = frontier.select("node").join(steps, "node").select(F.col("next").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
+        frontier = cut(fresh.withColumn("distance", F.lit(hop)))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen.where("distance > 0").orderBy("distance", "node").limit(most)
+
+
 def page_rank(nodes: DataFrame, edges: DataFrame, *, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
     """node and rank; mass of nodes without links is spread evenly, loops and repeated links are ignored."""
     links = edges.where("source <> target").select("source", "target").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.functions import text
-from quarrylight.operators import catalog, chunking, extract, graph, lexical
+from quarrylight.operators import catalog, chunking, config, extract, graph, lexical
 from quarrylight.plans import lifecycle
 from quarrylight.runtime import cut, table
 from quarrylight.sources import admission
@@ -155,11 +155,30 @@ def published_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.rehydrate(hits, files, active).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def flat_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return config.flat_config(_files(spark, sf_dir))
+
+
+def landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return config.landmarks(_files(spark, sf_dir))
+
+
+def repeated_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return config.duplicate_ids(table(spark, sf_dir, "chunks"), ["generation_id", "id"])
+
+
+def order_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers that share a nation with supplier 7, as a walk over two relations."""
+    supplier = table(spark, sf_dir, "supplier")
+    a = supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("source"), F.concat(F.lit("n"), "s_nationkey").alias("target"), F.lit("in").alias("relation"))
+    return graph.traverse(a, "s7", direction="both", depth=2, relations=["in"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         file_languages, secret_files, safe_paths, binary_files, admission_reasons, import_outcomes, test_paths, file_histograms, exact_hits, code_search, index_terms, code_spans, symbols, relations, relation_counts,
-        resolved_names, file_links, chunk_symbols, file_ranks, repository_map, link_expansion, impact, related_tests, generation_fingerprints, chunk_hashes, published_hits,
+        resolved_names, file_links, chunk_symbols, file_ranks, repository_map, link_expansion, impact, related_tests, generation_fingerprints, chunk_hashes, published_hits, flat_configs, landmarks, repeated_chunks, order_traversal,
     )
 }
 
@@ -196,6 +215,14 @@ WITH RECURSIVE e AS (SELECT 's' || s_suppkey AS a, 'n' || s_nationkey AS b FROM
 both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 walk AS (SELECT 's7' AS node, 0 AS distance UNION SELECT b, distance + 1 FROM walk JOIN both_ways ON a = node WHERE distance < 2)
 SELECT node, CAST(min(distance) AS INTEGER) AS distance FROM walk GROUP BY node""",
+    "landmarks": f"""SELECT generation_id, path, role, CAST(n AS INTEGER) AS rank FROM (SELECT generation_id, path, CASE WHEN b THEN 'test' WHEN a THEN 'entry_or_manifest' ELSE 'source' END AS role,
+  row_number() OVER (PARTITION BY generation_id ORDER BY NOT a, b, path) AS n FROM (SELECT DISTINCT generation_id, path, lower({_NAME}) IN ({_IN(config.PREFERRED)}) AS a,
+  regexp_matches(lower(path), '(^|/)(tests?|__tests__)/|(^|/)test_[^/]*$|\\.(test|spec)\\.[^/]*$|_test\\.py$') AS b FROM files)) WHERE n <= 20""",
+    "repeated_chunks": "SELECT generation_id, id, count(*) AS n FROM chunks GROUP BY ALL HAVING count(*) > 1",
+    "order_traversal": """
+WITH RECURSIVE e AS (SELECT 's' || s_suppkey AS a, 'n' || s_nationkey AS b FROM supplier), w AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+walk AS (SELECT 's7' AS node, 0 AS distance UNION SELECT b, distance + 1 FROM walk JOIN w ON a = node WHERE distance < 2), m AS (SELECT node, CAST(min(distance) AS INTEGER) AS distance FROM walk GROUP BY node)
+SELECT node, distance FROM m WHERE distance > 0 ORDER BY distance, node LIMIT 200""",
     "chunk_hashes": """
 WITH f AS (SELECT generation_id, path, content_hash, row_number() OVER (PARTITION BY generation_id, path ORDER BY captured_at DESC, content_hash DESC NULLS LAST) AS n FROM files)
 SELECT DISTINCT c.id, c.generation_id, c.path, f.content_hash FROM chunks c JOIN f ON f.generation_id = c.generation_id AND f.path = c.path AND f.n = 1""",

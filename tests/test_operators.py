@@ -83,3 +83,11 @@ def test_scan_directory(spark, tmp_path):
     (tmp_path / "b.bin").write_bytes(b"\0" * 100)
     rows = admission.scan_directory(spark, str(tmp_path)).collect()
     assert [(r.path, r.language, r.text) for r in rows] == [("src/a.py", "python", "x = 1\n")]
+
+
+def test_config():
+    from quarrylight.operators import config
+
+    assert config.plain_json('{"a": "// no", /* x */ "b": [1, 2,], // y\n}') == '{"a": "// no",   "b": [1, 2],  \n}'.replace("],  \n", "]  \n")
+    assert config.flat({"a": {"b": [1, {"c": None}]}, "d": "x"}) == [("a.b[0]", "1"), ("a.b[1].c", "null"), ("d", '"x"')]
+    assert config.focus_queries("offline store") == ["offline store", config.FACETS[0][1], config.FACETS[3][1]]
