@@ -229,4 +229,12 @@ SELECT DISTINCT c.id, c.generation_id, c.path, f.content_hash FROM chunks c JOIN
     "published_hits": """
 WITH h AS (SELECT DISTINCT query_id, generation_id, path FROM search_hits), a AS (SELECT max(generation_id) AS generation_id FROM generations WHERE state = 'active' GROUP BY repository_id), k AS (SELECT DISTINCT path, generation_id FROM files)
 SELECT CASE WHEN a.generation_id IS NULL THEN 'stale' WHEN k.path IS NULL THEN 'missing' ELSE 'accepted' END AS reason, count(*) AS n FROM h LEFT JOIN a USING (generation_id) LEFT JOIN k ON k.path = h.path AND k.generation_id = h.generation_id GROUP BY 1""",
+    "generation_fingerprints": """
+WITH r AS (SELECT DISTINCT generation_id, path, content_hash, git_status FROM files), h AS (SELECT generation_id, sha256(concat_ws(chr(0), path, content_hash, coalesce(git_status, ''))) AS d FROM r)
+SELECT generation_id, sha256(CAST(sum(CAST('0x' || substr(d, 1, 15) AS BIGINT)::HUGEINT) AS VARCHAR) || ':' || CAST(sum(CAST('0x' || substr(d, 16, 15) AS BIGINT)::HUGEINT) AS VARCHAR) || ':' || count(*)) AS fingerprint FROM h GROUP BY generation_id""",
+    "import_outcomes": f"""
+WITH f AS (SELECT path, content_hash AS checksum, min(size) AS size, lower({_NAME}) AS name, lower(regexp_extract({_NAME}, '[^.]\\.([^.]+)$', 1)) AS ext, string_split(lower(path), '/')[1:-2] AS dirs FROM files WHERE content_hash IS NOT NULL GROUP BY path, content_hash),
+m AS (SELECT *, NOT {_SAFE} OR list_has_any(dirs, [{_IN(admission.SKIPPED_DIRECTORIES)}]) OR name IN ({_IN(admission.ADMINISTRATIVE)}) OR ext NOT IN ({_IN(admission.DOCUMENT_SUFFIXES)}) OR size > 104857600 AS skipped FROM f),
+k AS (SELECT DISTINCT content_hash AS checksum FROM files WHERE generation_id <= 10 AND content_hash IS NOT NULL), p AS (SELECT checksum, min(path) AS first_path FROM m WHERE NOT skipped GROUP BY checksum)
+SELECT CASE WHEN skipped THEN 'skipped' WHEN k.checksum IS NOT NULL OR path <> first_path THEN 'deduplicated' ELSE 'created' END AS outcome, count(*) AS n FROM m LEFT JOIN k USING (checksum) LEFT JOIN p USING (checksum) GROUP BY 1""",
 }

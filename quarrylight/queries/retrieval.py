@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.functions.text import fold_accents
+from quarrylight.functions.text import ANSWER_STOPWORDS, fold_accents
 from quarrylight.operators import evaluation, fusion, lexical, packing, vectors
 from quarrylight.plans import lifecycle
 from quarrylight.runtime import cut, table
@@ -226,4 +226,13 @@ SELECT doc_id, index, round(s / size, 6) AS value FROM p JOIN z USING (doc_id) W
 WITH a AS (SELECT event_type, CAST(day(ts) AS INTEGER) AS day, avg(value) AS v FROM events WHERE user_id % 2 = 0 GROUP BY ALL), b AS (SELECT event_type, CAST(day(ts) AS INTEGER) AS day, avg(value) AS v FROM events WHERE user_id % 2 = 1 GROUP BY ALL)
 SELECT event_type, day, round(coalesce(b.v, 0) - coalesce(a.v, 0), 6) AS delta FROM a FULL JOIN b USING (event_type, day)""",
     "run_history": "SELECT repository_id, generation_id, schema_version, lag(generation_id) OVER (PARTITION BY repository_id ORDER BY generation_id) AS previous FROM generations",
+    "vector_norms": "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS norm, round(list_cosine_similarity(CAST(embedding[1:32] AS DOUBLE[]), CAST(embedding[1:32] AS DOUBLE[])), 5) AS half FROM embeddings",
+    "facet_fusion": _BM25
+    + """, h AS (SELECT query_id - 1 AS facet, coalesce(source, '') AS path, min(rank) AS rank, max(score) AS score FROM bm25_top JOIN documents USING (doc_id) GROUP BY ALL)
+SELECT path, round(sum((CASE WHEN facet = 0 AND (SELECT count(DISTINCT facet) FROM h) > 1 THEN 0.85 ELSE 1.0 END) / (10 + rank)), 9) AS fused, count(*) AS appearances, max(score) AS best FROM h GROUP BY path""",
+    "answer_relevance": """
+WITH t AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(strip_accents(lower(coalesce(question, ''))), '[\\p{L}\\p{N}_\\-]+')) AS a, list_distinct(regexp_extract_all(strip_accents(lower(coalesce(expected_answer, ''))), '[\\p{L}\\p{N}_\\-]+')) AS e FROM golden_cases),
+f AS (SELECT query_id, list_filter(a, lambda w: length(w) > 2 AND NOT regexp_matches(w, '^[0-9]+$') AND NOT list_contains(%s, w)) AS a, list_filter(e, lambda w: length(w) > 2 AND NOT regexp_matches(w, '^[0-9]+$') AND NOT list_contains(%s, w)) AS e FROM t)
+SELECT query_id, round(len(list_intersect(e, a)) / greatest(len(e), 1), 3) AS relevance FROM f"""
+    % (list(ANSWER_STOPWORDS), list(ANSWER_STOPWORDS)),
 }

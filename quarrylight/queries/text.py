@@ -191,4 +191,12 @@ FROM (SELECT item_id, list_distinct({_TOKENS.format('question')}) AS q, {_TOKENS
     "transcripts": """SELECT len(list_filter(l, lambda x: regexp_matches(x, '^\\s*\\[?([0-9]{1,2}:)?[0-9]{1,2}:[0-9]{2}([.,][0-9]+)?\\]?'))) > 0
   OR (len(l) >= 8 AND len(list_filter(l, lambda x: length(x) <= 180)) >= 0.8 * len(l)) AS transcript, count(*) AS n
 FROM (SELECT list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents WHERE text IS NOT NULL) GROUP BY ALL""",
+    "question_languages": f"""
+WITH w AS (SELECT item_id, lower(question) AS low, regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}_\\-]+') AS words FROM golden_cases),
+s AS (SELECT item_id, low, len(list_filter(words, lambda x: x IN ({", ".join(f"'{x}'" for x in routing.SPANISH)}))) + (len(list_filter(words, lambda x: regexp_matches(x, '(ción|ciones|mente|idad|ario|aria)$'))) > 0)::INT AS es,
+  len(list_filter(words, lambda x: x IN ({", ".join(f"'{x}'" for x in routing.ENGLISH)}))) AS en FROM w)
+SELECT item_id, CASE WHEN regexp_matches(low, '[áéíóúñ¿¡]') THEN 'es' WHEN es >= en THEN 'es' ELSE 'en' END AS language FROM s""",
+    "title_numbers": """SELECT doc_id, CAST(CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END AS BIGINT) AS number
+FROM (SELECT doc_id, CAST(CAST('0x' || substr(sha256(title), 49, 16) AS UBIGINT) AS HUGEINT) AS u FROM documents WHERE title IS NOT NULL)""",
+    "folded_titles": "SELECT doc_id, strip_accents(lower(title)) AS folded FROM documents WHERE title IS NOT NULL",
 }
