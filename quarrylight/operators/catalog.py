@@ -7,10 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylight.runtime import unused
+
 
 def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key; groups are cut before the shuffle."""
-    return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_nth = 1").drop("_nth")
+    place = unused(df, "_nth")
+    return df.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(place) == 1).drop(place)
 
 
 def active_generations(generations: DataFrame) -> DataFrame:
@@ -21,8 +24,8 @@ def active_generations(generations: DataFrame) -> DataFrame:
 def retained_generations(generations: DataFrame, inactive: int = 1) -> DataFrame:
     """The active generation of each repository and its latest complete ones."""
     done = generations.where("state = 'complete'")
-    place = Window.partitionBy("repository_id").orderBy(F.desc("generation_id"))
-    kept = done.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= inactive).drop("_n")
+    place, order = unused(done, "_n"), Window.partitionBy("repository_id").orderBy(F.desc("generation_id"))
+    kept = done.withColumn(place, F.row_number().over(order)).where(F.col(place) <= inactive).drop(place)
     return generations.where("state = 'active'").unionByName(kept)
 
 

