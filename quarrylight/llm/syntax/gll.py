@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 
-_GRAMMAR = re.compile(r"\s*(?:(#[^\n]*)|(?P<name>[A-Za-z_]\w*)|'(?P<token>(?:[^'\\]|\\.)+)'|(?P<mark>[:;|()*+?]))")
+_GRAMMAR = re.compile(r"\s*(?:(#[^\n]*)|(?P<name>[A-Za-z_]\w*)|'(?P<token>(?:[^'\\]|\\.)+)'|(?P<mark>[:;|()*+?@]))")
 #: The end of a statement: a semicolon, or nothing where a line or block ends.
 EOS = "EOS"
 END = "\0end"
@@ -21,7 +21,7 @@ class Grammar:
     """Compiled rules.
 
     Notation: ``name: part part | part ;`` with quotes around tokens, round
-    brackets, ``*``, ``+`` and ``?``. A name in capitals without a rule is a token.
+    brackets, ``*``, ``+``, ``?``, and ``@`` for a comma list that may end in a comma. A name in capitals without a rule is a token.
     """
 
     def __init__(self, text: str, start: str):
@@ -93,11 +93,17 @@ class Grammar:
                     part = inner[0][0] if len(inner) == 1 and len(inner[0]) == 1 else helper(inner)
                 else:
                     part = t["name"] or "'" + t["token"].replace("\\'", "'").replace("\\\\", "\\")
-                while at < len(tokens) and tokens[at]["mark"] in ("*", "+", "?"):
+                while at < len(tokens) and tokens[at]["mark"] in ("*", "+", "?", "@"):
                     mark = tokens[at]["mark"]
                     at += 1
                     if mark == "?":
                         part = helper([[part], []])
+                    elif mark == "@":
+                        # One token tells how a comma goes on: an item, or the end.
+                        rest, after = helper([]), helper([])
+                        self.rules[rest] = [["',", after], []]
+                        self.rules[after] = [[part, rest], []]
+                        part = helper([[part, rest]])
                     else:
                         many = helper([])
                         self.rules[many] = [[part, many], []]

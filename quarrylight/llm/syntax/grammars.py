@@ -34,7 +34,7 @@ rest: PROP* NL (block | sequence+)? | PROP* value NL (IND texts DED)? ;
 sequence: '-' (NL block? | IND inner DED) ;
 inner: mapping+ | sequence+ | PROP* value NL (IND? texts DED?)? | PROP+ NL (lines | block)? | PROP+ mapping+ ;
 value: STR | flow ;
-flow: '[' (entry (',' entry)* ','?)? ']' | '{' (entry (',' entry)* ','?)? '}' ;
+flow: '[' (entry@)? ']' | '{' (entry@)? '}' ;
 entry: PROP* item (':' (PROP* item)?)? | ':' item ;
 item: STR | flow ;
 """
@@ -58,7 +58,7 @@ compound: 'if' named ':' suite ('elif' named ':' suite)* otherwise? | 'while' na
 otherwise: 'else' ':' suite ;
 last: 'finally' ':' suite ;
 handler: 'except' '*'? (stars ('as' id)?)? ':' suite ;
-items: item (',' item)* | '(' item (',' item)* ','? ')' ;
+items: item (',' item)* | '(' item@ ')' ;
 item: test ('as' target)? ;
 arm: 'case' stars ('as' id)? ('if' named)? ':' suite ;
 decorator: '@' named NEWLINE ;
@@ -66,29 +66,29 @@ function: 'async'? 'def' id typed? '(' parameters? ')' ('->' test)? ':' suite ;
 klass: 'class' id typed? ('(' arguments? ')')? ':' suite ;
 typed: '[' parameters ']' ;
 params: '[' parameters ']' ;
-parameters: parameter (',' parameter)* ','? ;
+parameters: parameter@ ;
 parameter: id (':' star)? ('=' test)? | '*' (id (':' star)?)? | '**' id (':' test)? | '/' ;
 suite: line | NEWLINE INDENT (statement | NEWLINE)+ DEDENT ;
-targets: target (',' target)* ','? ;
+targets: target@ ;
 target: '*'? primary ;
-stars: star (',' star)* ','? ;
+stars: star@ ;
 star: '*' operand (binary operand)* | named ;
 named: test | id ':=' test ;
 test: lambda | operand (binary operand)* ('if' operand (binary operand)* 'else' test)? ;
 lambda: 'lambda' lambda_parameters? ':' test ;
-lambda_parameters: lambda_parameter (',' lambda_parameter)* ','? ;
+lambda_parameters: lambda_parameter@ ;
 lambda_parameter: id ('=' test)? | '*' id? | '**' id | '/' ;
 binary: '+' | '-' | '*' | '/' | '//' | '%' | '@' | '**' | '&' | '|' | '^' | '<<' | '>>' | '<' | '>' | '==' | '!=' | '<=' | '>=' | 'in' | 'not' 'in' | 'is' | 'is' 'not' | 'and' | 'or' ;
 operand: ('-' | '+' | '~' | 'not' | 'await')* primary ;
 primary: atom ('.' id | '(' arguments? ')' | '[' slices ']')* ;
-slices: slice (',' slice)* ','? ;
+slices: slice@ ;
 slice: star | test? ':' test? (':' test?)? ;
-arguments: argument (',' argument)* ','? ;
+arguments: argument@ ;
 argument: named comprehension? | id '=' test | '*' test | '**' test ;
 comprehension: 'async'? 'for' targets 'in' operand (binary operand)* ('if' lambda_free)* comprehension? ;
 lambda_free: named ;
 atom: id | NUM | STR+ | 'None' | 'True' | 'False' | '...' | '(' (yielded | star comprehension | stars)? ')' | '[' (star comprehension | stars)? ']'
-  | '{' (pair comprehension | pair (',' pair)* ','? | star comprehension | stars)? '}' ;
+  | '{' (pair comprehension | pair@ | star comprehension | stars)? '}' ;
 pair: test ':' test | '**' operand (binary operand)* ;
 id: ID | 'match' | 'case' | 'type' | '_' ;
 """
@@ -102,9 +102,9 @@ item: statement | 'import' imports | 'export' exports ;
 imports: STR with? EOS | 'type'? import_names 'from' STR with? EOS | ident '=' expr EOS ;
 with: 'with' object ;
 import_names: ident | ident ',' import_set | import_set ;
-import_set: '*' 'as' ident | '{' (specifier (',' specifier)* ','?)? '}' ;
+import_set: '*' 'as' ident | '{' specifier@? '}' ;
 specifier: 'type'? (name | STR) ('as' (name | STR))? ;
-exports: 'default' (function | class | assign EOS | 'abstract' class) | '*' ('as' (name | STR))? 'from' STR EOS | 'type'? '{' (specifier (',' specifier)* ','?)? '}' ('from' STR with?)? EOS
+exports: 'default' (function | class | assign EOS | 'abstract' class) | '*' ('as' (name | STR))? 'from' STR EOS | 'type'? '{' specifier@? '}' ('from' STR with?)? EOS
   | declaration | '=' expr EOS | 'as' 'namespace' ident EOS ;
 declaration: variables EOS | function | class %(declarations)s ;
 statement: block | variables EOS | function | class %(declarations)s | 'if' '(' expr ')' statement ('else' statement)? | 'for' 'await'? '(' for_head ')' statement
@@ -115,11 +115,11 @@ block: '{' statement* '}' ;
 for_head: (variables | expr)? ';' expr? ';' expr? | ('var' | 'let' | 'const') pattern annotation ('of' assign | 'in' expr) | operand ('of' assign | 'in' expr) ;
 variables: ('var' | 'let' | 'const') variable (',' variable)* ;
 variable: pattern %(definite)s annotation ('=' assign)? ;
-pattern: ident | '[' (','* element (','+ element)* ','*)? ']' | '{' (bound (',' bound)* ','?)? '}' ;
+pattern: ident | '[' gaps ']' | '{' (bound@)? '}' ;
 element: '...'? pattern ('=' assign)? ;
 bound: '...' pattern | ident ('=' assign)? | property ':' pattern ('=' assign)? ;
 function: 'async'? 'function' '*'? ident? type_parameters parameters return_type %(body)s ;
-parameters: '(' (parameter (',' parameter)* ','?)? ')' ;
+parameters: '(' (parameter@)? ')' ;
 parameter: %(modifiers)s '...'? pattern %(optional)s annotation ('=' assign)? ;
 class: decorator* %(abstract)s 'class' ident? type_parameters heritage '{' member* '}' ;
 decorator: '@' ident ('.' name)* ('(' arguments? ')')? ;
@@ -139,13 +139,17 @@ arrow_block: '{' statement* '}' ;
 prefix: '!' | '-' | '+' | '~' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'await' ;
 operand: prefix* primary postfix* ;
 postfix: '.' '#'? name | '?.' (name | '[' expr ']' | '(' arguments? ')') | '[' expr ']' | '(' arguments? ')' | template | '++' | '--' %(postfixes)s ;
-arguments: argument (',' argument)* ','? ;
+arguments: argument@ ;
 argument: '...'? assign ;
 primary: plain | object | function | class ;
-plain: ident | NUM | STR | REGEX | template | 'this' | 'super' | 'null' | 'true' | 'false' | '(' expr ')' | '[' (','* argument (','+ argument)* ','*)? ']' | '[' ','+ ']'
+plain: ident | NUM | STR | REGEX | template | 'this' | 'super' | 'null' | 'true' | 'false' | '(' expr ')' | '[' holes ']'
   | 'new' primary | 'new' '.' name | 'import' ('(' arguments ')' | '.' name) | '#' name ;
+holes: ',' holes | argument after_hole | ;
+after_hole: ',' holes | ;
+gaps: ',' gaps | element after_gap | ;
+after_gap: ',' gaps | ;
 template: '`start' ('${' expr '}$')* '`end' ;
-object: '{' (entry (',' entry)* ','?)? '}' ;
+object: '{' (entry@)? '}' ;
 entry: '...' assign | ident ('=' assign)? | property ':' assign | ('async' | 'get' | 'set')* '*'? property type_parameters parameters return_type block ;
 ident: ID | %(soft)s ;
 name: ID | %(words)s ;
@@ -178,12 +182,12 @@ _TS_PARTS = {
 _TS_RULES = """
 annotation: (':' type)? ;
 return_type: (':' type)? ;
-type_parameters: ('<' type_parameter (',' type_parameter)* ','? '>')? ;
+type_parameters: ('<' type_parameter@ '>')? ;
 type_parameter: 'const'? 'in'? name ('extends' type)? ('=' type)? ;
 heritage: ('extends' operand type_arguments?)? ('implements' type (',' type)*)? ;
 interface: 'interface' ident type_parameters ('extends' type (',' type)*)? object_type ;
 alias: 'type' ident type_parameters '=' type EOS ;
-enum: 'const'? 'enum' ident '{' (enumerator (',' enumerator)* ','?)? '}' ;
+enum: 'const'? 'enum' ident '{' (enumerator@)? '}' ;
 enumerator: property ('=' assign)? ;
 namespace: ('namespace' | 'module') (ident ('.' ident)* | STR) '{' item* '}' | 'global' '{' item* '}' ;
 item_declared: declaration | 'module' STR EOS ;
@@ -191,7 +195,7 @@ type_arguments: '<' type (',' type)* '>' ;
 type: union ('extends' union '?' type ':' type)? | function_type | ident 'is' type | 'asserts' (ident | 'this') ('is' type)? | 'this' 'is' type ;
 union: ('|' | '&')? single (('|' | '&') single)* ;
 single: ('keyof' | 'unique' | 'readonly' | 'infer')* base ('[' type? ']')* ;
-base: name ('.' name)* type_arguments? | STR | NUM | '-' NUM | template_type | object_type | '[' (tuple_item (',' tuple_item)* ','?)? ']' | '(' type ')' | 'typeof' name ('.' name)* type_arguments? | 'import' '(' STR ')' ('.' name)* type_arguments? ;
+base: name ('.' name)* type_arguments? | STR | NUM | '-' NUM | template_type | object_type | '[' (tuple_item@)? ']' | '(' type ')' | 'typeof' name ('.' name)* type_arguments? | 'import' '(' STR ')' ('.' name)* type_arguments? ;
 template_type: '`start' ('${' type '}$')* '`end' ;
 tuple_item: '...'? (name '?'? ':')? type '?'? ;
 function_type: 'abstract'? 'new'? type_parameters parameters '=>' type ;
@@ -214,10 +218,10 @@ typed: modifier* (class | interface | enum | record | annotated) ;
 modifier: annotation | 'public' | 'private' | 'protected' | 'static' | 'final' | 'abstract' | 'native' | 'synchronized' | 'transient' | 'volatile' | 'strictfp' | 'default' | 'sealed' | 'non' '-' 'sealed' ;
 annotation: '@' dotted ('(' (pairs | element)? ')')? ;
 pairs: id '=' element (',' id '=' element)* ;
-element: expr | annotation | '{' (element (',' element)* ','?)? '}' ;
+element: expr | annotation | '{' (element@)? '}' ;
 class: 'class' id generics? ('extends' type)? ('implements' types)? ('permits' types)? body ;
 interface: 'interface' id generics? ('extends' types)? ('permits' types)? body ;
-enum: 'enum' id ('implements' types)? '{' (constant (',' constant)* ','?)? (';' member*)? '}' ;
+enum: 'enum' id ('implements' types)? '{' (constant@)? (';' member*)? '}' ;
 constant: annotation* id ('(' arguments? ')')? body? ;
 record: 'record' id generics? '(' parameters? ')' ('implements' types)? body ;
 annotated: '@' 'interface' id body ;
