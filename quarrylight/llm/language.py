@@ -67,12 +67,18 @@ def label_language(label: Column) -> Column:
 # ---- n-grams ---------------------------------------------------------------
 
 
-def _codes(text: str) -> np.ndarray:
-    """Code points in lower case with every non-letter as a space."""
+def _points(text: str) -> np.ndarray:
+    """Code points in lower case, as many as the text has characters."""
     low = text.lower()
     if len(low) != len(text):
         low = "".join(c if len(c) == 1 else c[0] for c in (x.lower() for x in text))
-    codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    return np.frombuffer(low.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _codes(*texts: str) -> np.ndarray:
+    """Code points of all texts, a space before and after each, every non-letter as a space."""
+    space = np.array([32], dtype=np.uint32)
+    codes = np.concatenate([space, *(x for t in texts for x in (_points(t), space))]).astype(np.uint64)
     letter = ((codes >= 97) & (codes <= 122)) | ((codes >= 0xC0) & (codes != 0xD7) & (codes != 0xF7) & (codes < 0x250)) | (codes == 0x2019)
     return np.where(letter, codes, 32)
 
@@ -127,9 +133,12 @@ class LanguageFilter:
             self._false = fill**self.hashes
         return self._false
 
-    def rates(self, text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-        """Corrected share of each span's n-grams that each language contains, and their number."""
-        codes = _codes(f" {text} ")
+    def rates(self, texts: list[str], spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Corrected share of each span's n-grams that each language contains, and their number.
+
+        Spans count characters over all texts, with one more after each text.
+        """
+        codes = _codes(*texts)
         count = np.zeros((len(spans), len(LANGUAGES)))
         total = np.zeros(len(spans))
         starts = np.array([s for s, _ in spans]) + 1
@@ -160,7 +169,7 @@ def _count_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     found: dict[str, Counter] = {code: Counter() for code in LANGUAGES}
     for batch in batches:
         for code, text in zip(batch["label"], batch["text"]):
-            codes = _codes(f" {text} ")
+            codes = _codes(text)
             for size in GRAM_SIZES:
                 values, ok = grams(codes, size)
                 # One vote per document, so that a long or repetitive one does not prevail.
@@ -209,6 +218,9 @@ def fit_filter(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, sample_grams:
 # ---- decision --------------------------------------------------------------
 
 _CODE = re.compile(r"[{}=<>|\\$#@_`~^]|\w\(|\)\s*[:;{]|::|->|\s--|\bdef\b|\bimport\b|\b(?:SELECT|FROM|WHERE|GROUP BY|INSERT|UPDATE|JOIN)\b")
+#: What a line holds if _CODE can match in it.
+_CODE_MARKS = frozenset("{}=<>|\\$#@_`~^()-:")
+_CODE_WORDS = ("def", "import", "SELECT", "FROM", "WHERE", "GROUP BY", "INSERT", "UPDATE", "JOIN")
 _QUOTED = re.compile(r"«[^«»]*»|“[^“”]*”|„[^„“”]*[“”]|\"[^\"]*\"|‹[^‹›]*›")
 _CUE = re.compile(r"^\s*(?:\d+\s*$|\d+:\d\d:\d\d[.,]\d+\s*-->|\[\d+:\d\d(?::\d\d)?\]\s*|[-*+]\s+|\d+[.)]\s+|>\s*)")
 _HEADING = re.compile(r"^\s*#+\s")
@@ -227,7 +239,8 @@ def sentences(text: str) -> list[tuple[int, int, bool]]:
         if in_code or not line or not _LETTERS.search(line):
             continue
         heading = bool(_HEADING.match(line))
-        if not heading and len(_CODE.findall(line)) * 8 > len(_LETTERS.findall(line)):
+        coded = not _CODE_MARKS.isdisjoint(line) or any(k in line for k in _CODE_WORDS)
+        if coded and not heading and len(_CODE.findall(line)) * 8 > len(_LETTERS.findall(line)):
             continue
         cue = _CUE.match(line)
         skip = cue.end() if cue else 0
@@ -236,7 +249,7 @@ def sentences(text: str) -> list[tuple[int, int, bool]]:
             words = _LETTERS.findall(piece)
             if len(words) < 3:
                 continue
-            noise = len(_CODE.findall(piece))
+            noise = len(_CODE.findall(piece)) if coded else 0
             if noise * 3 > len(words):
                 continue
             # A quoted title is no sentence of the text that quotes it.
@@ -247,12 +260,31 @@ def sentences(text: str) -> list[tuple[int, int, bool]]:
     return out
 
 
-def _segments(held: LanguageFilter, text: str) -> list[tuple[int, int, str, float, bool]]:
-    """Start, end, language, confidence and fullness of each recognised sentence."""
-    found = sentences(text)
+#: Characters that are looked up together.
+BLOCK_CHARS = 400_000
+
+
+def _segments(held: LanguageFilter, texts: list[str]) -> list[list[tuple[int, int, str, float, bool]]]:
+    """Per text: start, end, language, confidence and fullness of each recognised sentence."""
+    out: list[list] = []
+    block: list[str] = []
+    size = 0
+    for text in texts:
+        block.append(text)
+        size += len(text)
+        if size >= BLOCK_CHARS:
+            out += _segments_of_block(held, block)
+            block, size = [], 0
+    return out + _segments_of_block(held, block)
+
+
+def _segments_of_block(held: LanguageFilter, texts: list[str]) -> list[list]:
+    out: list[list] = [[] for _ in texts]
+    found = [(i, a, b, full) for i, t in enumerate(texts) if t for a, b, full in sentences(t)]
     if not found:
-        return []
-    rates, total = held.rates(text, [(a, b) for a, b, _ in found])
+        return out
+    begins = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
+    rates, total = held.rates(texts, [(begins[i] + a, begins[i] + b) for i, a, b, _ in found])
     top = np.argsort(-rates, axis=1, kind="stable")
     rows = np.arange(len(found))
     best, second = rates[rows, top[:, 0]], rates[rows, top[:, 1]]
@@ -260,11 +292,10 @@ def _segments(held: LanguageFilter, text: str) -> list[tuple[int, int, str, floa
     deviation = np.sqrt(np.maximum(best * (1 - best), 0.02) / np.maximum(total, 1))
     confidence = 1 / (1 + np.exp(-(best - second) / deviation)) * best
     sure = (best >= MIN_RATE) & (best - second >= MIN_MARGIN) & (total >= 12)
-    return [
-        (a, b, LANGUAGES[top[i, 0]], float(confidence[i]), bool(full))
-        for i, (a, b, full) in enumerate(found)
-        if sure[i]
-    ]
+    for k in np.nonzero(sure)[0]:
+        i, a, b, full = found[k]
+        out[i].append((a, b, LANGUAGES[top[k, 0]], float(confidence[k]), bool(full)))
+    return out
 
 
 SEGMENT = "start int, end int, lang string, confidence double, full boolean"
@@ -277,7 +308,7 @@ def segments(docs: DataFrame, held: LanguageFilter) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         filt = shared.value
         for batch in batches:
-            marked = [_segments(filt, t) if t else [] for t in batch["text"]]
+            marked = _segments(filt, [t or "" for t in batch["text"]])
             batch["segments"] = [
                 [dict(zip(("start", "end", "lang", "confidence", "full"), m)) for m in row] for row in marked
             ]
