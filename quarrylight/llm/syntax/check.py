@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -75,8 +76,14 @@ class Checker:
         return found
 
 
+@lru_cache(maxsize=1)
+def _checker() -> Checker:
+    """One per Python worker, which serves many tasks."""
+    return Checker()
+
+
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    checker = Checker()
+    checker = _checker()
     for batch in batches:
         bad = [not checker.valid(t, lang) for t, lang in zip(batch["text"], batch["language"])]
         yield batch.loc[bad, ["text_key", "language"]]
