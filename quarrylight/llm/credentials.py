@@ -11,7 +11,10 @@ The field is trained here, on lines composed from lists of names and values
 Defined cases: null and empty texts hold nothing; placeholders, references to
 variables, digests, ids, public keys and certificates are not credentials; a
 block without its end is not one; every line of any length is read; repeated
-rows count once; ``line_no`` counts line feeds.
+rows count once; ``line_no`` counts line feeds. A token of fewer than eight
+characters or without a digit is looked at where a value stands: in quotes,
+after ``:`` or ``=``, between tags, after an option, a scheme or words that
+announce it; from 16 characters drawn by lot, anywhere.
 """
 
 from __future__ import annotations
@@ -44,8 +47,10 @@ _TOKEN = re.compile(
     rf"(?P<pem>{_PEM})|(?P<cat>{_CAT})|(?P<word>[\w.+/~*!#%^&\-]+=*(?=[\"'`\s),;<>\\]|$)|[\w.+/~*!#%^&\-]+)|(?P<mark>[^\w\s])", re.S
 )
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-zà-ÿ]+|\d+")
-#: Only such a token can be a credential: eight characters, a digit among them.
+#: A token of eight characters with a digit is looked at wherever it stands, any other where a value stands.
 MIN_LENGTH = 8
+#: A token without a digit that is looked at wherever it stands, if its letters look drawn by lot.
+DRAWN_LENGTH = 16
 
 #: Parts of names that speak for or against a credential.
 PASS = {"pass", "password", "passwd", "passphrase", "pwd", "clave", "contrasena", "contraseña", "senha", "motdepasse", "passwort", "kennwort", "login"}
@@ -75,12 +80,55 @@ def tokens_of(text: str, start: int = 0, end: int | None = None) -> list[Token]:
 
 
 def eligible(token: Token) -> bool:
+    """Whether a token is looked at wherever it stands."""
     if token.kind == "pem":
         return True
     t = token.text
     return token.kind in ("word", "cat") and len(t) >= MIN_LENGTH and any(c.isdigit() for c in t)
 
 
+#: What stands before a value without quotes.
+_TOLD = r"(?:password|passwd|pwd|clave|contraseña|secret|token|login)\b[^=:\"']{0,24}\b(?:was|is|era|es|now)\s*:?\s*|login\s*:?\s*[\w.\-]+\s*/\s*"
+_TOLD_NEXT = re.compile(rf"(?:{_TOLD})$", re.I)
+_ANNOUNCES = {"basic", "bearer", "token", "password", "passwd", "pwd", "clave", "secret"}
+_CAMEL = re.compile(r"[a-zà-ÿ]*(?:[A-ZÀ-Þ][a-zà-ÿ]+)*$|[A-ZÀ-Þ]+$")
+_UNSPOKEN = re.compile(r"[bcdfghjklmnpqrstvwxz]{5}", re.I)
+
+
+def placed(token: Token, text: str) -> bool:
+    """Whether a token of any length, with or without a digit, stands where a value stands."""
+    if token.kind not in ("word", "cat"):
+        return False
+    last = text[token.start - 1 : token.start]
+    if last in ("'", '"', "`", ":", "=") or last == ">" and text.startswith("</", token.end):
+        return True
+    if len(token.text) >= DRAWN_LENGTH and plain_shape(token.text) == "drawn":
+        return True
+    if last not in (" ", "\t", "/"):
+        return False
+    before = text[max(0, token.start - 80) : token.start]
+    said = before.split()[-1:]
+    if not said:
+        return False
+    if said[0][-1] in ":=" or said[0].lower() in _ANNOUNCES or said[0][0] == "-":
+        return True
+    return (said[0] == "/" or said[0].lower() in ("was", "is", "era", "es", "now")) and bool(_TOLD_NEXT.search(before))
+
+
+@lru_cache(maxsize=50_000)
+def plain_shape(t: str) -> str:
+    """Shape of a token that is short or has no digit."""
+    parts = [p for p in re.split(r"[._\-/]+", t) if p]
+    if any(c.isdigit() for c in t):
+        return "brief-mixed" if any(c.isalpha() for c in t) else "brief-number"
+    if re.search(r"[*!#%^&+~]", t):
+        return "marked"
+    if any(not _CAMEL.match(p) for p in parts) or _UNSPOKEN.search(t) and len(t) >= 10:
+        return "drawn" if len(t) >= DRAWN_LENGTH else "mixed"
+    return "words" if len(parts) > 1 or not (t.islower() or t.istitle()) else "word"
+
+
+
 @lru_cache(maxsize=50_000)
 def name_parts(word: str) -> tuple[str, ...]:
     return tuple(p.lower() for p in _PARTS.findall(word))
@@ -179,24 +227,68 @@ def _is_basic(t: str) -> bool:
     return ":" in plain and plain.isprintable()
 
 
+def plain_context(token: Token, text: str, before: str, value: str, near: str) -> list[str]:
+    """How a token that is short or has no digit stands: it says less by itself than by its place."""
+    before = before[-80:]
+    quote = before[-1:] if before.endswith(("'", '"', "`")) else ""
+    after = text[token.end : token.end + 3]
+    bare = before[:-1].rstrip() if quote else before.rstrip()
+    if bare.endswith(("==", "!=")):
+        place = "compared"
+    elif not quote and before.endswith(":") and re.search(r"@[\w.\-]+:$", before):
+        place = "port"
+    elif not quote and after.lstrip()[:1] in ("(", "[", "{", "."):
+        place = "called"
+    elif not quote:
+        closed = text[token.end : token.end + 1] in ("", "\n", "\r", ";") or not text[token.end :].strip()
+        place = "element" if before.endswith(">") else "bare-end" if closed else "bare"
+        if before.endswith("="):
+            place += "-tight"
+    elif not after.startswith(quote):
+        place = "sentence"
+    elif bare.endswith((":", "=")) and not ("<" in before and re.search(r"<\w[^>]*$", before)):
+        place = "value"
+    elif bare.endswith((",", "=")) and re.search(r"values\s*\([^()]*,\s*.$|\bcontent=.$", before, re.I):
+        place = "value"
+    else:
+        place = "listed"
+    out = [f"place={place}", f"place={place}&{value}", f"place={place}&{value}&near={near}"]
+    if len(token.text) < 6:
+        out += [f"brief={min(4, len(token.text))}", f"brief&near={near}"]
+    if name_class(token.text) in ("pass", "secret", "pass-meta", "secret-meta", "meta", "plain"):
+        out.append("names-itself")
+    return out
+
+
 def features(line: list[Token], text: str) -> list[list[str] | None]:
     """Features of each token; None for a token that cannot be a credential."""
     out: list[list[str] | None] = []
-    words: list[str] = []  # nearest last
+    strong: list[str] = []  # names that say something, nearest last
+
+    def heard(word: str) -> None:
+        if word.isdigit():
+            # A number between a name and a value parts them, as in the rows of a table.
+            strong.clear()
+        elif name_parts(word) and word.lower() not in FILLER:
+            strong.append(word)
+
     for i, token in enumerate(line):
-        named = token.kind == "word" and eligible(token) and _IS_NAME.match(text, token.end) and text[token.end - 1] != "="
-        if named or not eligible(token):
+        known = eligible(token)
+        seen = known or placed(token, text)
+        named = token.kind == "word" and seen and _IS_NAME.match(text, token.end) and text[token.end - 1] != "="
+        if named or not seen:
             if token.kind == "word":
-                # A number between a name and a value parts them, as in the rows of a table.
-                words = [] if token.text.isdigit() else [*words, token.text]
+                heard(token.text)
             out.append(None)
             continue
-        before = text[max(0, line[0].start) : token.start]
+        before = text[max(0, line[0].start, token.start - 200) : token.start]
         left, right = before[-3:], text[token.end : token.end + 2]
-        f = ["bias", *value_features(_JOIN.sub("", token.text) if token.kind == "cat" else token.text, token.kind)]
+        shown = _JOIN.sub("", token.text) if token.kind == "cat" else token.text
+        f = ["bias", *value_features(shown, token.kind)]
+        if not known:
+            f = ["bias", f"plain={plain_shape(shown)}", *(x for x in f[1:] if x in ("hold", "prefix", "jwt", "constant", "pathlike", "hostlike"))]
+            f[1:] = sorted(f[1:], key=lambda x: x != "hold")
         value = f[1] if len(f) > 1 else "none"
-        names = [w for w in words if name_parts(w)]
-        strong = [w for w in names if w.lower() not in FILLER]
         near = name_class(strong[-1]) if strong else "none"
         f += [f"near={near}", f"near={near}&{value}"]
         rest = {name_class(w) for w in strong[-6:-1]}
@@ -210,18 +302,22 @@ def features(line: list[Token], text: str) -> list[list[str] | None]:
             f.append("assigned")
         if left.endswith(":") and right.startswith("@"):
             f.append("url-password")
-        if re.search(r"[?&](?:access_)?(?:token|key|secret|sig|auth|password)=$", before, re.I):
+        if left.endswith("=") and re.search(r"[?&](?:access_)?(?:token|key|secret|sig|auth|password)=$", before, re.I):
             f.append("url-query")
-        if re.search(r"\b(?:basic|bearer|token)\s+$", before, re.I):
+        if left[-1:].isspace() and re.search(r"\b(?:basic|bearer|token)\s+$", before, re.I):
             f.append("scheme" + ("-basic" if _is_basic(token.text) else ""))
-        if re.search(r"(?:-u|--user)[ =][\"']?[\w.\-]+:$", before):
+        if left.endswith(":") and re.search(r"(?:-u|--user)[ =][\"']?[\w.\-]+:$", before):
             f.append("cli-user")
-        if re.search(r"(?:password|passwd|pwd|clave|contraseña|secret|token|login)\b[^=:\"']{0,24}\b(?:was|is|era|es|now)\s*:?\s*$|login\s*:?\s*[\w.\-]+\s*/\s*$", before, re.I):
+        if before[-1:] not in ("'", '"', "`", "=", "(", ",", ">") and _TOLD_NEXT.search(before):
             f.append("told")
         if left.endswith(("{", "<", "%", "$", "(")) and right[:1] in ("}", ">", "%", ")") and not left.endswith("("):
             f.append("template")
-        if re.search(r"base64,$", before):
+        if before.endswith("base64,"):
             f.append("data-uri")
+        if not known:
+            f = [f"plain:{x}" for x in [*f, *plain_context(token, text, before, value, near)]]
+            if token.kind == "word":
+                heard(token.text)
         out.append(f)
     return out
 
@@ -243,6 +339,10 @@ class Field:
     def viterbi(self, rows: list[list[str] | None]) -> list[int]:
         score = self.scores(rows)
         pairs = self.pairs.tolist()
+        gain = max(map(max, pairs)) - pairs[0][0]
+        if score.max() + 2 * gain < 0:
+            # Each token labelled 1 costs more than its two neighbouring pairs can give.
+            return [0] * len(rows)
         best, back = [0.0, score[0]], []
         for s in score[1:].tolist():
             step, kept = [], []
@@ -299,13 +399,21 @@ class Field:
         return self
 
 
+#: Words and names that the training lines are composed of.
+_STEMS = "amber brook canyon delta falcon garden island jungle kettle lantern meadow orchid pepper quartz river sierra tulip valley winter zephyr".split()
+_GOOD_PASS = ["password", "db_password", "dbPassword", "PASSWORD", "passwd", "user_pwd", "smtp_pass", "clave", "contrasena", "passphrase", "admin_password"]
+_GOOD_KEY = ["api_key", "apiKey", "API_TOKEN", "secret", "client_secret", "clientSecret", "auth_token", "secret_key", "service_token", "access_token", "hmac_key", "signing_key", "webhook_secret", "activation_key", "access_code", "signing_salt", "private_key", "credential"]
+_NEUTRAL = ["notifier", "git_value", "ci_header", "session_header", "worker", "remote", "s3_user", "bot", "header", "bridge"]
+_META = ["password_field", "secret_name", "token_column", "passwd_label", "token_url", "key_name", "token_type", "password_hint"]
+
+
 def training_lines(count: int = 2400, seed: int = 5) -> list[tuple[str, str | None]]:
     """Composed lines, each with the credential it holds (None: none)."""
     rng = random.Random(seed)
     pick = rng.choice
+    stems, good_pass, good_key, neutral, meta = _STEMS, _GOOD_PASS, _GOOD_KEY, _NEUTRAL, _META
     alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     rand = lambda n, a=alnum: "".join(pick(a) for _ in range(n))
-    stems = "amber brook canyon delta falcon garden island jungle kettle lantern meadow orchid pepper quartz river sierra tulip valley winter zephyr".split()
 
     def password() -> str:
         s = pick(stems) + pick(["", ".", "_", "-"]) + pick(stems).capitalize() + str(rng.randrange(10, 1000)) + pick(["", "*", "!", "#", "%23"])
@@ -321,11 +429,7 @@ def training_lines(count: int = 2400, seed: int = 5) -> list[tuple[str, str | No
         "prefix": lambda: pick([lambda: pick(["ghp_", "gho_", "ghs_"]) + rand(36), lambda: f"xoxb-{rng.randrange(10**10, 10**11)}-{rand(24)}", lambda: "AKIA" + rand(16, alnum[:26] + "234567"), lambda: "glpat-" + rand(20), lambda: "AIza" + rand(35), lambda: "sk_live_" + rand(24), lambda: "npm_" + rand(36)])(),
         "jwt": lambda: f"eyJ{rand(28)}.{rand(44)}.{rand(43)}",
     }
-    good_pass = ["password", "db_password", "dbPassword", "PASSWORD", "passwd", "user_pwd", "smtp_pass", "clave", "contrasena", "passphrase", "admin_password"]
-    good_key = ["api_key", "apiKey", "API_TOKEN", "secret", "client_secret", "clientSecret", "auth_token", "secret_key", "service_token", "access_token", "hmac_key", "signing_key", "webhook_secret", "activation_key", "access_code", "signing_salt", "private_key", "credential"]
-    neutral = ["notifier", "git_value", "ci_header", "session_header", "worker", "remote", "s3_user", "bot", "header", "bridge"]
     plain = ["commit", "checksum", "etag", "sha256", "source_digest", "pinned_revision", "base_ref", "trace_id", "request_id", "integrity", "file_hash", "build_sha", "tree_hash", "image_digest", "public_key", "cert_fingerprint"]
-    meta = ["password_field", "secret_name", "token_column", "passwd_label", "token_url", "key_name", "token_type", "password_hint"]
     hold = ["changeme", "YOUR_API_KEY_HERE1", "example-key-0001", "REPLACE_ME_2024", "********", "<api-key>", "${API_KEY_2}", "{{ vault_password2 }}", "%API_KEY_1%", "xxxxxxxx0000", "test-placeholder-1", "dummy-token-123", "not-set-00", "TODO-000000"]
     calm = ["lesson-offset-2", "v1.20.3-beta4", "src/app/page2.html", "2024-05-01T10:20:30", "utf8mb4_general2", "host12.example.com", "rank_window_44", "1234567890", "path/to/file99", "Helvetica12pt", "section_id_77b", "budget40hits"]
 
@@ -398,10 +502,79 @@ def training_lines(count: int = 2400, seed: int = 5) -> list[tuple[str, str | No
     return out
 
 
+def plain_lines(count: int = 2400, seed: int = 7) -> list[tuple[str, str | None]]:
+    """Composed lines of credentials that are short or have no digit, and of such words that are none."""
+    rng = random.Random(seed)
+    pick = rng.choice
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    rand = lambda n, a=letters: "".join(pick(a) for _ in range(n))
+    types = ["string", "str", "async", "function", "number", "None", "null", "true", "false", "await", "self", "any", "new", "bool", "Optional"]
+    words = ["owner", "kind", "render_record", "splitCursor", "label", "page", "status", "Password", "password", "token", "login", "user", "email", "text", "id", "x", "es", "utf", "sortByName", "MAX_SIZE", "keep", "revisar", "admin", "Submit"]
+    hold = ["changeme", "YOUR_API_KEY_HERE", "REPLACE_ME", "********", "xxxx", "placeholder", "your-password", "example", "TODO", "dummy", "none", "redacted"]
+
+    def lone(word: bool = True) -> str:
+        a, b = pick(_STEMS), pick(_STEMS)
+        shapes = [a + pick("._-") + b.capitalize() + pick("*!#&"), a.capitalize() + pick("*!#&") + b, rand(rng.randrange(10, 22)), rand(rng.randrange(4, 7)) + str(rng.randrange(10)), a[:4] + str(rng.randrange(10, 100))]
+        return pick(shapes + [a, a + b, a + b.capitalize()] * word)
+
+    def name(names: list[str]) -> str:
+        n = pick(names)
+        n = pick([n, n, n.upper(), n.split("_")[0] + "".join(p.capitalize() for p in n.split("_")[1:])])
+        return n + pick(["", "", "", "_" + rand(3, letters[26:]), "_" + rand(3, letters[:26]), rand(2)])
+
+    def quoted(n: str, v: str) -> str:
+        return pick([
+            f'{n} = "{v}"', f"const {n} = '{v}';", f'  "{n}": "{v}",', f'  {n}: "{v}"', f'export {n}="{v}"', f'    private static final String {n} = "{v}";', f"INSERT INTO settings (name, value) VALUES ('{n}', '{v}');", f'  <meta name="{n}" content="{v}">',
+            f"def open_page(retries=2, {n}='{v}'):", f"{n}: `{v}`", f"{n}='{v}'", f"connect(user='admin', {n}='{v}')", f'open_page("{pick(_STEMS)}.example", {n}="{v}")',
+        ])
+
+    def bare(n: str, v: str) -> str:
+        return pick([f"/* {n}: {v} */", f"# {n} = {v}", f"mysql://{pick(['app', 'root'])}:{v}@db.example:3306/x", f'  "dsn": "amqp://{pick(_STEMS)}:{v}@{pick(_STEMS)}.example:5000/{pick(_STEMS)}",', f"curl -s -u {pick(_STEMS)}:{v} https://{pick(_STEMS)}.example", f"<{n}>{v}</{n}>", f"{n}={v}", f"{n}: {v}"])
+
+    def told(v: str) -> str:
+        return pick([f"# old password was {v}", f"-- temporary login: admin / {v}", f"/* use token {v} until the move */", f"// the password is {v}", f"Authorization: Bearer {v}", f"<!-- user {pick(_STEMS)}, clave {v} -->"])
+
+    def none() -> str:
+        n, w, a = name(_GOOD_PASS + _GOOD_KEY), pick(words + _STEMS), pick(_STEMS)
+        return pick([
+            f"{n}: {pick(types)},", f"const {n} = {pick(types)} (row) => {{", f"{n} = {pick(types)}", f"{n} = {a}.{n}", f"{n} = get_{n}({w})", f"const {n} = process.env.{n.upper()};", f'{n} = os.environ["{n.upper()}"]', f'"{n}": "{n}",', f"{n} = {w}.{a}", f"{n}={n}, {a}={w}",
+            f"return this.{pick(['token', 'secret', 'key'])}.filter((k) => k !== '{w}');", f'{w}_list = ["token", "{w}", "{a}"]', f"TOKEN_{w.upper()}_{rand(3).upper()} = _msg.Field(name='{w}', number=4, type=5)", f'  "token_{w}_{rand(3).lower()}": {{"{a}s": [8, 9], "note": "{w} the order stable"}}',
+            f'<input type="password" name="{w}" placeholder="{w}">', f'if {n} == "{w}":', f'"{n}": "",', f'{n} = "{pick(hold)}"', quoted(n, pick(hold)), f"  {n}: <{a}>", f'key = "{w}"', f'"key": "{w}", "code": "{w}"', f'label: "{w}", token: "{w}"',
+            f"the {pick(['password', 'token', 'secret', 'login'])} {pick(['is', 'was'])} {pick(['not', 'read', 'checked', 'empty', 'wrong', 'stored', 'avoided'])}", f"# the token of the {a} is {pick(['read', 'kept', a])} by the {w}", quoted(pick(_META), w), f"{a}Key: '{w}'", f'throw new Error("{n} {w}")', f"print('{n}: {w}')",
+            f"export const {n} = ({w}: {pick(types)}): {pick(types)} => {{", f"export function filter{a.capitalize()}(tokens: any[], limit: number = 26): any[] {{", f"    const basic {w}", f"  basic {w} and token {a}", f"const {n} = '{{{{ {n} }}}}';", f'{n} = "${{{n.upper()}}}"', f'{n} = "%{n.upper()}%"',
+        ])
+
+    def calm() -> str:
+        v = "".join(pick(_STEMS).capitalize() for _ in range(rng.randrange(2, 5)))
+        v = pick([v, v[0].lower() + v[1:], v[0].lower() + v[1:] + rand(3).capitalize(), "_".join(pick(_STEMS) for _ in range(3)), "-".join(pick(_STEMS) for _ in range(3)), pick(_STEMS), "/".join(pick(_STEMS) for _ in range(3)), rand(rng.randrange(2, 6)) + str(rng.randrange(10)), "x" + str(rng.randrange(100))])
+        return pick([
+            f"export function {v}(rows, limit) {{", quoted(pick(_NEUTRAL + _STEMS + _META), v), f"  {v}() {{", f"    public int {v}(java.util.List<Integer> rows) {{", f'title = "{v} and {pick(_STEMS)}"', f"import {v}", f"  {pick(_STEMS)}: {v},", f"{pick(_GOOD_KEY)}s = {v}({pick(_STEMS)})",
+            f"INSERT INTO {pick(_STEMS)} VALUES ({rng.randrange(100)}, '{pick(_STEMS)}', {rng.randrange(9999)}, '{v}');", f"<li>{v}</li>", f".{pick(['key', 'token', 'node', pick(_STEMS)])}-{pick(_STEMS)}-{rand(3).lower()}{{margin:{rng.randrange(99)}px;color:#{rand(3, 'abcdef0123456789')}}}" * 3, f"cut -d {v} --{pick(_STEMS)} {v}", f"# this is how {pick(_STEMS)} is {v}", f'["{v}", "{v}"]', f"  \"{pick(['sha', 'commit', 'data', 'font'])}\": \"{rand(rng.randrange(12, 60))}\",", f'pixel = "data:image/gif;base64,{rand(rng.randrange(16, 90), letters + "+/")}"',
+        ])
+
+    out: list[tuple[str, str | None]] = []
+    while len(out) < count:
+        kind = rng.randrange(8)
+        drawn = rand(rng.randrange(16, 44))
+        if kind == 0:
+            out.append((pick([quoted(name(_GOOD_KEY + _GOOD_PASS + _NEUTRAL), drawn), told(drawn), bare(name(_GOOD_KEY), drawn), f"https://{pick(_STEMS)}.example/hook?token={drawn}"]), drawn))
+        elif kind == 1:
+            v = lone()
+            out.append((quoted(name(_GOOD_PASS), v), v))
+        elif kind == 2:
+            v = lone(word=False)
+            out.append((pick([bare(name(_GOOD_PASS), v), told(v)]), v))
+        elif kind <= 5:
+            out.append((none(), None))
+        else:
+            out.append((calm(), None))
+    return out
+
+
 @lru_cache(maxsize=1)
 def trained_field() -> Field:
     lines = []
-    for text, secret in training_lines():
+    for text, secret in training_lines() + plain_lines():
         tokens = tokens_of(text)
         rows = features(tokens, text)
         at = text.find(secret) if secret else -1
@@ -414,8 +587,11 @@ def trained_field() -> Field:
 
 # ---- application -----------------------------------------------------------
 
-#: Part of every line that can hold an eligible token.
-_QUICK = re.compile(r"-----BEGIN|(?=[^\s\"'`()\[\]{}<>,;:=?@|\\]{8})[^\s\"'`()\[\]{}<>,;:=?@|\\]*?\d")
+#: Part of every line that can hold a credential: a token that stands out, one of DRAWN_LENGTH, a name that speaks for one, or a user's part of an address.
+_HINTS = "|".join(sorted({w[:4] for w in PASS | SECRET if len(w) > 3} | {w for w in PASS | SECRET if len(w) <= 3}))
+_QUICK = re.compile(
+    r"-----BEGIN|(?=[^\s\"'`()\[\]{}<>,;:=?@|\\]{8})[^\s\"'`()\[\]{}<>,;:=?@|\\]*?\d|[^\s\"'`()\[\]{}<>,;:=?@|\\]{16}|://[^\s/]*@|(?:-u|--user)[ =]|" + rf"(?i:{_HINTS})"
+)
 
 
 def find_spans(text: str, field: Field, remembered: dict | None = None) -> list[tuple[int, int]]:
@@ -438,19 +614,20 @@ def find_spans(text: str, field: Field, remembered: dict | None = None) -> list[
             tail = text.find("\n", end + 1)
             end = n if tail < 0 else tail
         line = text[at:end]
-        if len(line) >= MIN_LENGTH and _QUICK.search(line):
-            found = remembered.get(line) if remembered is not None else None
-            if found is None:
+        found = remembered.get(line) if remembered is not None else None
+        if found is None:
+            found = []
+            if _QUICK.search(line):
                 tokens = tokens_of(line)
                 rows = features(tokens, line)
-                found = []
                 if any(r is not None for r in rows):
                     labels = field.viterbi(rows)
                     found = [(t.start, t.end) for t, label in zip(tokens, labels) if label]
-                if remembered is not None and len(line) < 400:
-                    if len(remembered) > 100_000:
-                        remembered.clear()
-                    remembered[line] = found
+            if remembered is not None and len(line) < 400:
+                if len(remembered) > 100_000:
+                    remembered.clear()
+                remembered[line] = found
+        if found:
             spans += [(at + a, at + b) for a, b in found]
         at = end + 1
     return spans

@@ -45,3 +45,22 @@ def test_rows(spark):
     got = {(r.origin, r.generation_id, r.record_key, r.line_no) for r in C.credentials(files, chunks).collect()}
     assert got == {("files", 1, "a.py", 2), ("files", 2, "b.py", 2), ("files", 3, "long.py", 20002), ("chunks", 1, "c1", 1)}
     assert C.credentials(files.limit(0), chunks.limit(0)).count() == 0
+
+
+def test_without_digit_or_short():
+    yes = {
+        'serviceToken: "XvQaxDfyOvrZqlysyRlybaOdnzJo",': "XvQaxDfyOvrZqlysyRlybaOdnzJo",
+        '  "auth_token_aba": "XThRTTTlYGLcknDoqtBmvUvWzntYkzw",': "XThRTTTlYGLcknDoqtBmvUvWzntYkzw",
+        "amqp://app:kYqZtLmWvPaRcXdEbNfG@mq.example:5672/x": "kYqZtLmWvPaRcXdEbNfG",
+        'password = "harbor_Meadow!"': "harbor_Meadow!",
+        "db_password: 'xK9mq'": "xK9mq",
+    }
+    for line, value in yes.items():
+        assert spans(line) == [value]
+    for line in ("password: string,", "const token = process.env.SERVICE_TOKEN;", 'password = "changeme"', "keys.filter((k) => k !== 'owner')", "updateWindowGraphHitsQga(rows)", ".node-key-abc{color:#abf}"):
+        assert spans(line) == []
+
+
+def test_held_out_accuracy_without_digit():
+    wrong = sum(spans(t) != ([s] if s else []) for t, s in C.plain_lines(500, 77))
+    assert wrong <= 12
