@@ -182,29 +182,61 @@ def quantized(vectors: DataFrame, *, key: str = "vec_id", value: str = "embeddin
     return spread(held).mapInPandas(run, f"`{key}` long, codes binary, signs binary, rest double, size double")
 
 
-def search_quantized(coded: DataFrame, queries: DataFrame, k: int, *, key: str = "vec_id", value: str = "embedding", bits: int = BITS) -> DataFrame:
-    """Approximate search over codes; the queries go in blocks as in ``search``."""
-    out, rows = None, queries.select(F.col(key).alias("query_id"), value).orderBy("query_id").collect() if queries.count() <= BLOCK else None
-    if rows is None:
-        raise ValueError(f"give at most {BLOCK} queries at a time")
-    if not rows:
-        return coded.sparkSession.createDataFrame([], f"query_id long, `{key}` long, score double, rank int")
-    shared = coded.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64)))
+def search_quantized(
+    coded: DataFrame, queries: DataFrame, k: int, *, exact: DataFrame | None = None, candidates: int = 0, key: str = "vec_id", value: str = "embedding", bits: int = BITS, block: int = BLOCK
+) -> DataFrame:
+    """Approximate search over codes; the queries go in blocks as in ``search``.
+
+    With ``exact`` (key, value: the vectors that were coded) the best
+    ``candidates`` by code, four times ``k`` unless given, are scored again by
+    the cosine of the vectors before they are cut to ``k``.
+    """
+    again = exact is not None
+    take_first = max(k, candidates or 4 * k) if again else k
+    rows = queries.where(F.col(value).isNotNull()).select(F.col(key).alias("query_id"), value).orderBy("query_id")
+    ids, data, out = [], [], None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, q = shared.value
-        for batch in batches:
-            if not len(batch):
-                continue
-            as_rows = lambda c: np.stack([np.frombuffer(x, dtype=np.uint8) for x in batch[c]])
-            scores = estimate(q, as_rows("codes"), as_rows("signs"), batch["rest"].to_numpy(), batch["size"].to_numpy(), bits)
-            keys, take = batch[key].to_numpy(), min(k, len(batch))
-            order = np.argsort(-scores, axis=1, kind="stable")[:, :take]
-            yield pd.DataFrame({"query_id": np.repeat(names, take), key: keys[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
-
-    out = coded.mapInPandas(run, f"query_id long, `{key}` long, score double")
+    def flush() -> None:
+        nonlocal out, ids, data
+        if not ids:
+            return
+        shared = coded.sparkSession.sparkContext.broadcast((np.array(ids), np.array(data, dtype=np.float64)))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            names, q = shared.value
+            for batch in batches:
+                if not len(batch):
+                    continue
+                as_rows = lambda c: np.stack([np.frombuffer(x, dtype=np.uint8) for x in batch[c]])
+                scores = estimate(q, as_rows("codes"), as_rows("signs"), batch["rest"].to_numpy(), batch["size"].to_numpy(), bits)
+                if again:
+                    size = np.linalg.norm(q, axis=1)[:, None] * batch["size"].to_numpy()
+                    scores = np.divide(scores, size, out=np.zeros_like(scores), where=size > 0)
+                keys = batch[key].to_numpy()
+                take = min(take_first, len(keys))
+                order = np.lexsort((np.broadcast_to(keys, scores.shape), -scores), axis=1)[:, :take]
+                yield pd.DataFrame({"query_id": np.repeat(names, take), key: keys[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
+
+        part = coded.mapInPandas(run, f"query_id long, `{key}` long, score double")
+        out = part if out is None else out.unionByName(part)
+        ids, data = [], []
+
+    for row in rows.toLocalIterator():
+        ids.append(row[0])
+        data.append(row[1])
+        if len(ids) >= block:
+            flush()
+    flush()
+    if out is None:
+        return coded.sparkSession.createDataFrame([], f"query_id long, `{key}` long, score double, rank int")
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return out.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+    found = out.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= take_first)
+    if not again:
+        return found
+    asked = rows.select("query_id", F.col(value).alias("_asked")).dropDuplicates(["query_id"])
+    held = exact.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_held")).dropDuplicates([key])
+    scored = found.select("query_id", key).distinct().join(held, key).join(asked, "query_id").select("query_id", key, F.round(cosine(F.col("_asked"), F.col("_held")), 9).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
 
 
 def check_schema(vectors: DataFrame, dimensions: int, value: str = "embedding") -> DataFrame:

@@ -70,15 +70,15 @@ def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quantized_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    return vectors.search_quantized(vectors.quantized(rows), rows.where("vec_id % 100 = 0"), 10)
+    return vectors.search_quantized(vectors.quantized(rows), rows.where("vec_id % 100 = 0"), 10, exact=rows)
 
 
 def quantized_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of the exact ten nearest that are among the forty best by code."""
+    """Share of the exact ten nearest that are among the ten that ``quantized_topk`` serves."""
     rows = table(spark, sf_dir, "embeddings")
     asked = rows.where("vec_id % 100 = 0")
     exact = vectors.search(rows, asked, 10).select("query_id", "vec_id")
-    coded = vectors.search_quantized(vectors.quantized(rows), asked, 40).select("query_id", "vec_id", F.lit(1.0).alias("found"))
+    coded = quantized_topk(spark, sf_dir).select("query_id", "vec_id", F.lit(1.0).alias("found"))
     return exact.join(coded, ["query_id", "vec_id"], "left").agg(F.round(F.avg(F.coalesce("found", F.lit(0.0))), 4).alias("recall"))
 
 

@@ -91,3 +91,17 @@ def test_config():
     assert config.plain_json('{"a": "// no", /* x */ "b": [1, 2,], // y\n}') == '{"a": "// no",   "b": [1, 2],  \n}'.replace("],  \n", "]  \n")
     assert config.flat({"a": {"b": [1, {"c": None}]}, "d": "x"}) == [("a.b[0]", "1"), ("a.b[1].c", "null"), ("d", '"x"')]
     assert config.focus_queries("offline store") == ["offline store", config.FACETS[0][1], config.FACETS[3][1]]
+
+
+def test_quantized_search_serves_the_exact_neighbours_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    data = rng.standard_normal((400, 64))
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "vec_id long, embedding array<double>").repartition(3)
+    asked = rows.where("vec_id % 10 = 0")
+    got = vectors.search_quantized(vectors.quantized(rows), asked, 10, exact=rows, block=7).collect()
+    want = vectors.search(rows, asked, 10).collect()
+    assert len(got) == len(want) == 400
+    assert len({(r.query_id, r.vec_id) for r in got} & {(r.query_id, r.vec_id) for r in want}) >= 0.9 * 400
+    exact = {(r.query_id, r.vec_id): r.score for r in want}
+    assert all(abs(r.score - exact[r.query_id, r.vec_id]) < 1e-8 for r in got if (r.query_id, r.vec_id) in exact)
+    assert [r.rank for r in sorted(got, key=lambda r: (r.query_id, -r.score, r.vec_id))] == [*range(1, 11)] * 40
