@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.functions.text import top_directory
-from quarrylight.operators import catalog, extract, fusion, graph, lexical, packing
+from quarrylight.operators import answers, catalog, extract, fusion, graph, lexical, packing
 from quarrylight.runtime import cut
 
 
@@ -44,9 +44,9 @@ def retrieve(docs: DataFrame, questions: DataFrame, *, k: int = 20) -> DataFrame
     best = lexical.top(scored.withColumn("score", F.round("score", 6)), k, "query_id", [F.desc("score"), F.col("doc_id")])
     rows = best.join(docs.select("doc_id", "title", "text"), "doc_id").join(questions, "query_id")
     base = fusion.heuristic_score(F.lit(1.0) / (60 + F.col("rank")), "factual_local", F.col("query"), F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")), F.lit("chunk"), F.lit(False))
-    return rows.select(
+    return answers.query_excerpts(rows.withColumn("score", F.round(base, 9))).select(
         "query_id", "route", F.col("doc_id").cast("string").alias("id"), F.lit("chunk").alias("source_type"), F.col("doc_id").cast("string").alias("document_id"), "title",
-        F.substring(F.coalesce("text", F.lit("")), 1, 520).alias("snippet"), F.round(base, 9).alias("score"), "rank", F.lit(True).alias("citable"),
+        "snippet", "score", "rank", F.lit(True).alias("citable"),
     )
 
 

@@ -38,8 +38,10 @@ def title_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def citation_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = table(spark, sf_dir, "golden_cases").select(F.col("item_id").alias("query_id"), F.col("question").alias("query"), F.lit("factual_local").alias("route"), F.concat("expected_answer", F.lit(" [1, 3] [9]")).alias("answer"))
-    items = lifecycle.retrieve(table(spark, sf_dir, "documents"), cases.drop("answer"), k=5)
-    evidence = items.select("query_id", "rank", "citable", F.col("snippet").alias("source"), "snippet")
+    docs = table(spark, sf_dir, "documents")
+    items = lifecycle.retrieve(docs, cases.drop("answer"), k=5)
+    sources = docs.select(F.col("doc_id").cast("string").alias("document_id"), F.coalesce("text", F.lit("")).alias("source"))
+    evidence = items.join(sources, "document_id").select("query_id", "rank", "citable", "source", "snippet").dropDuplicates(["query_id", "rank", "source"])
     return answers.bind_citations(cases, evidence).groupBy("state").agg(F.count("*").alias("n"))
 
 
