@@ -90,6 +90,34 @@ def _two_rankings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return bm25_topk(spark, sf_dir), sparse_search(spark, sf_dir)
 
 
+def _over_cases(name: str):
+    """The search ``name`` with every question of golden_cases instead of the three literal ones."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = _docs(spark, sf_dir)
+        asked = _questions(spark, sf_dir).where("query_id IS NOT NULL AND query IS NOT NULL").select("query_id", "query")
+        keys, order = ["query_id", "doc_id"], [F.desc("score"), F.col("doc_id")]
+        scored = lexical.bm25(docs, asked).select(*keys, F.round("score", 6).alias("score"))
+        if name == "bm25_scores":
+            return scored
+        best = lexical.top(scored, 10, "query_id", order)
+        if name == "bm25_topk":
+            return best
+        if name == "facet_fusion":
+            hits = best.join(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("path")), "doc_id")
+            return fusion.focus_fusion(hits.select((F.col("query_id") - 1).alias("facet"), "path", "rank", "score")).select("path", F.round("fused", 9).alias("fused"), "appearances", "best")
+        dots = lexical.sparse_dot(lexical.sparse_vectors(asked, "query_id", "query"), lexical.sparse_vectors(docs), *keys).withColumn("score", F.round("score", 6))
+        sparse = lexical.top(dots, 10, "query_id", order)
+        if name == "sparse_search":
+            return sparse
+        if name == "rank_fusion":
+            return fusion.reciprocal_ranks([best, sparse], keys).select(*keys, F.round("score", 9).alias("score"), "first_list", "first_rank")
+        return fusion.dense_sparse(best, sparse, keys).select(*keys, "dense_rank", "sparse_rank", "visits", F.round("score", 9).alias("score"))
+
+    run.__name__ = f"{name}_of_cases"
+    return run
+
+
 def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     fused = fusion.reciprocal_ranks(list(_two_rankings(spark, sf_dir)), ["query_id", "doc_id"])
     return fused.select("query_id", "doc_id", F.round("score", 9).alias("score"), "first_list", "first_rank")
@@ -236,3 +264,11 @@ f AS (SELECT query_id, list_filter(a, lambda w: length(w) > 2 AND NOT regexp_mat
 SELECT query_id, round(len(list_intersect(e, a)) / greatest(len(e), 1), 3) AS relevance FROM f"""
     % (list(ANSWER_STOPWORDS), list(ANSWER_STOPWORDS)),
 }
+
+#: Searches that are also run for all questions of golden_cases; their SQL differs in ``asked`` only.
+_OVER_CASES = ("bm25_scores", "bm25_topk", "sparse_search", "rank_fusion", "dense_sparse_fusion", "facet_fusion")
+QUERIES |= {f"{name}_of_cases": _over_cases(name) for name in _OVER_CASES}
+ORACLE |= {
+    f"{name}_of_cases": ORACLE[name].replace(f"asked(query_id, query) AS (VALUES {_ASKED})", "asked AS (SELECT item_id AS query_id, question AS query FROM golden_cases WHERE item_id IS NOT NULL AND question IS NOT NULL)")
+    for name in _OVER_CASES
+}
