@@ -45,16 +45,17 @@ class Checker:
         kinds, fresh, starts = lex(text)
         if BAD in kinds:
             return False
-        pieces = self._pieces(text, kinds, fresh, starts) if language in PIECEWISE else [(kinds, fresh)]
+        pieces = self._pieces(text, kinds, fresh, starts, language) if language in PIECEWISE else [(kinds, fresh)]
         if len(pieces) > 1 and all(self._accepted(p, f, language, dialects) for p, f in pieces):
             return True
         return self._accepted(kinds, fresh, language, dialects)
 
-    def _pieces(self, text: str, kinds: list[str], fresh: list[bool], starts: list[int]) -> list[tuple[list, list]]:
+    def _pieces(self, text: str, kinds: list[str], fresh: list[bool], starts: list[int], language: str) -> list[tuple[list, list]]:
         cuts, depth = [0], 0
         for i, kind in enumerate(kinds):
             if i and not depth and kind not in _CLOSE and "\n\n" in text[starts[i - 1] : starts[i]].replace("\r", "").replace(" ", ""):
-                whole = kinds[i - 1] in ("NEWLINE", "DEDENT", "NL", ";", "}", ")", "STR", "ID", "`end", "NUM", "]", "done", "fi", "esac", "WORD")
+                # Statements of SQL need their separator; elsewhere a line's end may be one.
+                whole = kinds[i - 1] == ";" if language == "sql" else kinds[i - 1] in ("NEWLINE", "DEDENT", "NL", ";", "}", ")", "STR", "ID", "`end", "NUM", "]", "done", "fi", "esac", "WORD")
                 if whole and kind not in ("INDENT", "DEDENT", "else", "elif", "except", "finally", "NL", "."):
                     cuts.append(i)
             if kind in _OPEN or kind == "INDENT":

@@ -82,3 +82,10 @@ def test_rows(spark):
     assert {(r.generation_id, r.path) for r in check.invalid_files(files).collect()} == {(1, "a.py"), (1, "e.json"), (1, "l.py"), (3, "z.sql")}
     assert {(r.repository_id, r.language): (r.files, r.invalid) for r in check.invalid_rates(files).collect()}["r", "python"] == (4, 2)
     assert check.invalid_files(files.limit(0)).count() == 0
+
+
+def test_sql_needs_a_semicolon_before_a_blank_line():
+    from quarrylight.llm.syntax.check import Checker
+
+    assert not Checker().valid("SELECT a FROM t WHERE b = 1\n\nSELECT c FROM u;", "sql")
+    assert Checker().valid("SELECT a FROM t WHERE b = 1;\n\nSELECT c FROM u;", "sql")
