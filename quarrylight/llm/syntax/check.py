@@ -1,9 +1,8 @@
-"""Which source files their language's grammar rejects.
+"""Which source files every dialect of their language's grammar rejects.
 
-Token kinds, not texts, decide, so pieces of equal shape are parsed once: a
-file is cut where a blank line stands outside all brackets, and if every piece
-is a whole sequence of statements, the file is one too. Only when a piece is
-rejected is the file parsed as a whole, and that parse decides.
+Token kinds, not texts, decide. The parser keeps each distinct bracketed part
+(and in Python each distinct statement) of the texts it has seen as a node of
+its stack graph, so what recurs between files is parsed once per worker.
 
 Defined cases: null text has no verdict of its own (its content hash may have
 one); empty and blank texts are valid except as JSON; languages without a
@@ -13,7 +12,6 @@ once.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,59 +20,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.functions.paths import canonical_digest
-from quarrylight.llm.syntax.grammars import LANGUAGES, grammar
+from quarrylight.llm.syntax.grammars import LANGUAGES, grammar, lexer
 from quarrylight.llm.syntax.lexers import BAD
 from quarrylight.runtime import distinct_texts
 
-#: Languages whose files are sequences of statements that blank lines may part.
-PIECEWISE = {"python", "javascript", "typescript", "toml", "sql", "shell"}
-_OPEN, _CLOSE = {"(", "[", "{", "${", "`start"}, {")", "]", "}", "}$", "`end"}
-MAX_REMEMBERED = 500_000
 
 
 class Checker:
-    """Verdicts of one worker; remembers token shapes it has parsed."""
+    """Verdicts of one worker; ``more`` names dialects that count besides the usual ones."""
 
-    def __init__(self) -> None:
-        self.remembered: dict[bytes, bool] = {}
+    def __init__(self, more: tuple[str, ...] = ()) -> None:
+        self.more = more
 
     def valid(self, text: str, language: str) -> bool:
-        lex, dialects = LANGUAGES[language]
-        if not text.strip("﻿ \t\r\n"):
+        if not text.strip("\ufeff \t\r\n"):
             return language != "json"
-        kinds, fresh, starts = lex(text)
-        if BAD in kinds:
-            return False
-        pieces = self._pieces(text, kinds, fresh, starts, language) if language in PIECEWISE else [(kinds, fresh)]
-        if len(pieces) > 1 and all(self._accepted(p, f, language, dialects) for p, f in pieces):
-            return True
-        return self._accepted(kinds, fresh, language, dialects)
-
-    def _pieces(self, text: str, kinds: list[str], fresh: list[bool], starts: list[int], language: str) -> list[tuple[list, list]]:
-        cuts, depth = [0], 0
-        for i, kind in enumerate(kinds):
-            if i and not depth and kind not in _CLOSE and "\n\n" in text[starts[i - 1] : starts[i]].replace("\r", "").replace(" ", ""):
-                # Statements of SQL need their separator; elsewhere a line's end may be one.
-                whole = kinds[i - 1] == ";" if language == "sql" else kinds[i - 1] in ("NEWLINE", "DEDENT", "NL", ";", "}", ")", "STR", "ID", "`end", "NUM", "]", "done", "fi", "esac", "WORD")
-                if whole and kind not in ("INDENT", "DEDENT", "else", "elif", "except", "finally", "NL", "."):
-                    cuts.append(i)
-            if kind in _OPEN or kind == "INDENT":
-                depth += 1
-            elif kind in _CLOSE or kind == "DEDENT":
-                depth -= 1
-        cuts.append(len(kinds))
-        return [(kinds[a:b], fresh[a:b]) for a, b in zip(cuts, cuts[1:]) if b > a]
-
-    def _accepted(self, kinds: list[str], fresh: list[bool], language: str, dialects: tuple[str, ...]) -> bool:
-        shape = "\x00".join((language, *kinds)).encode() + b"\x01" + bytes(fresh)
-        key = hashlib.blake2b(shape, digest_size=16).digest()
-        found = self.remembered.get(key)
-        if found is None:
-            found = any(grammar(d).parse(kinds, fresh or None) < 0 for d in dialects)
-            if len(self.remembered) >= MAX_REMEMBERED:
-                self.remembered.clear()
-            self.remembered[key] = found
-        return found
+        kinds, fresh, _ = lexer(language, self.more)(text)
+        return BAD not in kinds and grammar(language, self.more).parse(kinds, fresh or None) < 0
 
 
 @lru_cache(maxsize=1)

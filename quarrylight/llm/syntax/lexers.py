@@ -56,6 +56,8 @@ def toml_tokens(text: str) -> Tokens:
 _PY_KEYS = _words(
     "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield"
 )
+#: Words with a meaning in some places or dialects only.
+PY_SOFT = frozenset(("match", "case", "type", "_"))
 _PREFIX = r"(?:[rRbBuUfFtT]|[rR][bBfFtT]|[bBfFtT][rR])?"
 _F_PREFIX = r"(?:[fFtT][rR]?|[rR][fFtT])"
 #: Between the braces of a formatted string anything may stand, quotes and line ends included.
@@ -68,7 +70,7 @@ _PY = re.compile(
 )
 
 
-def python_tokens(text: str) -> Tokens:
+def python_tokens(text: str, soft: frozenset[str] = PY_SOFT) -> Tokens:
     kinds: list[str] = []
     starts: list[int] = []
     stack, depth, begin = [0], 0, True
@@ -109,7 +111,7 @@ def python_tokens(text: str) -> Tokens:
                 begin = True
         elif g == "word":
             w = m[0]
-            kinds.append(w if w in _PY_KEYS else w if w in ("match", "case", "type", "_") else "ID")
+            kinds.append(w if w in _PY_KEYS else w if w in soft else "ID")
             starts.append(at)
         elif g == "mark":
             w = m[0]
@@ -134,10 +136,10 @@ def python_tokens(text: str) -> Tokens:
 
 # ---- JavaScript, TypeScript, Java ------------------------------------------
 
-_JS_KEYS = _words(
+JS_KEYS = _words(
     "break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof new return super switch this throw try typeof var void while with null true false enum"
 )
-_JS_SOFT = _words("let static async of get set from as await yield type interface namespace module declare abstract readonly keyof infer is asserts satisfies implements public private protected override unique accessor out global require")
+JS_SOFT = _words("let static async of get set from as await yield type interface namespace module declare abstract readonly keyof infer is asserts satisfies implements public private protected override unique accessor out global require")
 _C_MARKS = r"\.\.\.|=>|\?\?=|\*\*=|<<=|&&=|\|\|=|===|!==|\?\?|\?\.(?!\d)|\*\*|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|==|!=|<=|>=|<<|&&|\|\||->|::|[-+*/%&|^~<>()\[\]{},:.;=?!@#]"
 _JS = re.compile(
     rf"(?P<space>[ \t\f\v\u00a0\ufeff]+)|(?P<NL>[\r\n\u2028\u2029]+)|(?P<comment>//[^\n]*|/\*.*?\*/|<!--[^\n]*)|(?P<STR>\"(?:[^\"\\\n]|\\(?:\r\n|.))*\"|'(?:[^'\\\n]|\\(?:\r\n|.))*')"
@@ -189,7 +191,7 @@ def script_tokens(text: str) -> Tokens:
 
     while at < n:
         c = text[at]
-        if c == "/" and text[at + 1 : at + 2] not in ("/", "*") and (not kinds or kinds[-1] not in _VALUE_ENDS and kinds[-1] not in _JS_SOFT):
+        if c == "/" and text[at + 1 : at + 2] not in ("/", "*") and (not kinds or kinds[-1] not in _VALUE_ENDS and kinds[-1] not in JS_SOFT):
             m = _REGEX.match(text, at)
             if m:
                 put("REGEX", at)
@@ -200,7 +202,7 @@ def script_tokens(text: str) -> Tokens:
         if g == "word":
             m = _IDENT.match(text, at) or m
             w = m[0]
-            put(w if w in _JS_KEYS or w in _JS_SOFT else "ID", at)
+            put(w if w in JS_KEYS or w in JS_SOFT else "ID", at)
         elif g == "mark":
             w = m[0]
             if w == "{":
@@ -228,7 +230,7 @@ def script_tokens(text: str) -> Tokens:
 
 
 _JAVA_KEYS = _words(
-    "abstract assert boolean break byte case catch char class continue default do double else enum extends final finally float for if implements import instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while true false null var record yield sealed permits when"
+    "abstract assert boolean break byte case catch char class continue default do double else enum extends final finally float for if implements import instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while true false null var record yield sealed permits when non open module requires transitive exports opens to uses provides with"
 )
 _JAVA = re.compile(
     rf"(?P<space>\s+|//[^\n]*|/\*.*?\*/)|(?P<STR>\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\[^\n]{{1,6}})')|(?P<NUM>(?:0[xX][\da-fA-F_]+|0[bB][01_]+|(?:\d[\d_]*)?\.\d[\d_]*(?:[eE][+-]?\d+)?|\d[\d_]*\.?(?:[eE][+-]?\d+)?)[lLfFdD]?)(?![\w$])|(?P<word>[^\W\d][\w$]*|\$[\w$]*)|(?P<mark>{_C_MARKS})|(?P<bad>.)",
@@ -248,11 +250,9 @@ def java_tokens(text: str) -> Tokens:
 
 # ---- SQL -------------------------------------------------------------------
 
-_SQL_KEYS = _words(
-    "SELECT FROM WHERE GROUP ORDER BY HAVING LIMIT OFFSET JOIN INNER LEFT RIGHT FULL OUTER CROSS NATURAL ON USING AS AND OR NOT NULL CASE WHEN THEN ELSE END CREATE TABLE VIEW INSERT INTO VALUES UNION INTERSECT EXCEPT ALL DISTINCT IN IS BETWEEN LIKE ILIKE EXISTS UPDATE SET DELETE WITH RECURSIVE OVER PARTITION WINDOW ASC DESC CAST IF TRUE FALSE INTERVAL ESCAPE FETCH RETURNING DEFAULT"
-)
-_SQL_START = _words(
-    "ALTER DROP GRANT REVOKE USE BEGIN COMMIT ROLLBACK START EXPLAIN ANALYZE COPY PRAGMA TRUNCATE CALL DECLARE LOCK VACUUM COMMENT REPLACE MERGE SHOW DESCRIBE SAVEPOINT RELEASE DO EXECUTE PREPARE REFRESH ATTACH DETACH REINDEX"
+#: Words that no dialect takes for a name.
+SQL_RESERVED = frozenset(
+    "SELECT FROM WHERE GROUP ORDER BY HAVING LIMIT JOIN INNER LEFT RIGHT FULL OUTER CROSS NATURAL ON USING AS AND OR NOT NULL CASE WHEN THEN ELSE END CREATE TABLE INSERT INTO VALUES UNION INTERSECT EXCEPT ALL DISTINCT IN IS BETWEEN LIKE ILIKE EXISTS UPDATE SET DELETE WITH ASC DESC CAST TRUE FALSE FETCH DEFAULT".split()
 )
 _SQL = re.compile(
     r"(?P<space>\s+|--[^\n]*|/\*.*?\*/)|(?P<STR>[eEbBxXnN]?'(?:[^']|'')*'|(?P<tag>\$\w*\$).*?(?P=tag))|(?P<ID>\"(?:[^\"]|\"\")+\"|`[^`]+`|\[[A-Za-z_][\w ]*\]|[^\W\d][\w$]*)|(?P<NUM>\d+(?:\.\d*)?(?:[eE][+-]?\d+)?|\.\d+)|(?P<PARAM>[:@$?%]\w+|\?)|(?P<run>[<>=|]{4,})|(?P<mark>::|\|\||<=|>=|<>|!=|->>|->|=>|[-+*/%=<>(),.;\[\]^&|~#:@!])|(?P<bad>.)",
@@ -260,7 +260,8 @@ _SQL = re.compile(
 )
 
 
-def sql_tokens(text: str) -> Tokens:
+def sql_tokens(text: str, words: frozenset[str] = SQL_RESERVED) -> Tokens:
+    """Tokens; those of ``words`` are kinds of their own, whatever their case."""
     kinds, starts = [], []
     for m in _SQL.finditer(text.lstrip("\ufeff")):
         g = m.lastgroup
@@ -270,7 +271,7 @@ def sql_tokens(text: str) -> Tokens:
             continue
         if g == "ID":
             w = m[0].upper()
-            kinds.append(w if w in _SQL_KEYS else "START" if w in _SQL_START else "ID")
+            kinds.append(w if w in words else "ID")
         else:
             kinds.append(m[0] if g == "mark" else BAD if g in ("bad", "run") else g)
         starts.append(m.start())
