@@ -61,7 +61,8 @@ def flat_config(files: DataFrame) -> DataFrame:
                 rows += [(key, language, k, v) for k, v in flat(value)]
             yield pd.DataFrame(rows, columns=["text_key", "language", "key", "value"])
 
-    texts = distinct_texts(files.where(F.col("language").isin("json", "toml")), "text", "language", salt="path")
+    # Few distinct texts are left behind the partial aggregation, however many copies there are.
+    texts = distinct_texts(files.where(F.col("language").isin("json", "toml")), "text", "language", salt=("path",), hot=[])
     return texts.mapInPandas(run, "text_key string, language string, key string, value string").distinct()
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.runtime import distinct_texts
+from quarrylight.runtime import distinct_texts, hot_keys, spread_join
 
 SYMBOL = "text_key string, language string, name string, qualified_name string, kind string, line_start int, line_end int"
 EDGE = "text_key string, language string, source_name string, relation string, target_name string, line int, confidence double"
@@ -201,24 +201,22 @@ def _run(which: int, columns: list[str]):
     return run
 
 
-def _texts(files: DataFrame) -> DataFrame:
-    return distinct_texts(files.where("language IS NOT NULL"), "text", "language", salt="path")
-
-
-def _rows(files: DataFrame) -> DataFrame:
-    return files.where("text IS NOT NULL").select("generation_id", "path", "language", F.sha2("text", 256).alias("text_key")).distinct()
+def _joined(files: DataFrame, which: int, schema: str) -> DataFrame:
+    """What each file's text holds; each distinct text is read once, so unchanged files are not extracted again."""
+    columns = [c.split()[0] for c in schema.split(", ")]
+    salt = ("generation_id", "path")
+    rows = files.where("language IS NOT NULL AND text IS NOT NULL").select("generation_id", "path", "language", "text", F.sha2("text", 256).alias("text_key"))
+    hot = hot_keys(rows, "text_key")
+    found = distinct_texts(rows, "text", "language", salt=salt, hot=hot).mapInPandas(_run(which, columns), schema)
+    return spread_join(rows.drop("text").distinct(), found.distinct() if hot else found, ["text_key", "language"], "inner", hot, salt)
 
 
 def symbols(files: DataFrame) -> DataFrame:
-    """Symbols of every file; each distinct text is read once, so unchanged files are not extracted again."""
-    columns = [c.split()[0] for c in SYMBOL.split(", ")]
-    found = _texts(files).mapInPandas(_run(0, columns), SYMBOL).distinct()
-    rows = _rows(files).join(found, ["text_key", "language"])
+    """Symbols of every file."""
+    rows = _joined(files, 0, SYMBOL)
     identity = F.concat_ws("\x00", F.col("generation_id").cast("string"), "path", "qualified_name", "kind", F.col("line_start").cast("string"))
     return rows.select("generation_id", "path", "language", "name", "qualified_name", "kind", "line_start", "line_end", F.concat(F.lit("symbol_"), F.sha2(identity, 256)).alias("id"))
 
 
 def edges(files: DataFrame) -> DataFrame:
-    columns = [c.split()[0] for c in EDGE.split(", ")]
-    found = _texts(files).mapInPandas(_run(1, columns), EDGE).distinct()
-    return _rows(files).join(found, ["text_key", "language"]).select("generation_id", F.col("path").alias("source_path"), "source_name", "relation", "target_name", "line", "confidence")
+    return _joined(files, 1, EDGE).select("generation_id", F.col("path").alias("source_path"), "source_name", "relation", "target_name", "line", "confidence")

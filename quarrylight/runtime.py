@@ -7,7 +7,7 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -101,18 +101,48 @@ def spread(df: DataFrame, factor: int = 3) -> DataFrame:
     return df.repartition(want)
 
 
-def distinct_texts(df: DataFrame, text: str, *others: str, salt: str, salts: int = 4) -> DataFrame:
-    """The distinct texts of ``df`` (others, text) with ``text_key``, their SHA-256, in one shuffle.
+#: A value in fewer rows than this is never hot; of the more usual ones at most so many are.
+HOT_ROWS, HOT_KEYS = 10_000, 1_000
+#: Tasks over which a hot value is spread.
+COPIES = 16
 
-    Copies under one ``salt`` value meet in one task and leave one; a text held
-    by a third of all rows is spread over ``salts`` tasks and may come once from
-    each, so results are to be made distinct by their key.
+
+def hot_keys(rows: DataFrame, key: str) -> list[int]:
+    """Hashes of the most usual values of ``key``, HOT_KEYS of them at most.
+
+    Any other value holds less than a HOT_KEYS-th of the rows, or less than HOT_ROWS.
+    """
+    many = rows.where(F.col(key).isNotNull()).groupBy(F.xxhash64(key).alias("hash")).agg(F.count("*").alias("n"))
+    return [r["hash"] for r in many.orderBy(F.desc("n"), "hash").limit(HOT_KEYS).collect() if r["n"] >= HOT_ROWS]
+
+
+def _copy(key: Column, salt: tuple[str, ...], hot: list[int]) -> Column:
+    return F.when(F.xxhash64(key).isin(hot), F.pmod(F.xxhash64(*salt), F.lit(COPIES))).otherwise(F.lit(0))
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, hot: list[int], salt: tuple[str, ...]) -> DataFrame:
+    """An equi join in which the left rows of a hot first key, told apart by ``salt``, are spread over COPIES tasks.
+
+    The right side has few rows per key; those of hot keys are repeated.
     """
-    rows = df.where(F.col(text).isNotNull()).select(
-        *others, F.col(text).alias("text"), F.sha2(F.col(text), 256).alias("text_key"), F.pmod(F.xxhash64(salt), F.lit(salts)).alias("_salt")
-    )
-    return rows.repartition(partitions_for(rows), "text_key", "_salt").distinct().drop("_salt")
+    if not hot:
+        return left.join(right, keys, how)
+    place = unused(left, unused(right, "_copy"))
+    every = F.when(F.xxhash64(keys[0]).isin(hot), F.sequence(F.lit(0), F.lit(COPIES - 1)).cast("array<bigint>")).otherwise(F.array(F.lit(0).cast("long")))
+    return left.withColumn(place, _copy(F.col(keys[0]), salt, hot).cast("long")).join(right.withColumn(place, F.explode(every)), [*keys, place], how).drop(place)
 
 
-def data_home() -> str:
-    return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+def distinct_texts(df: DataFrame, text: str, *others: str, salt: tuple[str, ...], hot: list[int], more: dict[str, Column] | None = None) -> DataFrame:
+    """The distinct texts of ``df`` (others, text) with ``text_key``, their SHA-256.
+
+    Copies are dropped before the shuffle as far as they lie together; a text
+    whose key is ``hot`` is spread over COPIES tasks and may come once from
+    each, so results are to be made distinct by their key. ``more`` are
+    aggregates over the copies.
+    """
+    rows = df.where(F.col(text).isNotNull()).select("*", F.col(text).alias("_text"))
+    if hot:
+        rows = rows.withColumn("_copy", _copy(F.sha2("_text", 256), salt, hot))
+    each = rows.groupBy(*others, F.col("_text").alias("text"), *(["_copy"] if hot else []))
+    whole = each.agg(*[c.alias(n) for n, c in more.items()]) if more else each.agg(F.lit(1).alias("_one")).drop("_one")
+    return whole.drop("_copy").withColumn("text_key", F.sha2("text", 256))
