@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.runtime import distinct_texts
+from quarrylight.runtime import distinct_texts, hot_keys, spread_join
 
 # ---- tokens ----------------------------------------------------------------
 
@@ -675,7 +675,7 @@ def scan(texts: DataFrame) -> DataFrame:
             if rows:
                 yield pd.DataFrame(rows, columns=["text_key", "line_no", "start", "stop", "redacted"])
 
-    return texts.select("text_key", "text").mapInPandas(run, FOUND).dropDuplicates(["text_key", "start"])
+    return texts.select("text_key", "text").mapInPandas(run, FOUND)
 
 
 def _sources(files: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -692,7 +692,9 @@ def credentials(files: DataFrame, chunks: DataFrame) -> DataFrame:
 
     Each distinct text is scanned once; the narrow result is joined back.
     """
-    rows = _sources(files, chunks)
-    found = scan(distinct_texts(rows, "text", salt="record_key"))
-    keyed = rows.select("origin", "generation_id", "record_key", F.sha2("text", 256).alias("text_key")).distinct()
-    return keyed.join(found, "text_key").drop("text_key")
+    rows = _sources(files, chunks).withColumn("text_key", F.sha2("text", 256))
+    hot, salt = hot_keys(rows, "text_key"), ("generation_id", "record_key")
+    found = scan(distinct_texts(rows, "text", salt=salt, hot=hot))
+    if hot:
+        found = found.dropDuplicates(["text_key", "start"])
+    return spread_join(rows.drop("text").distinct(), found, ["text_key"], "inner", hot, salt).drop("text_key")

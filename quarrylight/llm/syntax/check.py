@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quarrylight.functions.paths import canonical_digest
 from quarrylight.llm.syntax.grammars import LANGUAGES, grammar, lexer
 from quarrylight.llm.syntax.lexers import BAD
-from quarrylight.runtime import distinct_texts
+from quarrylight.runtime import distinct_texts, hot_keys, spread_join
 
 
 
@@ -52,27 +52,35 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[bad, ["text_key", "language"]]
 
 
-def rejected_texts(files: DataFrame) -> DataFrame:
+def _keyed(files: DataFrame) -> DataFrame:
+    """The rows of supported languages with the key of their text."""
+    key = F.coalesce(F.sha2("text", 256), canonical_digest(F.col("content_hash"), F.lit(None).cast("string")))
+    return files.where(F.col("language").isin(*LANGUAGES)).select("generation_id", "repository_id", "path", "language", "text", key.alias("text_key"))
+
+
+def rejected_texts(keyed: DataFrame, hot: list[int]) -> DataFrame:
     """text_key and language of every distinct text that is invalid in its language."""
-    known = files.where(F.col("language").isin(*LANGUAGES))
-    return distinct_texts(known, "text", "language", salt="path").mapInPandas(_judge, "text_key string, language string").distinct()
+    texts = distinct_texts(keyed, "text", "language", salt=("generation_id", "path"), hot=hot)
+    bad = texts.mapInPandas(_judge, "text_key string, language string")
+    return bad.distinct() if hot else bad
 
 
-def _keyed(files: DataFrame) -> DataFrame:
-    key = F.coalesce(F.sha2("text", 256), canonical_digest(F.col("content_hash"), F.lit(None).cast("string")))
-    return files.where(F.col("language").isin(*LANGUAGES)).withColumn("text_key", key)
+def _judged(files: DataFrame, how: str) -> DataFrame:
+    keyed = _keyed(files)
+    hot = hot_keys(keyed, "text_key")
+    bad = rejected_texts(keyed, hot)
+    if how == "left":
+        bad = bad.withColumn("bad", F.lit(1))
+    return spread_join(keyed.drop("text").distinct(), bad, ["text_key", "language"], how, hot, ("generation_id", "path"))
 
 
 def invalid_files(files: DataFrame) -> DataFrame:
     """The rows of ``files`` whose text is invalid; distinct generation_id, repository_id, path, language."""
-    keyed = _keyed(files).select("generation_id", "repository_id", "path", "language", "text_key").distinct()
-    return keyed.join(rejected_texts(files), ["text_key", "language"], "left_semi").drop("text_key")
+    return _judged(files, "left_semi").drop("text_key").distinct()
 
 
 def invalid_rates(files: DataFrame) -> DataFrame:
     """Files and share of invalid ones per repository and language."""
-    keyed = _keyed(files).select("generation_id", "repository_id", "path", "language", "text_key").distinct()
-    marked = keyed.join(rejected_texts(files).withColumn("bad", F.lit(1)), ["text_key", "language"], "left")
-    return marked.groupBy("repository_id", "language").agg(
+    return _judged(files, "left").groupBy("repository_id", "language").agg(
         F.count("*").alias("files"), F.count("bad").alias("invalid"), F.avg(F.coalesce("bad", F.lit(0))).alias("rate")
     )
