@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.runtime import spread
+from quarrylight.runtime import cut, spread
 
 #: ISO 639 codes and usual names of the supported languages.
 NAMES = {
@@ -52,6 +52,8 @@ SECOND_CONFIDENCE = 0.93
 
 _SENTENCE = re.compile(r"[^.!?…;\n。]+[.!?…;。]*")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS_ASCII = re.compile(r"[A-Za-z]+")
+_QUOTES = re.compile("[«“„\"‹]")
 
 
 def label_language(label: Column) -> Column:
@@ -89,19 +91,36 @@ def _mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(32))
 
 
-def grams(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the n-gram from each position, and whether it lies within one word and its borders."""
-    n = len(codes) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    value = np.full(n, size, dtype=np.uint64)
+def grams(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per size: where an n-gram lies within one word and its borders, and its hash there.
+
+    Each size goes on from the one below it.
+    """
     space = codes == 32
-    ok = ~(space[:n] & space[size - 1 : size - 1 + n]) if size < 3 else np.ones(n, bool)
-    for k in range(size):
-        value = value * np.uint64(1099511628211) + codes[k : k + n]
-        if 0 < k < size - 1:
-            ok &= ~space[k : k + n]
-    return _mix(value), ok
+    value, inside = codes.astype(np.uint64), np.ones(len(codes), bool)
+    for size in range(2, max(GRAM_SIZES) + 1):
+        n = len(codes) - size + 1
+        if n <= 0:
+            return
+        value = value[:n] * np.uint64(1099511628211) + codes[size - 1 :]
+        inside = inside[:n]
+        if size > 2:
+            inside = inside & ~space[size - 2 : size - 2 + n]
+        if size in GRAM_SIZES:
+            at = np.nonzero(inside)[0]
+            yield size, at, _mix(value[at] + np.uint64(size))
+
+
+#: Bits of one count.
+FIELD = 21
+#: For every three languages (the last stands for any of them): which a byte of the filter names, a field each.
+_TABLES = {
+    g: np.array(
+        [sum(int(v > 0 if b == len(LANGUAGES) else v >> b & 1) << FIELD * (b - g) for b in range(g, min(g + 3, len(LANGUAGES) + 1))) for v in range(256)],
+        dtype=np.uint64,
+    )
+    for g in range(0, len(LANGUAGES) + 1, 3)
+}
 
 
 class LanguageFilter:
@@ -113,7 +132,9 @@ class LanguageFilter:
         self._false: np.ndarray | None = None
 
     def _cell(self, values: np.ndarray, k: int) -> np.ndarray:
-        return ((values >> np.uint64(21 * k)) % np.uint64(len(self.bits))).astype(np.int64)
+        moved = values >> np.uint64(21 * k)
+        cells = len(self.bits)
+        return (moved & np.uint64(cells - 1) if cells & (cells - 1) == 0 else moved % np.uint64(cells)).view(np.int64)
 
     def add(self, values: np.ndarray, masks: np.ndarray) -> None:
         self._false = None
@@ -121,8 +142,8 @@ class LanguageFilter:
             np.bitwise_or.at(self.bits, self._cell(values, k), masks)
 
     def masks(self, values: np.ndarray) -> np.ndarray:
-        out = np.full(len(values), 0x7F, dtype=np.uint8)
-        for k in range(self.hashes):
+        out = self.bits[self._cell(values, 0)]
+        for k in range(1, self.hashes):
             out &= self.bits[self._cell(values, k)]
         return out
 
@@ -133,6 +154,13 @@ class LanguageFilter:
             self._false = fill**self.hashes
         return self._false
 
+    @staticmethod
+    def _add(count: np.ndarray, total: np.ndarray, b: int, more: np.ndarray) -> None:
+        if b < len(LANGUAGES):
+            count[:, b] += more
+        else:
+            total += more
+
     def rates(self, texts: list[str], spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
         """Corrected share of each span's n-grams that each language contains, and their number.
 
@@ -141,22 +169,25 @@ class LanguageFilter:
         codes = _codes(*texts)
         count = np.zeros((len(spans), len(LANGUAGES)))
         total = np.zeros(len(spans))
-        starts = np.array([s for s, _ in spans]) + 1
-        ends = np.array([e for _, e in spans]) + 1
-        for size in GRAM_SIZES:
-            values, ok = grams(codes, size)
-            if not len(values):
-                continue
-            at = np.nonzero(ok)[0]
-            bits = self.masks(values[at])
+        starts = np.array([s for s, _ in spans], dtype=np.int64)
+        ends = np.array([e for _, e in spans], dtype=np.int64) + 1
+        for size, at, values in grams(codes):
+            bits = self.masks(values)
             # The border before a word belongs to it.
-            low, high = np.searchsorted(at, starts - 1), np.searchsorted(at, np.maximum(starts - 1, ends - size + 2))
-            known = bits > 0
-            run = np.concatenate(([0], np.cumsum(known)))
-            total += run[high] - run[low]
-            for b in range(len(LANGUAGES)):
-                run = np.concatenate(([0], np.cumsum((bits >> b) & 1)))
-                count[:, b] += run[high] - run[low]
+            low, high = np.searchsorted(at, starts), np.searchsorted(at, np.maximum(starts, ends - size + 2))
+            # Three counts in the fields of one sum; a field holds the count of any span of this many n-grams.
+            wide = (high - low).max(initial=0) >= 1 << FIELD
+            for group in range(0, len(LANGUAGES) + 1, 3):
+                fields = range(group, min(group + 3, len(LANGUAGES) + 1))
+                if wide:
+                    for b in fields:
+                        run = np.concatenate(([0], np.cumsum((_TABLES[group][bits] >> np.uint64(FIELD * (b - group))) & np.uint64(1))))
+                        self._add(count, total, b, (run[high] - run[low]).astype(float))
+                    continue
+                run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_TABLES[group][bits])))
+                sums = run[high] - run[low]
+                for b in fields:
+                    self._add(count, total, b, (sums >> np.uint64(FIELD * (b - group)) & np.uint64((1 << FIELD) - 1)).astype(float))
         fp = self.false_rates()
         many = np.maximum(total, 1)[:, None]
         return np.clip((count / many - fp) / (1 - fp), 0, 1), total
@@ -169,30 +200,41 @@ def _count_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     found: dict[str, Counter] = {code: Counter() for code in LANGUAGES}
     for batch in batches:
         for code, text in zip(batch["label"], batch["text"]):
-            codes = _codes(text)
-            for size in GRAM_SIZES:
-                values, ok = grams(codes, size)
+            for _, _, values in grams(_codes(text)):
                 # One vote per document, so that a long or repetitive one does not prevail.
-                found[code].update(np.unique(values[ok]).view(np.int64).tolist())
+                found[code].update(np.unique(values).view(np.int64).tolist())
     rows = [(code, gram, n) for code, c in found.items() for gram, n in c.items()]
     if rows:
         yield pd.DataFrame(rows, columns=["label", "gram", "n"])
 
 
+#: Documents of a label are looked at until, at this share of fitting lengths, the sample is full.
+OVERSAMPLE = 6
+
+
+def sample_of(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """label, text, doc_id of at most ``sample_docs`` labelled documents per language, drawn by a hash of their id.
+
+    The labels alone are counted first, so the one pass over the texts keeps
+    only hashes below a threshold of their language, however large the corpus.
+    """
+    label = label_language(F.col("lang"))
+    many = {r["label"]: r["n"] for r in docs.groupBy(label.alias("label")).agg(F.count("*").alias("n")).collect() if r["label"]}
+    low = F.xxhash64("doc_id")
+    keep = F.lit(False)
+    for code, n in many.items():
+        part = sample_docs * OVERSAMPLE / n
+        most = (1 << 63) - 1 if part >= 1 else int(part * (1 << 64)) - (1 << 63)
+        keep = keep | ((F.col("label") == code) & (F.col("low") <= F.lit(most)))
+    fit = docs.select(label.alias("label"), "text", "doc_id", low.alias("low")).where(keep & F.length("text").between(80, SAMPLE_CHARS))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("low", "text"))
+    return fit.withColumn("place", place).where(F.col("place") <= sample_docs).select("label", "text", "doc_id")
+
+
 def fit_filter(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, sample_grams: int = SAMPLE_GRAMS) -> LanguageFilter:
     """Fit on at most ``sample_docs`` labelled documents per language, each of at most
     SAMPLE_CHARS characters, keeping the ``sample_grams`` most usual n-grams of each."""
-    known = docs.select(label_language(F.col("lang")).alias("label"), "text", "doc_id").where(
-        F.col("label").isNotNull() & F.length("text").between(80, SAMPLE_CHARS)
-    )
-    # Sampling by a hash of the id; the per-label top-k needs no shuffle of the corpus.
-    parts = [
-        known.where(F.col("label") == code).select("label", "text", "doc_id").orderBy(F.xxhash64("doc_id"), "text").limit(sample_docs)
-        for code in LANGUAGES
-    ]
-    sample = parts[0]
-    for part in parts[1:]:
-        sample = sample.unionByName(part)
+    sample = cut(sample_of(docs, sample_docs))
     counted = (
         sample.repartition(len(LANGUAGES) * 2, F.xxhash64("doc_id"))
         .mapInPandas(_count_batch, "label string, gram long, n long")
@@ -219,13 +261,16 @@ def fit_filter(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, sample_grams:
 
 _CODE = re.compile(r"[{}=<>|\\$#@_`~^]|\w\(|\)\s*[:;{]|::|->|\s--|\bdef\b|\bimport\b|\b(?:SELECT|FROM|WHERE|GROUP BY|INSERT|UPDATE|JOIN)\b")
 #: What a line holds if _CODE can match in it.
-_CODE_MARKS = frozenset("{}=<>|\\$#@_`~^()-:")
-_CODE_WORDS = ("def", "import", "SELECT", "FROM", "WHERE", "GROUP BY", "INSERT", "UPDATE", "JOIN")
+_MAY_BE_CODE = re.compile(r"[{}=<>|\\$#@_`~^()\-:]|def|import|SELECT|FROM|WHERE|GROUP BY|INSERT|UPDATE|JOIN")
 _QUOTED = re.compile(r"«[^«»]*»|“[^“”]*”|„[^„“”]*[“”]|\"[^\"]*\"|‹[^‹›]*›")
 _CUE = re.compile(r"^\s*(?:\d+\s*$|\d+:\d\d:\d\d[.,]\d+\s*-->|\[\d+:\d\d(?::\d\d)?\]\s*|[-*+]\s+|\d+[.)]\s+|>\s*)")
 _HEADING = re.compile(r"^\s*#+\s")
 
 
+def _words(piece: str) -> list[str]:
+    return (_LETTERS_ASCII if piece.isascii() else _LETTERS).findall(piece)
+
+
 def sentences(text: str) -> list[tuple[int, int, bool]]:
     """Spans that may be sentences, and whether each is a full one (not a heading or fragment)."""
     out = []
@@ -239,21 +284,21 @@ def sentences(text: str) -> list[tuple[int, int, bool]]:
         if in_code or not line or not _LETTERS.search(line):
             continue
         heading = bool(_HEADING.match(line))
-        coded = not _CODE_MARKS.isdisjoint(line) or any(k in line for k in _CODE_WORDS)
-        if coded and not heading and len(_CODE.findall(line)) * 8 > len(_LETTERS.findall(line)):
+        coded = bool(_MAY_BE_CODE.search(line))
+        if coded and not heading and len(_CODE.findall(line)) * 8 > len(_words(line)):
             continue
         cue = _CUE.match(line)
         skip = cue.end() if cue else 0
         for found in _SENTENCE.finditer(line, skip):
             piece = found[0]
-            words = _LETTERS.findall(piece)
+            words = _words(piece)
             if len(words) < 3:
                 continue
             noise = len(_CODE.findall(piece)) if coded else 0
             if noise * 3 > len(words):
                 continue
             # A quoted title is no sentence of the text that quotes it.
-            bare = _LETTERS.findall(_QUOTED.sub(" ", piece)) if any(q in piece for q in '«“„"‹') else words
+            bare = _words(_QUOTED.sub(" ", piece)) if _QUOTES.search(piece) else words
             full = not heading and len(bare) >= MIN_WORDS and sum(map(len, bare)) >= MIN_LETTERS
             ended = piece.rstrip()[-1] in ".!?…;。" or len(words) >= 9
             out.append((begin + found.start(), begin + found.end(), full and ended and noise == 0))
