@@ -209,7 +209,7 @@ def _count_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 #: Documents of a label are looked at until, at this share of fitting lengths, the sample is full.
-OVERSAMPLE = 6
+OVERSAMPLE = 3
 
 
 def sample_of(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
@@ -278,16 +278,18 @@ def sentences(text: str) -> list[tuple[int, int, bool]]:
     in_code = False
     for line in text.split("\n"):
         begin, at = at, at + len(line) + 1
-        if line.lstrip().startswith("```"):
+        if "```" in line and line.lstrip().startswith("```"):
             in_code = not in_code
             continue
-        if in_code or not line or not _LETTERS.search(line):
+        if in_code or not line:
             continue
-        heading = bool(_HEADING.match(line))
+        # Only what begins a line with a sign or number is a heading or cue.
+        plain = line[0].isalpha()
+        heading = not plain and bool(_HEADING.match(line))
         coded = bool(_MAY_BE_CODE.search(line))
         if coded and not heading and len(_CODE.findall(line)) * 8 > len(_words(line)):
             continue
-        cue = _CUE.match(line)
+        cue = None if plain else _CUE.match(line)
         skip = cue.end() if cue else 0
         for found in _SENTENCE.finditer(line, skip):
             piece = found[0]
