@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylight.operators.hierarchy import descendant_counts, hierarchy
+from quarrylight.operators.hierarchy import hierarchy
 from quarrylight.operators.snapshots import file_changes
 from quarrylight.runtime import table
 
@@ -20,9 +20,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = table(spark, sf_dir, "document_nodes").select("id", "document_id", "parent_id", "order_index", "ingested_at")
-    tree = hierarchy(nodes)
-    counts = descendant_counts(tree).drop("depth")
-    return tree.join(counts, "id").select("id", "root_id", "depth", "path", "descendants")
+    return hierarchy(nodes, with_counts=True).select("id", "root_id", "depth", "path", "descendants")
 
 
 QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_paths": p5_paths}
