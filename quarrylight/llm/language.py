@@ -59,11 +59,8 @@ _QUOTES = re.compile("[«“„\"‹]")
 def label_language(label: Column) -> Column:
     """The supported language that a label names; null for any other label."""
     plain = F.lower(F.trim(label))
-    base = F.regexp_replace(plain, r"[-_@.].*$", "")
-    out = F.lit(None).cast("string")
-    for code, names in NAMES.items():
-        out = F.when(plain.isin(*names) | base.isin(*names), F.lit(code)).otherwise(out)
-    return out
+    known = F.create_map(*[F.lit(x) for code, names in NAMES.items() for name in names for x in (name, code)])
+    return F.coalesce(F.try_element_at(known, plain), F.try_element_at(known, F.regexp_replace(plain, r"[-_@.].*$", "")))
 
 
 # ---- n-grams ---------------------------------------------------------------
@@ -161,16 +158,15 @@ class LanguageFilter:
         else:
             total += more
 
-    def rates(self, texts: list[str], spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    def rates(self, texts: list[str], starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Corrected share of each span's n-grams that each language contains, and their number.
 
         Spans count characters over all texts, with one more after each text.
         """
         codes = _codes(*texts)
-        count = np.zeros((len(spans), len(LANGUAGES)))
-        total = np.zeros(len(spans))
-        starts = np.array([s for s, _ in spans], dtype=np.int64)
-        ends = np.array([e for _, e in spans], dtype=np.int64) + 1
+        count = np.zeros((len(starts), len(LANGUAGES)))
+        total = np.zeros(len(starts))
+        ends = ends + 1
         for size, at, values in grams(codes):
             bits = self.masks(values)
             # The border before a word belongs to it.
@@ -311,27 +307,27 @@ def sentences(text: str) -> list[tuple[int, int, bool]]:
 BLOCK_CHARS = 400_000
 
 
-def _segments(held: LanguageFilter, texts: list[str]) -> list[list[tuple[int, int, str, float, bool]]]:
-    """Per text: start, end, language, confidence and fullness of each recognised sentence."""
-    out: list[list] = []
-    block: list[str] = []
-    size = 0
-    for text in texts:
+def _blocks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Texts in blocks of about BLOCK_CHARS characters, with the place of each block's first."""
+    block, size, first = [], 0, 0
+    for i, text in enumerate(texts):
         block.append(text)
         size += len(text)
         if size >= BLOCK_CHARS:
-            out += _segments_of_block(held, block)
-            block, size = [], 0
-    return out + _segments_of_block(held, block)
+            yield first, block
+            block, size, first = [], 0, i + 1
+    if block:
+        yield first, block
 
 
-def _segments_of_block(held: LanguageFilter, texts: list[str]) -> list[list]:
-    out: list[list] = [[] for _ in texts]
+def _sure(held: LanguageFilter, texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Text, start, end, fullness, language and confidence of each recognised sentence."""
     found = [(i, a, b, full) for i, t in enumerate(texts) if t for a, b, full in sentences(t)]
     if not found:
-        return out
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
+    at, a, b, full = (np.array(x, dtype=np.int64) for x in zip(*found))
     begins = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
-    rates, total = held.rates(texts, [(begins[i] + a, begins[i] + b) for i, a, b, _ in found])
+    rates, total = held.rates(texts, begins[at] + a, begins[at] + b)
     top = np.argsort(-rates, axis=1, kind="stable")
     rows = np.arange(len(found))
     best, second = rates[rows, top[:, 0]], rates[rows, top[:, 1]]
@@ -339,15 +335,25 @@ def _segments_of_block(held: LanguageFilter, texts: list[str]) -> list[list]:
     deviation = np.sqrt(np.maximum(best * (1 - best), 0.02) / np.maximum(total, 1))
     confidence = 1 / (1 + np.exp(-(best - second) / deviation)) * best
     sure = (best >= MIN_RATE) & (best - second >= MIN_MARGIN) & (total >= 12)
-    for k in np.nonzero(sure)[0]:
-        i, a, b, full = found[k]
-        out[i].append((a, b, LANGUAGES[top[k, 0]], float(confidence[k]), bool(full)))
+    return at[sure], a[sure], b[sure], full[sure], top[sure, 0], confidence[sure]
+
+
+def _segments(held: LanguageFilter, texts: list[str]) -> list[list[tuple[int, int, str, float, bool]]]:
+    """Per text: start, end, language, confidence and fullness of each recognised sentence."""
+    out: list[list] = [[] for _ in texts]
+    for first, block in _blocks(texts):
+        for i, a, b, full, lang, confidence in zip(*(x.tolist() for x in _sure(held, block))):
+            out[first + i].append((a, b, LANGUAGES[lang], confidence, bool(full)))
     return out
 
 
 SEGMENT = "start int, end int, lang string, confidence double, full boolean"
 
 
+def _read(docs: DataFrame) -> DataFrame:
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), label_language(F.col("lang")).alias("label"), "text"))
+
+
 def segments(docs: DataFrame, held: LanguageFilter) -> DataFrame:
     """One row per document: its id, label and recognised sentences."""
     shared = docs.sparkSession.sparkContext.broadcast(held)
@@ -361,23 +367,41 @@ def segments(docs: DataFrame, held: LanguageFilter) -> DataFrame:
             ]
             yield batch[["doc_id", "label", "segments"]]
 
-    narrow = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), label_language(F.col("lang")).alias("label"), "text"))
-    return narrow.mapInPandas(run, f"doc_id long, label string, segments array<struct<{SEGMENT.replace(' ', ':').replace(',:', ',')}>>")
+    return _read(docs).mapInPandas(run, f"doc_id long, label string, segments array<struct<{SEGMENT.replace(' ', ':').replace(',:', ',')}>>")
+
 
+PER_LANGUAGE = "doc_id long, label string, lang string, sentences long, chars long, confidence double, surest double"
 
-def languages(marked: DataFrame) -> DataFrame:
+
+def languages(docs: DataFrame, held: LanguageFilter) -> DataFrame:
     """doc_id, label, lang, sentences, chars and confidence of each language of each document.
 
     The language of most text counts; a further one does if a full sentence is
     surely in it, since neighbouring languages share many short sentences.
+    Sentences are summed up per document where they are read.
     """
-    each = marked.select("doc_id", "label", F.explode("segments").alias("s")).select("doc_id", "label", "s.*")
-    per = each.groupBy("doc_id", "label", "lang").agg(
-        F.sum(F.col("full").cast("int")).alias("sentences"),
-        F.sum(F.col("end") - F.col("start")).alias("chars"),
-        F.avg("confidence").alias("confidence"),
-        F.max(F.when(F.col("full"), F.col("confidence"))).alias("surest"),
-    )
+    shared = docs.sparkSession.sparkContext.broadcast(held)
+    many = len(LANGUAGES)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        filt = shared.value
+        for batch in batches:
+            ids, labels = batch["doc_id"].to_numpy(), batch["label"].to_numpy()
+            for first, block in _blocks([t or "" for t in batch["text"]]):
+                at, a, b, full, lang, confidence = _sure(filt, block)
+                key, inverse = np.unique(at * many + lang, return_inverse=True)
+                n = len(key)
+                surest = np.full(n, -1.0)
+                np.maximum.at(surest, inverse[full > 0], confidence[full > 0])
+                at = first + key // many
+                yield pd.DataFrame(
+                    {
+                        "doc_id": ids[at], "label": labels[at], "lang": [LANGUAGES[k] for k in (key % many).tolist()], "sentences": np.bincount(inverse, weights=full, minlength=n).astype(np.int64), "chars": np.bincount(inverse, weights=b - a, minlength=n).astype(np.int64),
+                        "confidence": np.bincount(inverse, weights=confidence, minlength=n) / np.maximum(np.bincount(inverse, minlength=n), 1), "surest": surest,
+                    }
+                )
+
+    per = _read(docs).mapInPandas(run, PER_LANGUAGE)
     doc = Window.partitionBy("doc_id", "label")
     return (
         per.withColumn("most", F.max("sentences").over(doc))

@@ -81,18 +81,19 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.without_leaks(table(spark, sf_dir, "documents").select("doc_id"), _leaks(spark, sf_dir))
 
 
-def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return language.segments(docs, language.fit_filter(docs))
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.wrong_labels(language.languages(_marked(spark, sf_dir)))
+    docs = _texts(spark, sf_dir)
+    return language.wrong_labels(language.languages(docs, language.fit_filter(docs)))
 
 
 def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every recognised sentence with its language and confidence."""
-    return _marked(spark, sf_dir).select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.*")
+    docs = _texts(spark, sf_dir)
+    return language.segments(docs, language.fit_filter(docs)).select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.*")
 
 
 QUERIES = {

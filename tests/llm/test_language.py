@@ -30,7 +30,8 @@ def test_labels_and_mixtures(spark):
     rows = corpus() + [(i, t, lab, "x") for i, t, lab in CASES]
     docs = spark.createDataFrame(rows + rows[:1], "doc_id long, text string, lang string, label string")
     held = language.fit_filter(docs)
-    found = language.languages(language.segments(docs, held))
+    found = language.languages(docs, held)
+    assert {(r.doc_id, s.lang) for r in language.segments(docs, held).collect() for s in r.segments} >= {(r.doc_id, r.lang) for r in found.collect()}
     got = {(r.doc_id, r.lang) for r in language.wrong_labels(found).collect()}
     assert got == {(101, "es"), (102, "fr"), (103, "de"), (103, "it"), (108, "pt"), (110, "ca")}
     assert all(0 < r.confidence <= 1 for r in found.collect())
@@ -51,4 +52,4 @@ def test_filter_counts_all_languages():
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     held = language.fit_filter(docs)
-    assert language.languages(language.segments(docs, held)).count() == 0
+    assert language.languages(docs, held).count() == 0 and language.segments(docs, held).count() == 0
