@@ -10,11 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.functions.text import proposition_kind, sentences
+from quarrylight.functions.text import GRAPH_STOPWORDS, proposition_kind, sentences
 from quarrylight.runtime import cut, spread
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _WORD = re.compile(r"[^\W_]+", re.UNICODE)
+_LINKLESS = frozenset(GRAPH_STOPWORDS)
 ALIKE = 0.8
 MOST_LINKS, LEAST_GAP = 5, 2
 
@@ -44,7 +45,7 @@ def keyword_links(rows: pd.DataFrame) -> pd.DataFrame:
     Postings replace the comparison of all pairs, the order of choice stays.
     """
     rows = rows.sort_values("pos")
-    words = [{w for w in re.sub(r"[^\w\s]", " ", t).lower().split() if len(w) >= 5} for t in rows["sentence"]]
+    words = [{w for w in re.sub(r"[^\w\s]", " ", t).lower().split() if len(w) >= 5 and w not in _LINKLESS} for t in rows["sentence"]]
     counts = Counter(w for s in words for w in s)
     bound = max(2, len(rows) * 0.25)
     words = [{w for w in s if counts[w] <= bound} for s in words]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.functions.text import answer_tokens, citation_indices, claims, fold_accents
+from quarrylight.functions.text import answer_tokens, citation_indices, claims, fold_accents, support_tokens
 
 SUPPORTED = 0.18
 CITATION = r"\[\d+(?:\s*,\s*\d+)*\]"
@@ -40,10 +40,10 @@ def retrieval_metrics(hits: DataFrame, keywords: DataFrame, *, top_k: int = 20)
 
 
 def answer_claims(answers: DataFrame) -> DataFrame:
-    """query_id, claim number, text, scoring tokens, cited numbers; claims with three tokens or more."""
+    """query_id, claim number, text, weighty tokens, cited numbers; claims with three tokens or more."""
     each = answers.select("query_id", F.posexplode(claims(F.col("answer"))).alias("n", "claim"))
-    rows = each.withColumn("folded", fold_accents(F.regexp_replace("claim", CITATION, " ")))
-    return rows.select("query_id", "n", "claim", answer_tokens(F.col("folded")).alias("tokens"), citation_indices(F.col("claim")).alias("cited")).where(F.size("tokens") >= 3)
+    rows = each.select("query_id", "n", "claim", support_tokens(F.regexp_replace("claim", CITATION, " ")).alias("tokens"), citation_indices(F.col("claim")).alias("cited"))
+    return rows.where(F.size("tokens") >= 3)
 
 
 def claim_support(answers: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def claim_support(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     ``evidence``: query_id, rank, text, citable.
     """
     cited = answer_claims(answers)
-    held = evidence.where("citable").withColumn("folded", fold_accents(F.col("text"))).select("query_id", F.col("rank").alias("ref"), answer_tokens(F.col("folded")).alias("known"))
+    held = evidence.where("citable").select("query_id", F.col("rank").alias("ref"), support_tokens(F.col("text")).alias("known"))
     pairs = cited.select("query_id", "n", "tokens", F.explode_outer("cited").alias("ref")).join(held, ["query_id", "ref"], "left")
     shared = F.size(F.array_intersect("tokens", "known"))
     recall, precision = shared / F.greatest(F.size("tokens"), F.lit(1)), shared / F.greatest(F.size("known"), F.lit(1))

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions.text import bucket_of, code_terms, looks_like_test, top_directory
@@ -74,24 +73,28 @@ def expand(edges: DataFrame, seeds: DataFrame, depth: int, *, per_hop: int | Non
     return seen
 
 
-def _page_rank_in_one_task(nodes: DataFrame, links: DataFrame, iterations: int, damping: float) -> DataFrame:
-    """The same iteration over arrays, for graphs of proven small size."""
+def _rank_arrays(names: np.ndarray, source: np.ndarray, target: np.ndarray, iterations: int, damping: float) -> np.ndarray:
+    a, b = np.searchsorted(names, source), np.searchsorted(names, target)
+    n = len(names)
+    degree = np.bincount(a, minlength=n)
+    rank = np.full(n, 1.0 / max(1, n))
+    for _ in range(iterations):
+        share = damping * rank / np.maximum(degree, 1)
+        rank = (1 - damping) / n + damping * rank[degree == 0].sum() / n + np.bincount(b, weights=share[a], minlength=n)
+    return rank
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True)
+
+def _page_rank_in_tasks(nodes: DataFrame, links: DataFrame, iterations: int, damping: float) -> DataFrame:
+    """The same iteration over arrays, for graphs that each fit one task."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         names = np.unique(rows.loc[rows["target"].isna(), "source"].to_numpy(dtype=str))
         held = rows[rows["target"].notna()]
-        a, b = np.searchsorted(names, held["source"].to_numpy(dtype=str)), np.searchsorted(names, held["target"].to_numpy(dtype=str))
-        n = len(names)
-        degree = np.bincount(a, minlength=n)
-        rank = np.full(n, 1.0 / max(1, n))
-        for _ in range(iterations):
-            share = damping * rank / np.maximum(degree, 1)
-            rank = (1 - damping) / n + damping * rank[degree == 0].sum() / n + np.bincount(b, weights=share[a], minlength=n)
-        yield pd.DataFrame({"node": names, "rank": rank})
+        rank = _rank_arrays(names, held["source"].to_numpy(dtype=str), held["target"].to_numpy(dtype=str), iterations, damping)
+        return pd.DataFrame({"graph": key[0], "node": names, "rank": rank})
 
-    rows = nodes.select(F.col("node").alias("source"), F.lit(None).cast("string").alias("target")).unionByName(links.select("source", "target"))
-    return rows.coalesce(1).mapInPandas(run, "node string, rank double")
+    rows = nodes.select("graph", F.col("node").alias("source"), F.lit(None).cast("string").alias("target")).unionByName(links.select("graph", "source", "target"))
+    return rows.groupBy("graph").applyInPandas(run, "graph string, node string, rank double")
 
 
 def traverse(edges: DataFrame, root: str, *, direction: str = "dependencies", depth: int = 3, relations: list[str] | None = None, most: int = 200) -> DataFrame:
@@ -118,32 +121,47 @@ def traverse(edges: DataFrame, root: str, *, direction: str = "dependencies", de
 
 
 def page_rank(nodes: DataFrame, edges: DataFrame, *, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
-    """node and rank; mass of nodes without links is spread evenly, loops and repeated links are ignored."""
-    links = edges.where("source <> target").select("source", "target").distinct()
-    ids = nodes.select("node").distinct()
-    links = links.join(ids.withColumnRenamed("node", "source"), "source", "left_semi").join(ids.withColumnRenamed("node", "target"), "target", "left_semi")
-    out = links.groupBy("source").agg(F.count("*").alias("degree"))
-    base = cut(ids.join(out.withColumnRenamed("source", "node"), "node", "left"))
+    """node and rank, in one graph for each value of ``graph`` if there is such a column.
+
+    Mass of nodes without links is spread evenly over their graph; loops and
+    repeated links are ignored. A graph within ONE_TASK_NODES and
+    ONE_TASK_LINKS is ranked over arrays, a larger one by joins; both give the
+    same ranks.
+    """
+    grouped = "graph" in nodes.columns
+    if not grouped:
+        nodes, edges = nodes.withColumn("graph", F.lit("")), edges.withColumn("graph", F.lit(""))
+    ids = cut(nodes.where("node IS NOT NULL").select(F.col("graph").cast("string").alias("graph"), "node").distinct())
+    links = edges.where("source <> target").select(F.col("graph").cast("string").alias("graph"), "source", "target").distinct()
+    for end in ("source", "target"):
+        links = links.join(ids.withColumnRenamed("node", end), ["graph", end], "left_semi")
     links = cut(links)
-    count, many = base.count(), links.count()
-    if count <= ONE_TASK_NODES and many <= ONE_TASK_LINKS:
-        return _page_rank_in_one_task(ids, links, iterations, damping)
-    ranks = base.withColumn("rank", F.lit(1.0 / max(1, count)))
+    sizes = ids.groupBy("graph").agg(F.count("*").alias("count")).join(links.groupBy("graph").agg(F.count("*").alias("many")), "graph", "left")
+    sizes = cut(sizes.select("graph", "count", ((F.col("count") > ONE_TASK_NODES) | (F.coalesce("many", F.lit(0)) > ONE_TASK_LINKS)).alias("large")))
+    large = sizes.where("large")
+    out = _page_rank_in_tasks(ids.join(large, "graph", "left_anti"), links.join(large, "graph", "left_anti"), iterations, damping)
+    if not large.isEmpty():
+        out = out.unionByName(_page_rank_by_joins(ids.join(large.select("graph", "count"), "graph"), links.join(large, "graph", "left_semi"), iterations, damping))
+    return out if grouped else out.drop("graph")
+
+
+def _page_rank_by_joins(ids: DataFrame, links: DataFrame, iterations: int, damping: float) -> DataFrame:
+    out = links.groupBy("graph", F.col("source").alias("node")).agg(F.count("*").alias("degree"))
+    base = cut(ids.join(out, ["graph", "node"], "left"))
+    ranks = base.withColumn("rank", 1.0 / F.col("count"))
     for i in range(iterations):
-        given = ranks.where("degree IS NOT NULL").select(F.col("node").alias("source"), (F.lit(damping) * F.col("rank") / F.col("degree")).alias("share"))
-        received = given.join(links, "source").groupBy(F.col("target").alias("node")).agg(F.sum("share").alias("received"))
-        loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("degree").isNull(), F.col("rank"))), F.lit(0.0)).alias("loose"))
-        ranks = (
-            base.join(received, "node", "left")
-            .crossJoin(F.broadcast(loose))  # one row
-            .select("node", "degree", ((1 - damping) / count + damping * F.col("loose") / count + F.coalesce("received", F.lit(0.0))).alias("rank"))
+        given = ranks.where("degree IS NOT NULL").select("graph", F.col("node").alias("source"), (F.lit(damping) * F.col("rank") / F.col("degree")).alias("share"))
+        received = given.join(links, ["graph", "source"]).groupBy("graph", F.col("target").alias("node")).agg(F.sum("share").alias("received"))
+        loose = ranks.groupBy("graph").agg(F.coalesce(F.sum(F.when(F.col("degree").isNull(), F.col("rank"))), F.lit(0.0)).alias("loose"))
+        ranks = base.join(received, ["graph", "node"], "left").join(loose, "graph").select(
+            "graph", "node", "degree", "count", ((1 - damping) / F.col("count") + damping * F.col("loose") / F.col("count") + F.coalesce("received", F.lit(0.0))).alias("rank")
         )
         if (i + 1) % CUT_EVERY == 0:
             ranks = cut(ranks)
-    return ranks.select("node", "rank")
+    return ranks.select("graph", "node", "rank")
 
 
-def landmark(path) -> F.Column:
+def landmark(path: Column) -> Column:
     name = F.element_at(F.split(F.lower(path), "/"), -1)
     low = F.lower(path)
     return (
@@ -155,26 +173,26 @@ def landmark(path) -> F.Column:
 
 
 def repository_map(files: DataFrame, symbols: DataFrame, ranks: DataFrame, focus: list[str]) -> DataFrame:
-    """Score of each path: centrality, its strongest symbols, focus, landmark, status.
+    """Score of each path of each graph: centrality, its strongest symbols, focus, landmark, status.
 
-    ``files``: path, git_status. ``symbols``: path, name, kind. ``ranks``: node, rank.
+    ``files``: graph, path, git_status. ``symbols``: graph, path, name, kind. ``ranks``: graph, node, rank.
     """
     weight = F.lit(0.5)
     for kind, w in SYMBOL_WEIGHTS.items():
         weight = F.when(F.col("kind") == kind, w).otherwise(weight)
-    strongest = Window.partitionBy("path").orderBy(F.desc("w"), "name")
-    held = symbols.select("path", "name", weight.alias("w")).withColumn("nth", F.row_number().over(strongest))
-    per = held.groupBy("path").agg(
+    at = ["graph", "path"]
+    strongest = Window.partitionBy(*at).orderBy(F.desc("w"), "name")
+    held = symbols.select(*at, "name", weight.alias("w")).withColumn("nth", F.row_number().over(strongest))
+    per = held.groupBy(*at).agg(
         F.least(F.lit(8.0), F.sum(F.when(F.col("nth") <= 8, F.col("w")).otherwise(0.0))).alias("s"),
         F.least(F.lit(1.5), F.log1p(F.count("*")) * 0.25).alias("density"),
     )
-    name_terms = symbols.select("path", F.explode(code_terms(F.col("name"))).alias("t"))
-    wanted = F.array(*map(F.lit, sorted(focus)))
-    named = name_terms.where(F.col("t").isin(*focus)).groupBy("path").agg(F.count_distinct("t").alias("named")) if focus else None
-    total = files.agg(F.count_distinct("path").alias("total"))
-    rows = files.groupBy("path").agg(F.max(F.coalesce("git_status", F.lit("clean"))).alias("status")).join(per, "path", "left").join(ranks.withColumnRenamed("node", "path"), "path", "left").crossJoin(F.broadcast(total))  # one row
-    if named is not None:
-        rows = rows.join(named, "path", "left")
+    total = files.groupBy("graph").agg(F.count_distinct("path").alias("total"))
+    rows = files.groupBy(*at).agg(F.max(F.coalesce("git_status", F.lit("clean"))).alias("status")).join(per, at, "left").join(ranks.withColumnRenamed("node", "path"), at, "left").join(total, "graph")
+    if focus:
+        wanted = F.array(*map(F.lit, sorted(focus)))
+        named = symbols.select(*at, F.explode(code_terms(F.col("name"))).alias("t")).where(F.col("t").isin(*focus)).groupBy(*at).agg(F.count_distinct("t").alias("named"))
+        rows = rows.join(named, at, "left")
         focused = 0.45 * F.size(F.array_intersect(wanted, code_terms(F.col("path")))) / len(focus) + 0.75 * F.coalesce("named", F.lit(0)) / len(focus)
     else:
         focused = F.lit(0.0)
@@ -184,21 +202,23 @@ def repository_map(files: DataFrame, symbols: DataFrame, ranks: DataFrame, focus
         1 + zero("rank") * F.col("total") * (1.5 if focus else 3.0) + zero("s") + zero("density") + focused * weight_of_focus + landmark(F.col("path"))
         + F.when(~F.trim("status").isin("clean", ""), 1.25).otherwise(0.0)
     )
-    return rows.select("path", F.round(score, 6).alias("score"), F.round(zero("rank"), 9).alias("centrality"), F.round(focused, 6).alias("focus_score"))
+    return rows.select(*at, F.round(score, 6).alias("score"), F.round(zero("rank"), 9).alias("centrality"), F.round(focused, 6).alias("focus_score"))
 
 
 def choose_map(entries: DataFrame, budget: int, *, focused: bool = False) -> DataFrame:
-    """Paths chosen for a token budget; each chosen one lowers the score of its directory.
+    """Paths of each graph chosen for a token budget; each chosen one lowers the score of its directory.
 
     A directory's own order never changes, so only as many of its best entries
     matter as could fill the budget; the fold runs over these.
     """
+    if "graph" not in entries.columns:
+        return choose_map(entries.withColumn("graph", F.lit("")), budget, focused=focused).drop("graph")
     bucket = bucket_of(F.col("path")) if focused else top_directory(F.col("path"))
     rows = entries.withColumn("bucket", bucket).withColumn("tokens", F.greatest(F.lit(1), F.ceil(F.octet_length("path") / 3).cast("int")))
-    fits = rows.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("score"), "path"))).where(F.col("k") <= max(1, budget))
+    fits = rows.withColumn("k", F.row_number().over(Window.partitionBy("graph", "bucket").orderBy(F.desc("score"), "path"))).where(F.col("k") <= max(1, budget))
     fall = 0.1 if focused else 0.4
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+    def fold(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         left = {b: g.sort_values(["score", "path"], ascending=[False, True]).to_dict("records") for b, g in frame.groupby("bucket")}
         taken, used, counts = [], 0, Counter()
         while any(left.values()):
@@ -207,35 +227,75 @@ def choose_map(entries: DataFrame, budget: int, *, focused: bool = False) -> Dat
             cost = x["tokens"] + (1 if taken else 0)
             if used + cost > budget:
                 continue
-            taken.append((x["path"], x["score"], len(taken) + 1, x["tokens"]))
+            taken.append((key[0], x["path"], x["score"], len(taken) + 1, x["tokens"]))
             used += cost
             counts[b] += 1
-        return pd.DataFrame(taken, columns=["path", "score", "position", "tokens"]).astype({"position": "int32", "tokens": "int32"})
+        return pd.DataFrame(taken, columns=["graph", "path", "score", "position", "tokens"]).astype({"position": "int32", "tokens": "int32"})
 
     # Damped scores only fall along a directory, so this keeps every entry that the fold can reach.
-    reachable = fits.withColumn("damped", F.col("score") / (1 + fall * (F.col("k") - 1))).orderBy(F.desc("damped"), "path").limit(max(1, budget))
-    return reachable.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(lambda k, f: fold(f), "path string, score double, position int, tokens int")
+    damped = F.col("score") / (1 + fall * (F.col("k") - 1))
+    place = F.row_number().over(Window.partitionBy("graph").orderBy(F.desc(damped), "path"))
+    reachable = fits.withColumn("place", place).where(F.col("place") <= max(1, budget))
+    return reachable.groupBy("graph").applyInPandas(fold, "graph string, path string, score double, position int, tokens int")
 
 
-def impact(edges: DataFrame, target: str, depth: int = 3) -> DataFrame:
-    """Files that depend on a file, by distance; tests are marked."""
-    back = edges.select(F.col("target").alias("source"), F.col("source").alias("target"), F.lit(1.0).alias("weight"))
-    seen = edges.sparkSession.createDataFrame([(target, 0)], "node string, distance int")
-    frontier = seen
+def impact(edges: DataFrame, targets: DataFrame, depth: int = 3) -> DataFrame:
+    """graph, target, path, distance, is_test of what depends on each target file (columns graph, target)."""
+    back = edges.select("graph", F.col("target").alias("node"), F.col("source").alias("next")).distinct()
+    seen = cut(targets.select("graph", "target", F.col("target").alias("node"), F.lit(0).alias("distance")).distinct())
+    frontier, key = seen, ["graph", "target", "node"]
     for hop in range(1, depth + 1):
-        fresh = frontier.select("node").join(back.withColumnRenamed("source", "node"), "node").select(F.col("target").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(hop))
-        frontier = cut(fresh)
+        steps = frontier.select(*key).join(back, ["graph", "node"]).select("graph", "target", F.col("next").alias("node")).distinct()
+        frontier = cut(steps.join(seen.select(*key), key, "left_anti").withColumn("distance", F.lit(hop)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
-    return seen.select(F.col("node").alias("path"), "distance", looks_like_test(F.col("node")).alias("is_test"))
+    return seen.select("graph", "target", F.col("node").alias("path"), "distance", looks_like_test(F.col("node")).alias("is_test"))
+
+
+def affected(impacts: DataFrame) -> DataFrame:
+    """graph, target and the other files that a change of it reaches, those nearest first (position from 1)."""
+    order = Window.partitionBy("graph", "target").orderBy("distance", "path")
+    return impacts.where("distance > 0").select("graph", "target", "path", "distance", F.row_number().over(order).alias("position"))
 
 
-def related_tests(files: DataFrame, edges: DataFrame) -> DataFrame:
-    """Test files of each source file: by an edge (0.9) or by name (0.55), the stronger first."""
-    by_edge = edges.where(looks_like_test(F.col("source")) & ~looks_like_test(F.col("target"))).select(F.col("target").alias("path"), F.col("source").alias("test"), F.lit(0.9).alias("confidence"))
-    stem = F.regexp_replace(F.regexp_replace(F.element_at(F.split(F.lower("path"), "/"), -1), r"\.[^.]*$", ""), r"^test_|_test$|\.test$|\.spec$", "")
-    named = files.select("path", stem.alias("stem"), looks_like_test(F.col("path")).alias("is_test")).distinct()
-    tests = named.where("is_test").select(F.col("path").alias("test"), "stem").where(F.length("stem") > 2)
-    by_name = named.where("NOT is_test").join(tests, "stem").select("path", "test", F.lit(0.55).alias("confidence"))
-    return by_edge.unionByName(by_name).groupBy("path", "test").agg(F.max("confidence").alias("confidence"))
+#: Characters from which a stem that lies within another one says something.
+LEAST_STEM = 3
+
+
+def stem(path: Column) -> Column:
+    """A file's name without its directory, suffix and marks of a test."""
+    name = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*$", "")
+    return F.regexp_replace(F.regexp_replace(name, "^test_", ""), "_test$", "")
+
+
+def related_tests(files: DataFrame, edges: DataFrame, targets: DataFrame, mentions: DataFrame | None = None, *, top_k: int = 20) -> DataFrame:
+    """Test files of each target (graph, target): path, line, confidence, reason; one row a test, the surest.
+
+    Tiers: an edge that says so (1.0), any other edge from a test (0.9), a
+    literal mention (0.8), a mention by terms (0.65), names of which one lies
+    within the other (0.55). Names meet by the pieces of the longer one, so no
+    pair of unlike names is formed; ``mentions``: graph, target, path, line, exact.
+    """
+    test = looks_like_test(F.col("path"))
+    found = (
+        edges.join(targets, ["graph", "target"])
+        .select("graph", "target", F.col("source").alias("path"), F.col("line").cast("int").alias("line"), F.when(F.col("relation") == "tests", 1.0).otherwise(0.9).alias("confidence"), F.col("relation").alias("reason"))
+        .where(test)
+    )
+    if mentions is not None:
+        said = mentions.where(test).select("graph", "target", "path", F.col("line").cast("int").alias("line"), F.when(F.col("exact"), 0.8).otherwise(0.65).alias("confidence"), F.lit("lexical_reference").alias("reason"))
+        found = found.unionByName(said)
+    wanted = targets.select("graph", "target", stem(F.col("target")).alias("wanted")).where("wanted <> ''").distinct()
+    known = files.select("graph", "path").where(test).distinct().withColumn("own", stem(F.col("path"))).where("own <> ''")
+    pieces = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(F.sequence(F.lit(1), F.length(c) - i + 1), lambda n: F.substring(c, i, n)))))
+    wide = known.select("graph", "own").distinct().withColumn("wanted", F.explode(pieces(F.col("own"))))
+    inside = wide.join(wanted.select("graph", "wanted").distinct(), ["graph", "wanted"], "left_semi")
+    narrow = wanted.select("graph", "wanted").distinct().withColumn("own", F.explode(pieces(F.col("wanted"))))
+    around = narrow.join(known.select("graph", "own").distinct(), ["graph", "own"], "left_semi")
+    alike = inside.unionByName(around.select("graph", "own", "wanted")).distinct()
+    named = alike.join(wanted, ["graph", "wanted"]).join(known, ["graph", "own"]).select("graph", "target", "path", F.lit(1).alias("line"), F.lit(0.55).alias("confidence"), F.lit("naming_convention").alias("reason"))
+    each = Window.partitionBy("graph", "target", "path").orderBy(F.desc("confidence"), "line", "reason")
+    once = found.unionByName(named).where("path <> target").withColumn("nth", F.row_number().over(each)).where("nth = 1").drop("nth")
+    place = Window.partitionBy("graph", "target").orderBy(F.desc("confidence"), "path", "line")
+    return once.withColumn("position", F.row_number().over(place)).where(F.col("position") <= top_k)

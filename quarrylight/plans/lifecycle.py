@@ -11,21 +11,25 @@ from quarrylight.runtime import cut
 
 
 def file_links(files: DataFrame) -> DataFrame:
-    """source and target path of resolved relations between files of one generation."""
+    """Resolved relations between files: graph (their generation), source, target, relation, line, confidence.
+
+    A path names another file in each generation, so ends meet within one only.
+    """
     edges = extract.edges(files).withColumn("target_symbol_id", F.lit(None).cast("string"))
-    symbols = extract.symbols(files)
-    named = graph.resolve_names(edges, symbols)
-    targets = symbols.select(F.col("id").alias("resolved_id"), F.col("path").alias("target"))
-    return named.where("resolved_id IS NOT NULL").join(targets, "resolved_id").select(F.col("source_path").alias("source"), "target").where("source <> target").distinct()
+    symbols = cut(extract.symbols(files))
+    named = graph.resolve_names(edges, symbols).where("resolved_id IS NOT NULL")
+    targets = symbols.select("generation_id", F.col("id").alias("resolved_id"), F.col("path").alias("target")).distinct()
+    each = named.join(targets, ["generation_id", "resolved_id"]).where("source_path <> target")
+    return each.groupBy(F.col("generation_id").cast("string").alias("graph"), F.col("source_path").alias("source"), "target", "relation").agg(F.min("line").alias("line"), F.max("resolved_confidence").alias("confidence"))
 
 
 def overview(files: DataFrame, focus: str = "", budget: int = 4_000) -> DataFrame:
-    """Repository map of one generation's files, chosen for a budget."""
-    symbols = cut(extract.symbols(files).select("path", "name", "kind"))
-    links = cut(file_links(files))
-    ranks = graph.page_rank(files.select(F.col("path").alias("node")), links)
-    terms = sorted({t.lower() for t in lexical.query_tokens(focus)})
-    entries = graph.repository_map(files, symbols, ranks, terms)
+    """Repository map of each generation's files, chosen for a budget."""
+    at = F.col("generation_id").cast("string").alias("graph")
+    symbols = cut(extract.symbols(files).select(at, "path", "name", "kind"))
+    ranks = graph.page_rank(files.select(at, F.col("path").alias("node")), file_links(files))
+    terms = sorted({t.lower() for t in files.sparkSession.range(1).select(lexical.query_terms(F.lit(focus)).alias("t")).first()["t"]})
+    entries = graph.repository_map(files.select(at, "path", "git_status"), symbols, ranks, terms)
     return graph.choose_map(entries, budget, focused=bool(terms))
 
 

@@ -11,9 +11,6 @@ from quarrylight.plans import lifecycle
 from quarrylight.runtime import cut, table
 from quarrylight.sources import admission
 
-SEARCHES = ("merge token", "limit")
-
-
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "files")
 
@@ -67,8 +64,28 @@ def exact_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.exact_hits(_files(spark, sf_dir), "limit").distinct()
 
 
+def _searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "ranking_queries").select("query_id", F.col("focus_text").alias("query"))
+
+
 def code_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.search_code(table(spark, sf_dir, "chunks"), SEARCHES[0])
+    """Hits of every query of ranking_queries among the chunks and the live files."""
+    return lexical.search_code(table(spark, sf_dir, "chunks"), _live(spark, sf_dir), _searches(spark, sf_dir))
+
+
+def search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _searches(spark, sf_dir).select("query_id", F.posexplode(lexical.query_terms(F.col("query"))).alias("place", "term")).distinct()
+
+
+def literal_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live files that hold the first word of a query literally."""
+    words = _searches(spark, sf_dir).select("query_id", F.regexp_extract("query", r"[\p{L}\p{N}_]{4,}", 0).alias("query")).where("query <> ''").distinct()
+    return lexical.literal_hits(_live(spark, sf_dir), words)
+
+
+def plan_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What both plans of each query hand on, with their weight."""
+    return lexical.matching_chunks(table(spark, sf_dir, "chunks"), _searches(spark, sf_dir)).select("query_id", "generation_id", "id", "weight", "strict")
 
 
 def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,8 +126,10 @@ def chunk_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centrality of each file within its own repository."""
     files = cut(_live(spark, sf_dir).select("generation_id", "path", "language", "text", "content_hash"))
-    return graph.page_rank(files.select(F.col("path").alias("node")), lifecycle.file_links(files)).select(F.col("node").alias("path"), F.round("rank", 9).alias("rank"))
+    ranks = graph.page_rank(files.select(F.col("generation_id").cast("string").alias("graph"), F.col("path").alias("node")), lifecycle.file_links(files))
+    return ranks.select(F.col("graph").cast("int").alias("generation_id"), F.col("node").alias("path"), F.round("rank", 9).alias("rank"))
 
 
 def repository_map(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,15 +146,27 @@ def link_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.expand(edges, spark.createDataFrame([("s7",)], "node string"), 2)
 
 
+def _targets(links: DataFrame) -> DataFrame:
+    """The file of each repository that most others lead to."""
+    many = links.groupBy("graph", "target").agg(F.count_distinct("source").alias("n"))
+    return catalog.first_per(many, ["graph"], [F.desc("n"), F.col("target")]).select("graph", "target")
+
+
 def impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = cut(lifecycle.file_links(_live(spark, sf_dir)))
-    target = links.groupBy("target").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "target").first()
-    return graph.impact(links, target["target"] if target else "none")
+    return graph.impact(links, _targets(links))
+
+
+def affected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.affected(impact(spark, sf_dir))
 
 
 def related_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tests of the files of each repository that are changed in its working tree."""
     files = cut(_live(spark, sf_dir))
-    return graph.related_tests(files.select("path"), lifecycle.file_links(files))
+    at = F.col("generation_id").cast("string").alias("graph")
+    changed = files.where("trim(coalesce(git_status, '')) NOT IN ('', 'clean')").select(at, F.col("path").alias("target")).where(~text.looks_like_test(F.col("target"))).distinct()
+    return graph.related_tests(files.select(at, "path"), lifecycle.file_links(files), changed)
 
 
 def generation_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,8 +208,8 @@ def order_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        file_languages, secret_files, safe_paths, binary_files, admission_reasons, import_outcomes, test_paths, file_histograms, exact_hits, code_search, index_terms, code_spans, symbols, relations, relation_counts,
-        resolved_names, file_links, chunk_symbols, file_ranks, repository_map, link_expansion, impact, related_tests, generation_fingerprints, chunk_hashes, published_hits, flat_configs, landmarks, repeated_chunks, order_traversal,
+        file_languages, secret_files, safe_paths, binary_files, admission_reasons, import_outcomes, test_paths, file_histograms, exact_hits, code_search, search_terms, literal_hits, plan_hits, index_terms, code_spans, symbols, relations, relation_counts,
+        resolved_names, file_links, chunk_symbols, file_ranks, repository_map, link_expansion, impact, affected_files, related_tests, generation_fingerprints, chunk_hashes, published_hits, flat_configs, landmarks, repeated_chunks, order_traversal,
     )
 }
 

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from quarrylight.operators import graph
 
@@ -33,7 +34,30 @@ def test_expand_and_impact(spark):
     e = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 0.5), ("x", "b", 0.1)], "source string, target string, weight double")
     seeds = spark.createDataFrame([("a",)], "node string")
     assert {(r.node, r.distance) for r in graph.expand(e, seeds, 2).collect()} == {("a", 0), ("b", 1), ("c", 2), ("x", 2)}
-    assert {(r.path, r.distance) for r in graph.impact(e, "c").collect()} == {("c", 0), ("b", 1), ("a", 2), ("x", 2)}
+    both = e.withColumn("graph", F.lit("g")).unionByName(e.withColumn("graph", F.lit("h")).where("source = 'b'"))
+    targets = spark.createDataFrame([("g", "c"), ("h", "c")], "graph string, target string")
+    found = graph.impact(both, targets)
+    assert {(r.graph, r.path, r.distance) for r in found.collect()} == {("g", "c", 0), ("g", "b", 1), ("g", "a", 2), ("g", "x", 2), ("h", "c", 0), ("h", "b", 1)}
+    assert [(r.path, r.position) for r in graph.affected(found).where("graph = 'g'").orderBy("position").collect()] == [("b", 1), ("a", 2), ("x", 3)]
+
+
+def test_graphs_are_ranked_apart(spark, monkeypatch):
+    links = [("g", "a", "b"), ("g", "b", "c"), ("h", "a", "c"), ("h", "c", "a")]
+    nodes = [("g", x) for x in "abcd"] + [("h", x) for x in "ac"]
+    n, e = spark.createDataFrame(nodes, "graph string, node string"), spark.createDataFrame(links, "graph string, source string, target string")
+    want = {(g, k): v for g in "gh" for k, v in brute([x for h, x in nodes if h == g], [(s, t) for h, s, t in links if h == g]).items()}
+    for bound in (10, 3, 0):
+        monkeypatch.setattr(graph, "ONE_TASK_NODES", bound)
+        got = {(r.graph, r.node): r["rank"] for r in graph.page_rank(n, e).collect()}
+        assert got.keys() == want.keys() and all(np.isclose(got[k], want[k]) for k in want)
+
+
+def test_related_tests(spark):
+    files = spark.createDataFrame([("g", p) for p in ("src/cart.py", "tests/test_cart.py", "tests/test_cart_totals.py", "tests/test_ca.py", "tests/test_x.py", "src/y.py")] + [("h", "tests/test_cart.py")], "graph string, path string")
+    edges = spark.createDataFrame([("g", "tests/test_x.py", "src/cart.py", "calls", 7, 0.7), ("g", "tests/test_cart.py", "src/cart.py", "tests", 3, 0.9), ("g", "src/y.py", "src/cart.py", "calls", 1, 0.7)], "graph string, source string, target string, relation string, line int, confidence double")
+    targets = spark.createDataFrame([("g", "src/cart.py")], "graph string, target string")
+    got = [(r.path, r.confidence, r.line) for r in graph.related_tests(files, edges, targets).orderBy("position").collect()]
+    assert got == [("tests/test_cart.py", 1.0, 3), ("tests/test_x.py", 0.9, 7), ("tests/test_ca.py", 0.55, 1), ("tests/test_cart_totals.py", 0.55, 1)]
 
 
 def test_map_choice_penalises_full_directories(spark):
