@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.operators import answers, catalog, extract
+from quarrylight.operators import answers, catalog, extract, graph
 from quarrylight.plans import lifecycle
 from quarrylight.runtime import table
 
@@ -56,10 +56,12 @@ def substantive_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inferred_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls that name no single symbol, as possible callers of every symbol they may name."""
     active = catalog.active_generations(table(spark, sf_dir, "generations"))
     files = table(spark, sf_dir, "files").join(active.select("generation_id"), "generation_id", "left_semi")
-    calls = extract.edges(files).where("relation = 'calls'")
-    return answers.inferred_edges(calls, extract.symbols(files)).groupBy("relation").agg(F.count("*").alias("n"), F.max("inferred_confidence").alias("most"))
+    symbols = extract.symbols(files)
+    calls = graph.resolve_names(extract.edges(files).where("relation = 'calls'"), symbols).withColumn("unresolved", F.col("resolved_id").isNull())
+    return answers.inferred_edges(calls, symbols).select("generation_id", "source_path", "line", "target_name", "symbol_id", "inferred_confidence").distinct()
 
 
 QUERIES = {

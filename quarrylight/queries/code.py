@@ -162,11 +162,11 @@ def affected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def related_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tests of the files of each repository that are changed in its working tree."""
+    """Tests of the source files of each repository."""
     files = cut(_live(spark, sf_dir))
     at = F.col("generation_id").cast("string").alias("graph")
-    changed = files.where("trim(coalesce(git_status, '')) NOT IN ('', 'clean')").select(at, F.col("path").alias("target")).where(~text.looks_like_test(F.col("target"))).distinct()
-    return graph.related_tests(files.select(at, "path"), lifecycle.file_links(files), changed)
+    sources = files.select(at, F.col("path").alias("target")).where(~text.looks_like_test(F.col("target"))).distinct()
+    return graph.related_tests(files.select(at, "path"), lifecycle.file_links(files), sources)
 
 
 def generation_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
