@@ -35,7 +35,7 @@ class Checker:
     def valid(self, text: str, language: str) -> bool:
         if not text.strip("\ufeff \t\r\n"):
             return language != "json"
-        kinds, fresh, _ = lexer(language, self.more)(text)
+        kinds, fresh = lexer(language, self.more)(text)
         return BAD not in kinds and grammar(language, self.more).parse(kinds, fresh or None) < 0
 
 

@@ -133,12 +133,16 @@ class Grammar:
     """Compiled rules.
 
     ``brackets`` pairs the tokens that stand in balance in every rule; what
-    they enclose becomes one symbol. ``lines`` names, for a rule that is a
-    bracketed list of statements, the statement; ``cut`` says where the tokens
-    of such a list fall apart into statements.
+    they enclose becomes one symbol. ``lines`` names, for a start symbol or a
+    rule that is a bracketed list, the nonterminal that each piece of the list
+    derives from; ``cut`` says where such a list falls apart. If ``exact``, a
+    list is one only if each of its pieces is; else the whole list decides where
+    a piece is rejected.
     """
 
-    def __init__(self, rules: str | Rules, start: str, brackets: Iterable[tuple[str, str]] = (), lines: dict[str, str] | None = None, cut: Callable | None = None):
+    def __init__(
+        self, rules: str | Rules, start: str, brackets: Iterable[tuple[str, str]] = (), lines: dict[str, str] | None = None, cut: Callable | None = None, exact: bool = False
+    ):
         self.rules: Rules = dict(read_rules(rules) if isinstance(rules, str) else rules)
         self.brackets = dict(brackets)
         self.enclosed: set[str] = set()
@@ -190,8 +194,11 @@ class Grammar:
         #: Inside these brackets no line's end is the end of a statement.
         self.even = {self.token_of[a] for a in ("(", "[", "${") if a in self.token_of}
         self.enclosed_by = {o: [number[n] for n in self.enclosed if self.terminals[self.rules[n][0][0]] == o] for o in self.close_of}
-        self.lines = {number[n]: number[s] for n, s in (lines or {}).items() if n in number}
-        self.cut = cut
+        self.lines = {number[n]: number[s] for n, s in (lines or {}).items() if n in self.enclosed}
+        firsts = [p for row in self.rules[start] for p in row] if start not in (lines or {}) else [start]
+        self.starts = [number[lines[n]] for n in firsts] if lines and all(n in lines for n in firsts) else []
+        self.edges = set(self.close_of) | self.closes
+        self.cut, self.exact = cut, exact
         self.forget()
 
     def forget(self) -> None:
@@ -316,34 +323,53 @@ class Grammar:
         if folded is None:
             return 0
         words, parts, marks = folded
-        if self.start in self.lines:
-            return -1 if self._listed(self.lines[self.start], words, parts, 0, len(words)) else 0
-        words.append(0)
-        parts.append(0)
-        return self._run(self.start, words, parts, marks)
+        if self.starts:
+            return -1 if any(self._listed(s, words, parts, marks, 0, len(words)) for s in self.starts) else 0
+        return -1 if self._derives(self.start, self._number(words, parts, marks)) else 0
+
+    def _number(self, words, parts, fresh) -> int:
+        """The number of a sequence of tokens among the kept ones."""
+        key = (*words, 0), (*parts, 0), None if fresh is None else (*fresh, False)
+        number = self.number_of.get(key)
+        if number is None:
+            number = self.number_of[key] = len(self.parts)
+            self.parts.append(key)
+            self.kept += len(words)
+        return number
 
     def _fold(self, words: list[int], fresh: list[bool] | None) -> tuple[list, list, list | None] | None:
         """The tokens outside all brackets, each bracketed part as one; None if brackets do not match."""
-        close_of, closes, even = self.close_of, self.closes, self.even
+        close_of, closes, even, edges = self.close_of, self.closes, self.even, self.edges
         w: list[int] = []
         p: list[int] = []
         f: list[bool] = []
         stack: list[tuple] = []
         made: list[tuple[int, int]] = []
-        deepest = 0
-        for k, word in enumerate(words):
+        deepest = last = 0
+        for k in [k for k, word in enumerate(words) if word in edges]:
+            word = words[k]
+            if last < k:
+                w += words[last:k]
+                p += (0,) * (k - last)
+                if fresh:
+                    f += fresh[last:k]
+            last = k + 1
             if word in close_of:
                 stack.append((w, p, f, word, fresh[k] if fresh else False))
-                deepest = max(deepest, len(stack))
+                if len(stack) > deepest:
+                    deepest = len(stack)
                 w, p, f = [word], [0], [False]
-            elif word in closes:
+            else:
                 if not stack or close_of[stack[-1][3]] != word:
                     return None
                 w += (word, 0)
                 p += (0, 0)
-                f.append(False)
                 outer_w, outer_p, outer_f, opened, first = stack.pop()
-                key = (tuple(w), tuple(p), tuple(f) if fresh and opened not in even else None)
+                if fresh and opened not in even:
+                    f += (False, False)
+                    key = (tuple(w), tuple(p), tuple(f))
+                else:
+                    key = (tuple(w), tuple(p), None)
                 number = self.number_of.get(key)
                 if number is None:
                     number = self.number_of[key] = len(self.parts)
@@ -354,12 +380,12 @@ class Grammar:
                 p.append(number)
                 f.append(first)
                 made.append((opened, number))
-            else:
-                w.append(word)
-                p.append(0)
-                f.append(fresh[k] if fresh else False)
         if stack:
             return None
+        w += words[last:]
+        p += (0,) * (len(words) - last)
+        if fresh:
+            f += fresh[last:]
         if deepest > DEEP:
             for opened, number in made:
                 for name in self.enclosed_by[opened]:
@@ -367,30 +393,25 @@ class Grammar:
         return w, p, f if fresh else None
 
     def _derives(self, name: int, number: int) -> bool:
-        """Whether a bracketed part derives from a nonterminal."""
+        """Whether a kept sequence of tokens derives from a nonterminal."""
         key = number * self.width - name
         found = self.memory.get(key)
         if found is None:
             words, parts, fresh = self.parts[number]
-            if name in self.lines:
-                found = self._listed(self.lines[name], words, parts, 1, len(words) - 2)
-            else:
+            item = self.lines.get(name)
+            found = item is not None and self._listed(item, words, parts, fresh, 1, len(words) - 2)
+            if not found and (item is None or not self.exact):
                 found = self._run(name, words, parts, fresh) < 0
             self.memory[key] = found
         return found
 
-    def _listed(self, statement: int, words, parts, begin: int, end: int) -> bool:
-        """Whether tokens are a list of statements; each distinct statement is parsed once."""
-        for a, b in self.cut(self, words, parts, begin, end):
-            key = (*words[a:b], -1, *parts[a:b])
-            number = self.number_of.get(key)
-            if number is None:
-                number = self.number_of[key] = len(self.parts)
-                self.parts.append(((*words[a:b], 0), (*parts[a:b], 0), None))
-                self.kept += 2 * (b - a)
-            if not self._derives(statement, number):
-                return False
-        return True
+    def _listed(self, item: int, words, parts, fresh, begin: int, end: int) -> bool:
+        """Whether tokens are a list, piece by piece; each distinct piece is parsed once."""
+        pieces = list(self.cut(self, words, parts, fresh, begin, end))
+        if all(self._derives(item, self._number(words[a:b], parts[a:b], None if fresh is None else fresh[a:b])) for a, b in pieces):
+            return True
+        # Where pieces may belong together, the whole decides.
+        return not self.exact and begin == 0 and self._derives(item, self._number(words, parts, fresh))
 
     def _run(self, start: int, words, parts, fresh) -> int:
         n = len(words) - 1

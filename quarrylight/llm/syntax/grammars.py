@@ -513,7 +513,7 @@ _CURLY = [*_ROUND, ("{", "}")]
 _TEMPLATES = [*_CURLY, ("${", "}$"), ("`start", "`end")]
 
 
-def _statements(g: Grammar, words: list[int], parts: list[int], begin: int, end: int) -> Iterator[tuple[int, int]]:
+def _statements(g: Grammar, words, parts, fresh, begin: int, end: int) -> Iterator[tuple[int, int]]:
     """Where the statements of a block of Python begin and end."""
     kind = g.token_of
     newline, indent, at_sign = kind["NEWLINE"], kind["INDENT"], kind["@"]
@@ -536,6 +536,36 @@ def _statements(g: Grammar, words: list[int], parts: list[int], begin: int, end:
         yield first, end
 
 
+#: Tokens that go on with what stands before them, even at the beginning of a line.
+_GOING_ON = ("else", "catch", "finally", "while", "from", "as", "of", "in", "instanceof", ".", "?.", ",", ";", ")", "]", "}", "(", "[", "?", ":", "=", "=>", "->", "+", "-", "*", "/", "%", "&&", "||", "??", "<", ">", "|", "&", "`start")
+
+
+def _lines(g: Grammar, words, parts, fresh, begin: int, end: int) -> Iterator[tuple[int, int]]:
+    """Where the statements or members of a block of script or Java probably begin and end."""
+    kind = g.token_of
+    semicolon, brace = kind[";"], kind["{"]
+    going_on = {kind[k] for k in _GOING_ON if k in kind}
+    first = begin
+    for i in range(begin + 1, end):
+        before = words[i - 1]
+        if (before == semicolon or before == brace and parts[i - 1]) and (fresh is None or fresh[i]) and words[i] not in going_on:
+            yield first, i
+            first = i
+    if first < end:
+        yield first, end
+
+
+def _listing(rules: Rules, items: tuple[str, ...]) -> dict[str, str]:
+    """The lists of these items: start symbols, and rules that enclose one."""
+    out = {}
+    for name, rows in rules.items():
+        for row in rows:
+            many = [p for p in row if p in rules and p[0] == "&" and p.partition("~")[0][-1] == "*" and rules[p][0][0].partition("~")[0] in items]
+            if len(rows) == 1 and len(many) == 1 and (row == many and name.partition("~")[0] == "file" or len(row) == 3 and row[1] == many[0] and row[0] == "'{"):
+                out[name] = many[0]
+    return out
+
+
 def _quoted(words: Iterable[str]) -> str:
     return " | ".join(f"'{w}'" for w in sorted(words))
 
@@ -612,8 +642,10 @@ def grammar(language: str, more: tuple[str, ...] = ()) -> Grammar:
     rules = together(found) if len(found) > 1 else next(iter(found.values()))
     if language == "python":
         lines = {n: n.replace("suite_block", "statement") for n in rules if n.partition("~")[0] == "suite_block"}
-        if len(found) == 1:
-            lines["file"] = "statement"
-        return Grammar(rules, "file", [*_CURLY, ("INDENT", "DEDENT")], lines, _statements)
-    brackets = {"javascript": _TEMPLATES, "typescript": _TEMPLATES, "java": _CURLY, "sql": _ROUND}.get(language, ())
+        lines |= {n: n.replace("file", "statement") for n in rules if n.partition("~")[0] == "file" and (n != "file" or len(found) == 1)}
+        lines = {n: s if s in rules else "statement" for n, s in lines.items()}
+        return Grammar(rules, "file", [*_CURLY, ("INDENT", "DEDENT")], lines, _statements, exact=True)
+    if language in ("javascript", "typescript", "java"):
+        return Grammar(rules, "file", _CURLY if language == "java" else _TEMPLATES, _listing(rules, ("statement", "item", "member", "typed")), _lines)
+    brackets = {"sql": _ROUND, "json": _CURLY, "toml": _CURLY[1:], "yaml": _CURLY[1:]}.get(language, ())
     return Grammar(rules, "file", brackets)

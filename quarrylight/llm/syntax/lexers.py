@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-Tokens = tuple[list[str], list[bool], list[int]]
+#: Kinds, and for some languages whether each token begins a line.
+Tokens = tuple[list[str], list[bool]]
 BAD = "BAD"
 
 
@@ -21,12 +22,12 @@ _JSON = re.compile(
 
 
 def json_tokens(text: str) -> Tokens:
-    kinds, starts = [], []
+    kinds = []
     for m in _JSON.finditer(text):
-        if m.lastgroup:
-            kinds.append(BAD if m.lastgroup == "bad" else m.lastgroup if m.lastgroup in ("STR", "NUM") else m[0])
-            starts.append(m.start())
-    return kinds, [], starts
+        g = m.lastgroup
+        if g:
+            kinds.append(BAD if g == "bad" else g if g in ("STR", "NUM") else m[0])
+    return kinds, []
 
 
 # ---- TOML ------------------------------------------------------------------
@@ -40,15 +41,13 @@ _TOML = re.compile(
 
 
 def toml_tokens(text: str) -> Tokens:
-    kinds, starts = [], []
+    kinds = []
     for m in _TOML.finditer(text.lstrip("\ufeff")):
         g = m.lastgroup
         if g:
             kinds.append(BAD if g == "bad" else m[0] if g == "mark" else g)
-            starts.append(m.start())
     kinds.append("NL")
-    starts.append(len(text))
-    return kinds, [], starts
+    return kinds, []
 
 
 # ---- Python ----------------------------------------------------------------
@@ -63,24 +62,28 @@ _F_PREFIX = r"(?:[fFtT][rR]?|[rR][fFtT])"
 #: Between the braces of a formatted string anything may stand, quotes and line ends included.
 _F_BODY = r"(?:[^%s\\\n{]|\\.|\{\{|\{(?:[^{}]|\{[^{}]*\})*\})*"
 _PY = re.compile(
-    rf"(?P<space>[ \t\f]+|\\\r?\n|#[^\n]*)|(?P<NL>\r?\n)|(?P<STR>{_F_PREFIX}(?:(?!\"\"\")\"{_F_BODY % '\"'}\"(?!\")|(?!''')'{_F_BODY % "'"}'(?!'))|{_PREFIX}(?:\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*'''|(?!\"\"\")\"(?:[^\"\\\n]|\\.)*\"|(?!''')'(?:[^'\\\n]|\\.)*'))"
+    r"(?:[ \t\f]+|\\\r?\n|#[^\n]*)*(?:(?P<word>[^\W\d]\w*(?![\w\"']))|(?P<mark>\*\*=|//=|>>=|<<=|\.\.\.|->|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|==|!=|<=|>=|<<|>>|\*\*|//|[-+*/%@&|^~<>()\[\]{},:;=]|\.(?!\d))|(?P<NL>\r?\n)"
+    rf"|(?P<STR>{_F_PREFIX}(?:(?!\"\"\")\"{_F_BODY % '\"'}\"(?!\")|(?!''')'{_F_BODY % "'"}'(?!'))|{_PREFIX}(?:\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*'''|(?!\"\"\")\"(?:[^\"\\\n]|\\.)*\"|(?!''')'(?:[^'\\\n]|\\.)*'))"
     r"|(?P<NUM>(?:0[xX](?:_?[\da-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:\d(?:_?\d)*)?\.\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?|\d(?:_?\d)*\.?(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?))(?![\w])"
-    r"|(?P<word>[^\W\d]\w*)|(?P<mark>\*\*=|//=|>>=|<<=|\.\.\.|->|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|==|!=|<=|>=|<<|>>|\*\*|//|[-+*/%@&|^~<>()\[\]{},:.;=])|(?P<bad>.)",
+    r"|(?P<name>[^\W\d]\w*)|(?P<bad>.))?",
     re.S,
 )
+_PY_INDENT = re.compile(r"[ \t\f]*")
+_OPENS, _CLOSES = frozenset("([{"), frozenset(")]}")
 
 
 def python_tokens(text: str, soft: frozenset[str] = PY_SOFT) -> Tokens:
     kinds: list[str] = []
-    starts: list[int] = []
+    put = kinds.append
     stack, depth, begin = [0], 0, True
-    text = text.lstrip("\ufeff")
+    text = text.lstrip("﻿")
     at, n = 0, len(text)
     match = _PY.match
+    own = _PY_KEYS | soft
     while at < n:
         if begin and not depth:
             # Blank and comment lines have no indentation of their own.
-            m = re.compile(r"[ \t\f]*").match(text, at)
+            m = _PY_INDENT.match(text, at)
             end = m.end()
             if end < n and text[end] in "\r\n#":
                 stop = text.find("\n", end)
@@ -88,50 +91,40 @@ def python_tokens(text: str, soft: frozenset[str] = PY_SOFT) -> Tokens:
                 continue
             if end >= n:
                 break
-            width = len(m[0].expandtabs(8))
+            width = len(m[0].expandtabs(8)) if end > at else 0
             if width > stack[-1]:
                 stack.append(width)
-                kinds.append("INDENT")
-                starts.append(end)
+                put("INDENT")
             while width < stack[-1]:
                 stack.pop()
-                kinds.append("DEDENT")
-                starts.append(end)
+                put("DEDENT")
             if width != stack[-1]:
-                kinds.append(BAD)
-                starts.append(end)
+                put(BAD)
                 stack.append(width)
             at, begin = end, False
         m = match(text, at)
         g = m.lastgroup
-        if g == "NL":
-            if not depth:
-                kinds.append("NEWLINE")
-                starts.append(at)
-                begin = True
-        elif g == "word":
-            w = m[0]
-            kinds.append(w if w in _PY_KEYS else w if w in soft else "ID")
-            starts.append(at)
+        at = m.end()
+        if g == "word" or g == "name":
+            w = m[g]
+            put(w if w in own else "ID")
         elif g == "mark":
-            w = m[0]
-            if w in "([{":
+            w = m["mark"]
+            if w in _OPENS:
                 depth += 1
-            elif w in ")]}":
-                depth = max(0, depth - 1)
-            kinds.append(w)
-            starts.append(at)
-        elif g != "space":
-            kinds.append(BAD if g == "bad" else g)
-            starts.append(at)
-        at = m.end()
+            elif w in _CLOSES and depth:
+                depth -= 1
+            put(w)
+        elif g == "NL":
+            if not depth:
+                put("NEWLINE")
+                begin = True
+        elif g:
+            put(BAD if g == "bad" else g)
     if kinds and kinds[-1] != "NEWLINE" and not depth:
-        kinds.append("NEWLINE")
-        starts.append(n)
-    for _ in stack[1:]:
-        kinds.append("DEDENT")
-        starts.append(n)
-    return kinds, [], starts
+        put("NEWLINE")
+    kinds += ["DEDENT"] * (len(stack) - 1)
+    return kinds, []
 
 
 # ---- JavaScript, TypeScript, Java ------------------------------------------
@@ -142,91 +135,79 @@ JS_KEYS = _words(
 JS_SOFT = _words("let static async of get set from as await yield type interface namespace module declare abstract readonly keyof infer is asserts satisfies implements public private protected override unique accessor out global require")
 _C_MARKS = r"\.\.\.|=>|\?\?=|\*\*=|<<=|&&=|\|\|=|===|!==|\?\?|\?\.(?!\d)|\*\*|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|==|!=|<=|>=|<<|&&|\|\||->|::|[-+*/%&|^~<>()\[\]{},:.;=?!@#]"
 _JS = re.compile(
-    rf"(?P<space>[ \t\f\v\u00a0\ufeff]+)|(?P<NL>[\r\n\u2028\u2029]+)|(?P<comment>//[^\n]*|/\*.*?\*/|<!--[^\n]*)|(?P<STR>\"(?:[^\"\\\n]|\\(?:\r\n|.))*\"|'(?:[^'\\\n]|\\(?:\r\n|.))*')"
-    rf"|(?P<NUM>(?:0[xX][\da-fA-F_]+|0[oO][0-7_]+|0[bB][01_]+|(?:\d[\d_]*)?\.\d[\d_]*(?:[eE][+-]?\d+)?|\d[\d_]*\.?(?:[eE][+-]?\d+)?)n?)(?![\w$])|(?P<word>[^\W\d]\w*|[$\\_][\w$\\]*)|(?P<tick>`)|(?P<mark>{_C_MARKS})|(?P<bad>.)",
+    r"((?:[ \t\f\v ﻿]+|[\r\n  ]+|//[^\n]*|/\*.*?\*/|<!--[^\n]*)*)(?:(?P<word>(?:[^\W\d]|[$_\\])[\w$\\]*)|(?P<STR>\"(?:[^\"\\\n]|\\(?:\r\n|.))*\"|'(?:[^'\\\n]|\\(?:\r\n|.))*')"
+    rf"|(?P<NUM>(?:0[xX][\da-fA-F_]+|0[oO][0-7_]+|0[bB][01_]+|(?:\d[\d_]*)?\.\d[\d_]*(?:[eE][+-]?\d+)?|\d[\d_]*\.?(?:[eE][+-]?\d+)?)n?)(?![\w$])|(?P<tick>`)|(?P<mark>{_C_MARKS})|(?P<bad>.))?",
     re.S,
 )
-_IDENT = re.compile(r"(?:[^\W\d]|[$_])[\w$]*")
+_LINE_END = re.compile(r"[\r\n  ]")
+_TEMPLATE = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*", re.S)
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[a-zA-Z]*")
-_VALUE_ENDS = _words("ID NUM STR REGEX TPL ) ] } this super null true false ++ --") | {"`end"}
+_VALUE_ENDS = _words("ID NUM STR REGEX TPL ) ] } this super null true false ++ --") | {"`end"} | JS_SOFT
 
 
 def script_tokens(text: str) -> Tokens:
-    """Tokens of JavaScript and TypeScript. A template is TPL, or `start ... ${ ... }$ ... `end."""
+    """Tokens of JavaScript and TypeScript. A template is `start ... ${ ... }$ ... `end."""
     kinds: list[str] = []
     fresh: list[bool] = []
-    starts: list[int] = []
     at, n, newline = 0, len(text), True
     templates: list[int] = []  # brace depth at which each open substitution ends
     depth = 0
     if text.startswith("#!"):
         at = text.find("\n")
         at = n if at < 0 else at
-
-    def put(kind: str, where: int) -> None:
-        nonlocal newline
-        kinds.append(kind)
-        fresh.append(newline)
-        starts.append(where)
-        newline = False
+    match, own = _JS.match, JS_KEYS | JS_SOFT
 
     def template(where: int) -> int:
         """Read template characters up to a substitution or the end."""
-        i = where
-        while i < n:
-            c = text[i]
-            if c == "\\":
-                i += 2
-            elif c == "`":
-                put("`end", i)
-                return i + 1
-            elif c == "$" and text[i + 1 : i + 2] == "{":
-                put("${", i)
-                templates.append(depth)
-                return i + 2
-            else:
-                i += 1
-        put(BAD, where)
-        return n
+        i = _TEMPLATE.match(text, where).end()
+        ends = text.startswith("`", i)
+        kinds.append("`end" if ends else "${" if text.startswith("${", i) else BAD)
+        fresh.append(False)
+        if ends:
+            return i + 1
+        templates.append(depth)
+        return min(n, i + 2)
 
     while at < n:
-        c = text[at]
-        if c == "/" and text[at + 1 : at + 2] not in ("/", "*") and (not kinds or kinds[-1] not in _VALUE_ENDS and kinds[-1] not in JS_SOFT):
-            m = _REGEX.match(text, at)
-            if m:
-                put("REGEX", at)
-                at = m.end()
-                continue
-        m = _JS.match(text, at)
-        g = m.lastgroup
+        m = match(text, at)
+        gap, g = m[1], m.lastgroup
+        at = m.end()
+        if gap and gap != " ":
+            newline = newline or bool(_LINE_END.search(gap))
         if g == "word":
-            m = _IDENT.match(text, at) or m
-            w = m[0]
-            put(w if w in JS_KEYS or w in JS_SOFT else "ID", at)
+            w = m["word"]
+            kinds.append(w if w in own else "ID")
         elif g == "mark":
-            w = m[0]
+            w = m["mark"]
             if w == "{":
                 depth += 1
             elif w == "}":
                 if templates and templates[-1] == depth:
                     templates.pop()
-                    put("}$", at)
-                    at = template(at + 1)
+                    kinds.append("}$")
+                    fresh.append(newline)
+                    newline = False
+                    at = template(at)
                     continue
                 depth -= 1
-            put(w, at)
+            elif w[0] == "/" and (not kinds or kinds[-1] not in _VALUE_ENDS):
+                literal = _REGEX.match(text, at - len(w))
+                if literal:
+                    w, at = "REGEX", literal.end()
+            kinds.append(w)
         elif g == "tick":
-            put("`start", at)
-            at = template(at + 1)
+            kinds.append("`start")
+            fresh.append(newline)
+            newline = False
+            at = template(at)
             continue
-        elif g == "NL":
-            newline = True
-        elif g == "comment":
-            newline = newline or "\n" in m[0]
-        elif g != "space":
-            put(BAD if g == "bad" else g, at)
-        at = m.end()
-    return kinds, fresh, starts
+        elif g is None:
+            break
+        else:
+            kinds.append(BAD if g == "bad" else g)
+        fresh.append(newline)
+        newline = False
+    return kinds, fresh
 
 
 _JAVA_KEYS = _words(
@@ -239,13 +220,12 @@ _JAVA = re.compile(
 
 
 def java_tokens(text: str) -> Tokens:
-    kinds, starts = [], []
+    kinds = []
     for m in _JAVA.finditer(text.lstrip("\ufeff")):
         g = m.lastgroup
         if g != "space":
             kinds.append((m[0] if m[0] in _JAVA_KEYS else "ID") if g == "word" else m[0] if g == "mark" else BAD if g == "bad" else g)
-            starts.append(m.start())
-    return kinds, [], starts
+    return kinds, []
 
 
 # ---- SQL -------------------------------------------------------------------
@@ -262,7 +242,7 @@ _SQL = re.compile(
 
 def sql_tokens(text: str, words: frozenset[str] = SQL_RESERVED) -> Tokens:
     """Tokens; those of ``words`` are kinds of their own, whatever their case."""
-    kinds, starts = [], []
+    kinds = []
     for m in _SQL.finditer(text.lstrip("\ufeff")):
         g = m.lastgroup
         if g == "tag":
@@ -274,8 +254,7 @@ def sql_tokens(text: str, words: frozenset[str] = SQL_RESERVED) -> Tokens:
             kinds.append(w if w in words else "ID")
         else:
             kinds.append(m[0] if g == "mark" else BAD if g in ("bad", "run") else g)
-        starts.append(m.start())
-    return kinds, [], starts
+    return kinds, []
 
 
 # ---- shell -----------------------------------------------------------------
@@ -388,7 +367,6 @@ class _Shell:
 
 def shell_tokens(text: str) -> Tokens:
     kinds: list[str] = []
-    starts: list[int] = []
     s = _Shell(text)
     at, n = 0, len(text)
     waiting: list[tuple[str, bool]] = []
@@ -402,7 +380,6 @@ def shell_tokens(text: str) -> Tokens:
             continue
         if c == "\n":
             kinds.append("NL")
-            starts.append(at)
             at += 1
             for mark, tabs in waiting:
                 while at < n:
@@ -414,7 +391,6 @@ def shell_tokens(text: str) -> Tokens:
                         break
                 else:
                     kinds.append(BAD)
-                    starts.append(n)
             waiting = []
             continue
         if c == "#":
@@ -424,18 +400,15 @@ def shell_tokens(text: str) -> Tokens:
         if text.startswith("((", at) and (not kinds or kinds[-1] in ("NL", ";", "&&", "||", "while", "if", "until", "then", "do", "for", "{")):
             stop = s.nested(at)
             kinds.append("WORD" if stop > 0 else BAD)
-            starts.append(at)
             at = stop if stop > 0 else n
             continue
         if text.startswith("[[", at) and text[at + 2 : at + 3] in (" ", "\t", "\n"):
             stop = re.compile(r"\s\]\](?=[\s;&|)]|$)").search(text, at)
             kinds.append("WORD" if stop else BAD)
-            starts.append(at)
             at = stop.end() if stop else n
             continue
         m = _SH_REDIR.match(text, at)
         if m and not text.startswith(("<(", ">("), at):
-            starts.append(at)
             kinds.append("REDIR")
             at = m.end()
             if m[0].endswith(("<<", "<<-")) and not m[0].endswith("<<<"):
@@ -446,19 +419,16 @@ def shell_tokens(text: str) -> Tokens:
         m = _SH_OPS.match(text, at)
         if m:
             kinds.append(m[0])
-            starts.append(at)
             at = m.end()
             continue
         end = s.nested(at + 1) if text.startswith(("<(", ">("), at) else s.word(at)
         if end <= at:
             kinds.append(BAD)
-            starts.append(at)
             break
         w = text[at:end]
         kinds.append(w if w in _SH_KEYS else "WORD")
-        starts.append(at)
         at = end
-    return kinds, [], starts
+    return kinds, []
 
 
 # ---- YAML ------------------------------------------------------------------
@@ -473,14 +443,12 @@ _Y_FLOW_PLAIN = re.compile(r"(?:[^\s\-?:,\[\]{}#&*!|>'\"%@`]|[\-?:](?=[^\s,\[\]{
 
 def yaml_tokens(text: str) -> Tokens:
     kinds: list[str] = []
-    starts: list[int] = []
     text = text.lstrip("\ufeff").replace("\r\n", "\n")
     at, n = 0, len(text)
     stack = [-1]
 
     def put(kind: str, where: int) -> None:
         kinds.append(kind)
-        starts.append(where)
 
     def column(where: int) -> int:
         return where - (text.rfind("\n", 0, where) + 1)
@@ -634,4 +602,4 @@ def yaml_tokens(text: str) -> Tokens:
     while len(stack) > 1:
         stack.pop()
         put("DED", n)
-    return kinds, [], starts
+    return kinds, []
