@@ -141,7 +141,7 @@ def code_upsert(store: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
 
 def compact_snippet(snippet: Column, most: int = 220) -> Column:
     """A snippet in one line without envelope fields, cut at a word with dots."""
-    even = F.trim(F.regexp_replace(F.coalesce(snippet, F.lit("")), r"\s+", " "))
+    even = F.trim(F.regexp_replace(F.coalesce(snippet, F.lit("")), r"(?U)\s+", " "))
     fields = "|".join(f.replace(" ", r"\s*") for f in ENVELOPE_FIELDS)
     bare = F.regexp_replace(even, rf"(?i)(?:^|[;|])\s*(?:{fields})\s*:\s*[^;|]+", " ")
     clean = F.regexp_replace(F.regexp_replace(bare, r"\s+", " "), r"^[ .;\-]+|[ .;\-]+$", "")

@@ -313,7 +313,7 @@ SELECT c.id, c.generation_id, c.path, NOT coalesce(sha256(text) = regexp_replace
 FROM c LEFT JOIN f ON f.generation_id = c.generation_id AND f.path = c.path AND f.n = 1""",
     "code_upserts": "SELECT vec_id, CASE WHEN vec_id % 21 = 0 THEN 'twice_in_batch' WHEN vec_id % 5 = 0 THEN 'in_store' ELSE 'accepted' END AS outcome FROM (SELECT DISTINCT vec_id FROM embeddings WHERE vec_id % 3 = 0)",
     "compact_snippets": r"""
-WITH e AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL),
+WITH e AS (SELECT doc_id, trim(regexp_replace(text, '[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL),
 b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '(?i)(?:^|[;|])\s*(?:title|video\s*id|video\s*url|channel|kind|language)\s*:\s*[^;|]+', ' ', 'g'), '\s+', ' ', 'g'), '^[ .;\-]+|[ .;\-]+$', '', 'g') AS c FROM e)
 SELECT doc_id, CASE WHEN length(c) <= 220 THEN c ELSE trim(CASE WHEN contains(substr(c, 1, 220), ' ') THEN regexp_replace(substr(c, 1, 220), ' [^ ]*$', '') ELSE substr(c, 1, 220) END) || '...' END AS snippet FROM b""",
     "profile_languages": "SELECT doc_id, CASE WHEN lower(trim(coalesce(lang, ''))) IN ('', 'auto') THEN 'es' ELSE split_part(lower(trim(lang)), '-', 1) END AS language FROM documents",
