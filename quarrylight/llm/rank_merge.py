@@ -25,6 +25,8 @@ from math import comb
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylight.runtime import cut
+
 #: Buckets per power of two of a score's magnitude.
 BUCKETS_PER_OCTAVE = 32
 #: Decimals to which significances are compared.
@@ -60,8 +62,9 @@ def normalised_ranks(rows: DataFrame, group: list[str], score: str, rank: str) -
     same = F.col("_bucket") == F.col("_in_bucket")
     for c in group:
         same &= F.col(c) == F.col(f"_of_{c}")
-    joined = marked.join(ranked, same & F.col(score).eqNullSafe(F.col("_value")))
-    return joined.select(*rows.columns, rank)
+    valued = marked.where(F.col(score).isNotNull()).join(ranked, same & (F.col(score) == F.col("_value"))).select(*rows.columns, rank)
+    # All rows score at least as high as a missing value, so it needs no look-up; half of all rows may have none.
+    return valued.unionByName(rows.where(F.col(score).isNull()).withColumn(rank, F.lit(1.0)))
 
 
 def significance(ranks: list[Column]) -> Column:
@@ -77,21 +80,20 @@ def significance(ranks: list[Column]) -> Column:
 def aggregate_ranks(candidates: DataFrame, group: str, key: list[str], scores: list[str]) -> DataFrame:
     """Group, key, ``significance`` (small: high on all scores together) and ``mean_rank``.
 
-    All scores are ranked in one pass, as rows (group, kind of score, value).
+    All scores are ranked in one pass, as rows (group, number of the candidate,
+    kind of score, value); keys wait in the written candidates.
     """
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(c).cast("double").alias("value")) for i, c in enumerate(scores)]))
-    long = candidates.select(group, *key, each.alias("_s")).select(group, *key, "_s.kind", "_s.value")
-    long = long.withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
+    held = cut(candidates.withColumn("_id", F.monotonically_increasing_id()))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias("value")) for i, c in enumerate(scores)]))
+    long = held.select(group, "_id", each.alias("_s")).select(group, "_id", "_s.kind", "_s.value")
     ranked = normalised_ranks(long, [group, "kind"], "value", "_rank")
-    ranks = F.array_sort(F.collect_list("_rank"))
-    merged = ranked.groupBy(group, *key).agg(ranks.alias("_ranks"))
+    merged = ranked.groupBy("_id").agg(*[F.max(F.when(F.col("kind") == i, F.col("_rank"))).alias(f"_r{i}") for i in range(len(scores))])
+    ranks = F.array_sort(F.array(*[F.col(f"_r{i}") for i in range(len(scores))]))
     columns = [F.col("_ranks")[i] for i in range(len(scores))]
-    return merged.select(
-        group,
-        *key,
-        F.round(significance(columns), DECIMALS).alias("significance"),
-        F.round(sum(columns[1:], columns[0]) / len(scores), DECIMALS).alias("mean_rank"),
+    found = merged.select("_id", ranks.alias("_ranks")).select(
+        "_id", F.round(significance(columns), DECIMALS).alias("significance"), F.round(sum(columns[1:], columns[0]) / len(scores), DECIMALS).alias("mean_rank")
     )
+    return held.select("_id", group, *key).join(found, "_id").drop("_id")
 
 
 def candidates_of(entries: DataFrame, hits: DataFrame) -> DataFrame:
