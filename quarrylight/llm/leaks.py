@@ -37,7 +37,7 @@ HIT_BLOCK = 50_000
 BLOCK_WORDS = 1_000_000
 
 _ESCAPES = re.compile(r"\\u\{?([0-9a-fA-F]{4,6})\}?|\\x([0-9a-fA-F]{2})|\\([nrtfvb0\"'/\\])")
-_TAGS = re.compile(r"<[/!?]?[A-Za-z][^<>]{0,400}>|<!--.{0,400}?-->", re.S)
+_TAGS = re.compile(r"<[/!?]?[A-Za-z][^<>]*>|<!--(?:(?!<!--).)*?-->", re.S)
 _PERCENT = re.compile(r"(?:%[0-9a-fA-F]{2})+")
 _HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _CUES = re.compile(r"(?m)(?:^[ \t]*\d+[ \t]*\r?\n)?^[ \t]*\d+:\d\d:\d\d[.,]\d+[ \t]*-->.*$|^[ \t]*\[\d+:\d\d(?::\d\d)?\]")
@@ -124,18 +124,16 @@ def search(words: np.ndarray, order: np.ndarray, query: np.ndarray) -> tuple[np.
     return ends[0], ends[1]
 
 
-def longest_runs(words: np.ndarray, at: np.ndarray, tests: np.ndarray, q: np.ndarray, cap: int = 64) -> np.ndarray:
-    """Verbatim words from each pair of positions on, at most ``cap``."""
-    run, open_ = np.zeros(len(at), dtype=np.int64), np.ones(len(at), dtype=bool)
-    for k in range(cap):
-        a, b = at + k, q + k
+def longest_runs(words: np.ndarray, at: np.ndarray, tests: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Verbatim words from each pair of positions on; a passage's end closes its runs."""
+    run = np.zeros(len(at), dtype=np.int64)
+    open_ = np.arange(len(at))
+    while len(open_):
+        a, b = at[open_] + run[open_], q[open_] + run[open_]
         ok = (a < len(words)) & (b < len(tests))
-        same = ok & (words[np.minimum(a, len(words) - 1)] == tests[np.minimum(b, len(tests) - 1)])
-        same &= words[np.minimum(a, len(words) - 1)] > 0
-        open_ &= same
-        if not open_.any():
-            break
-        run += open_
+        mine = words[np.minimum(a, len(words) - 1)]
+        open_ = open_[ok & (mine > 0) & (mine == tests[np.minimum(b, len(tests) - 1)])]
+        run[open_] += 1
     return run
 
 
@@ -146,17 +144,20 @@ class Passages:
         self.words, self.changed = words, changed
         self.seed = -(-(words - changed) // (changed + 1))
         self.number: dict[str, int] = {}
-        flat, owner = [0], [-1]
+        flat, owner, first = [0], [-1], [0]
         for item, text in items:
             found = words_of(text)
             if len(found) < words:
                 continue
+            begin = len(flat)
             for w in found:
                 flat.append(self.number.setdefault(w, len(self.number) + 1))
                 owner.append(item)
+                first.append(begin)
             flat.append(0)
             owner.append(-1)
-        self.flat, self.owner = np.array(flat, dtype=np.int64), np.array(owner, dtype=np.int64)
+            first.append(begin)
+        self.flat, self.owner, self.first = (np.array(x, dtype=np.int64) for x in (flat, owner, first))
         if len(self.flat) > self.seed:
             view = np.lib.stride_tricks.sliding_window_view(self.flat, self.seed)
             self.starts = np.nonzero((view > 0).all(axis=1))[0]
@@ -165,8 +166,8 @@ class Passages:
             self.starts, self.rows = np.zeros(0, dtype=np.int64), np.zeros((0, self.seed), dtype=np.int64)
 
     def find(self, words: np.ndarray, doc_of: np.ndarray) -> pd.DataFrame:
-        """Leaks in one shard: doc (row number), item, and the longest verbatim run."""
-        none = pd.DataFrame({"doc": [], "item_id": [], "run": []}).astype("int64")
+        """Leaks in one shard: doc (row number), item, the longest verbatim run, and the words at which it begins in both."""
+        none = pd.DataFrame({"doc": [], "item_id": [], "run": [], "doc_word": [], "item_word": []}).astype("int64")
         if not len(self.rows) or not len(words):
             return none
         order = suffix_array(words, self.seed)
@@ -174,15 +175,13 @@ class Passages:
         if not len(order):
             return none
         low, high = search(words, order, self.rows)
-        many = high - low
-        hit = np.repeat(np.arange(len(many)), many)
-        if not len(hit):
-            return none
-        offset = np.arange(len(hit)) - np.repeat(np.cumsum(many) - many, many)
+        many = np.cumsum(high - low)
         found = []
-        for block in range(0, len(hit), HIT_BLOCK):
-            h = hit[block : block + HIT_BLOCK]
-            p = order[low[h] + offset[block : block + HIT_BLOCK]]
+        for block in range(0, int(many[-1]) if len(many) else 0, HIT_BLOCK):
+            # Hits are numbered through; only those of one block exist at a time.
+            number = np.arange(block, min(block + HIT_BLOCK, int(many[-1])))
+            h = np.searchsorted(many, number, side="right")
+            p = order[high[h] - (many[h] - number)]
             q = self.starts[h]
             span = self.words - self.seed
             steps = np.arange(-span, self.words)
@@ -195,10 +194,16 @@ class Passages:
             good = ((total[:, self.words :] - total[:, : -self.words]) <= self.changed).any(axis=1)
             if good.any():
                 p, q = p[good], q[good]
-                found.append(pd.DataFrame({"doc": doc_of[p], "item_id": self.owner[q], "run": longest_runs(words, p, self.flat, q)}))
-        if not found:
-            return none
-        return pd.concat(found).groupby(["doc", "item_id"], as_index=False)["run"].max()
+                begins = np.searchsorted(doc_of, doc_of[p])
+                part = pd.DataFrame({"doc": doc_of[p], "item_id": self.owner[q], "run": longest_runs(words, p, self.flat, q), "doc_word": p - begins, "item_word": q - self.first[q]})
+                found.append(_longest(part))
+        return _longest(pd.concat(found)) if found else none
+
+
+def _longest(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of each document and item the longest run, of equal ones the first."""
+    rows = rows.sort_values(["doc", "item_id", "run", "doc_word", "item_word"], ascending=[True, True, False, True, True])
+    return rows.drop_duplicates(["doc", "item_id"])
 
 
 def _shards(batches: Iterator[pd.DataFrame], number: dict[str, int]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
@@ -225,7 +230,7 @@ def _shards(batches: Iterator[pd.DataFrame], number: dict[str, int]) -> Iterator
 def leaked_passages(
     docs: DataFrame, items: DataFrame, *, words: int = WINDOW_WORDS, changed: int = MAX_CHANGED, block_words: int = BLOCK_WORDS
 ) -> DataFrame:
-    """doc_id, item_id and the longest verbatim run of words of every leak.
+    """doc_id, item_id of every leak, its longest verbatim run of words, and the words of document and passage at which that begins.
 
     ``docs``: doc_id, text. ``items``: item_id, passage (one row per passage).
     The held-out items are a stated query set: they go over all documents in
@@ -250,12 +255,13 @@ def leaked_passages(
                 found = passages.find(flat, doc_of)
                 if len(found):
                     yield pd.DataFrame(
-                        {"doc_id": [ids[d] for d in found["doc"]], "item_id": found["item_id"], "longest_run": found["run"].astype("int32")}
+                        {"doc_id": [ids[d] for d in found["doc"]], "item_id": found["item_id"], **{n: found[c].astype("int32") for n, c in (("longest_run", "run"), ("doc_word", "doc_word"), ("item_word", "item_word"))}}
                     )
 
-        part = narrow.mapInPandas(run, "doc_id long, item_id long, longest_run int")
+        part = narrow.mapInPandas(run, "doc_id long, item_id long, longest_run int, doc_word int, item_word int")
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("doc_id", "item_id").agg(F.max("longest_run").alias("longest_run"))
+    best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("longest_run", (-F.col("doc_word")).alias("d"), (-F.col("item_word")).alias("i"))).alias("best"))
+    return best.select("doc_id", "item_id", "best.longest_run", (-F.col("best.d")).alias("doc_word"), (-F.col("best.i")).alias("item_word"))
 
 
 def golden_passages(golden: DataFrame) -> DataFrame:

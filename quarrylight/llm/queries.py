@@ -73,8 +73,10 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per evaluation item: how many documents hold it and its longest verbatim run."""
-    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("longest_run").alias("longest_run"))
+    """Per evaluation item: how many documents hold it, its longest verbatim run, and where that begins."""
+    best = F.max(F.struct("longest_run", (-F.col("doc_id")).alias("d"), "doc_word", "item_word"))
+    rows = _leaks(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"), best.alias("b"))
+    return rows.select("item_id", "documents", "b.longest_run", (-F.col("b.d")).alias("doc_id"), "b.doc_word", "b.item_word")
 
 
 def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:

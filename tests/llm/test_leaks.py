@@ -60,3 +60,11 @@ def test_found_equal_brute_force(spark):
 def test_empty(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, passage string")
     assert leaks.leaked_passages(docs, items).count() == 0
+
+
+def test_runs_are_whole_and_placed(spark):
+    words = [f"x{i}" for i in range(200)]
+    docs = spark.createDataFrame([(1, "zero one two " + " ".join(words) + " end"), (2, "<b " + "a " * 300 + ">" + " ".join(words[50:80]))], "doc_id long, text string")
+    items = spark.createDataFrame([(9, "start " + " ".join(words))], "item_id long, passage string")
+    got = {r.doc_id: (r.longest_run, r.doc_word, r.item_word) for r in leaks.leaked_passages(docs, items).collect()}
+    assert got == {1: (200, 3, 1), 2: (30, 0, 51)}
