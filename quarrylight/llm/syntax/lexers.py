@@ -13,6 +13,19 @@ def _words(text: str) -> set[str]:
     return set(text.split())
 
 
+#: Lines whose tokens a worker keeps, by language.
+MAX_LINES = 150_000
+_LINES: dict[tuple, dict] = {}
+
+
+def _lines_of(*key: object) -> dict:
+    """The tokens of the lines that stand for themselves."""
+    known = _LINES.setdefault(key, {})
+    if len(known) > MAX_LINES:
+        known.clear()
+    return known
+
+
 # ---- JSON ------------------------------------------------------------------
 
 _JSON = re.compile(
@@ -80,6 +93,9 @@ def python_tokens(text: str, soft: frozenset[str] = PY_SOFT) -> Tokens:
     at, n = 0, len(text)
     match = _PY.match
     own = _PY_KEYS | soft
+    known = _lines_of("python", soft)
+    first = stop = -1
+    line = None
     while at < n:
         if begin and not depth:
             # Blank and comment lines have no indentation of their own.
@@ -102,6 +118,15 @@ def python_tokens(text: str, soft: frozenset[str] = PY_SOFT) -> Tokens:
                 put(BAD)
                 stack.append(width)
             at, begin = end, False
+            # A line that holds whole tokens and closes its brackets is read once.
+            stop = text.find("\n", end)
+            line = text[end:stop] if stop >= 0 else None
+            held = known.get(line) if line else None
+            if held:
+                kinds += held
+                at, begin = stop + 1, True
+                continue
+            first = len(kinds) if line and '"""' not in line and "'''" not in line and line.count("{") == line.count("}") else -1
         m = match(text, at)
         g = m.lastgroup
         at = m.end()
@@ -119,6 +144,8 @@ def python_tokens(text: str, soft: frozenset[str] = PY_SOFT) -> Tokens:
             if not depth:
                 put("NEWLINE")
                 begin = True
+                if first >= 0 and at == stop + 1:
+                    known[line] = tuple(kinds[first:])
         elif g:
             put(BAD if g == "bad" else g)
     if kinds and kinds[-1] != "NEWLINE" and not depth:
@@ -145,6 +172,40 @@ _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])
 _VALUE_ENDS = _words("ID NUM STR REGEX TPL ) ] } this super null true false ++ --") | {"`end"} | JS_SOFT
 
 
+_NOT_ALONE = ((), (), 0)
+_SPANS_LINES = re.compile(r"`|/\*|\*/|^\s*/(?!/)|\\\r?$|<!--|[\r\u2028\u2029](?!$)")
+
+
+def _script_line(line: str) -> tuple[tuple, tuple, int]:
+    """Tokens of a line, which of them begin it, and how many more braces open than close."""
+    if _SPANS_LINES.search(line):
+        return _NOT_ALONE
+    kinds: list[str] = []
+    at, n, depth = 0, len(line), 0
+    match, own = _JS.match, JS_KEYS | JS_SOFT
+    while at < n:
+        m = match(line, at)
+        g = m.lastgroup
+        at = m.end()
+        if g is None:
+            break
+        if g == "word":
+            w = m["word"]
+            kinds.append(w if w in own else "ID")
+            continue
+        if g == "mark":
+            w = m["mark"]
+            depth += (w == "{") - (w == "}")
+            if w[0] == "/" and kinds and kinds[-1] not in _VALUE_ENDS:
+                literal = _REGEX.match(line, at - len(w))
+                if literal:
+                    w, at = "REGEX", literal.end()
+            kinds.append(w)
+            continue
+        kinds.append(BAD if g == "bad" else g)
+    return tuple(kinds), (True, *(False,) * (len(kinds) - 1)) if kinds else (), depth
+
+
 def script_tokens(text: str) -> Tokens:
     """Tokens of JavaScript and TypeScript. A template is `start ... ${ ... }$ ... `end."""
     kinds: list[str] = []
@@ -168,7 +229,31 @@ def script_tokens(text: str) -> Tokens:
         templates.append(depth)
         return min(n, i + 2)
 
+    known = _lines_of("script")
+    at_line = at == 0 or text.startswith("\n", at)
     while at < n:
+        if at_line or text[at] == "\n":
+            at += not at_line
+            at_line = False
+            newline = True
+            # Outside templates, a line of whole tokens is read once.
+            while not templates:
+                stop = text.find("\n", at)
+                line = text[at:stop] if stop >= 0 else text[at:]
+                held = known.get(line)
+                if held is None:
+                    held = known[line] = _script_line(line)
+                if held is _NOT_ALONE:
+                    break
+                if held[0]:
+                    kinds += held[0]
+                    fresh += held[1]
+                depth += held[2]
+                at = stop + 1 if stop >= 0 else n
+                if at >= n:
+                    break
+            if at >= n:
+                break
         m = match(text, at)
         gap, g = m[1], m.lastgroup
         at = m.end()

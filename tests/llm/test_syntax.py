@@ -155,3 +155,17 @@ def test_sql_needs_a_semicolon_before_a_blank_line():
 
     assert not Checker().valid("SELECT a FROM t WHERE b = 1\n\nSELECT c FROM u;", "sql")
     assert Checker().valid("SELECT a FROM t WHERE b = 1;\n\nSELECT c FROM u;", "sql")
+
+
+def test_lines_read_once_mean_the_same():
+    """A line's tokens are kept; in another place, such as in an open string, the same line means something else."""
+    from quarrylight.llm.syntax import lexers
+
+    rng = random.Random(9)
+    for language, lines in (("python", ["x = (1,", "2)", "x = 1", 'y = """', '"""', "if a:", "    b = {", "    }", "f'{a}'", "z = 'a \\\\", "b'", "# c", ""]), ("javascript", ["a = `x", "${b}`", "/* c", "*/", "d = e /", "f / g", "// h", "if (a) {", "}", "'q \\\\", "r'", "x = a", "/re/g.test(y)", ""])):
+        for _ in range(400):
+            text = "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 9)))
+            lex = check.LANGUAGES[language]
+            held = lex(text)
+            lexers._LINES.clear()
+            assert lex(text) == held, text
