@@ -35,7 +35,7 @@ from quarrylight.runtime import distinct_texts, hot_keys, spread_join
 
 # ---- tokens ----------------------------------------------------------------
 
-_PEM = r"-----BEGIN [A-Z0-9 ]{0,40}?(?:PRIVATE KEY|PUBLIC KEY|CERTIFICATE|KEY BLOCK)[A-Z ]{0,20}-----.{40,20000}?-----END [A-Z0-9 ]{3,60}-----"
+_PEM = r"-----BEGIN [A-Z0-9 ]{0,40}?(?:PRIVATE KEY|PUBLIC KEY|CERTIFICATE|KEY BLOCK)[A-Z ]{0,20}-----(?=.{40})(?>[^-]+|-(?!----))*+-----END [A-Z0-9 ]{3,60}-----"
 #: A literal continued by another one: one value in several pieces.
 _GLUE = r"[\"'`][ \t]*(?:[+.\\][ \t]*\r?\n?|\r?\n)[ \t]*(?:[+.][ \t]*)?[\"'`]"
 _CAT = rf"[\w.+/~*!#%^&\-]{{4,}}=*(?:{_GLUE}[\w.+/~*!#%^&\-]{{4,}}=*)+(?=[\"'`])"
@@ -609,7 +609,7 @@ def find_spans(text: str, field: Field, remembered: dict | None = None) -> list[
                 end = n if tail < 0 else tail
                 line = text[at:end]
         last = at
-        while end < n and _FOLLOWS.match(text, end + 1) and _GOES_ON.search(text, max(last, end - 80), end):
+        while end < n and _FOLLOWS.match(text, end + 1) and _GOES_ON.match(text, max(text.rfind(q, last, end) for q in "\"'`"), end):
             last = end + 1
             tail = text.find("\n", end + 1)
             end = n if tail < 0 else tail
@@ -624,7 +624,7 @@ def find_spans(text: str, field: Field, remembered: dict | None = None) -> list[
                     labels = field.viterbi(rows)
                     found = [(t.start, t.end) for t, label in zip(tokens, labels) if label]
             if remembered is not None and len(line) < 400:
-                if len(remembered) > 100_000:
+                if len(remembered) > MAX_REMEMBERED:
                     remembered.clear()
                 remembered[line] = found
         if found:
@@ -655,6 +655,15 @@ def redact(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[last:]])
 
 
+#: Lines whose spans a worker keeps between its tasks.
+MAX_REMEMBERED = 250_000
+
+
+@lru_cache(maxsize=1)
+def _remembered() -> dict[str, list[tuple[int, int]]]:
+    return {}
+
+
 FOUND = "text_key string, line_no int, start int, stop int, redacted string"
 
 
@@ -664,7 +673,7 @@ def scan(texts: DataFrame) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, remembered = shared.value, {}
+        model, remembered = shared.value, _remembered()
         for batch in batches:
             rows = []
             for key, text in zip(batch["text_key"], batch["text"]):
