@@ -43,8 +43,10 @@ _JOIN = re.compile(_GLUE)
 _GOES_ON = re.compile(r"[\"'`][ \t]*(?:[+.\\][ \t]*)?\r?$")
 _FOLLOWS = re.compile(r"[ \t]*(?:[+.][ \t]*)?[\"'`]")
 _IS_NAME = re.compile(r"[\"'`]?\s*(?::(?!//)|=(?!=))")
+#: A value with an at sign in it, whole in quotes or up to the end of an assignment; an address has its sign between other parts.
+_SIGNED = r"(?<=[\"'`])(?!\S*://)[\w.+/~*!#%^&\-]+@[\w.+/~*!#%^&\-@]*(?=[\"'`])|(?<=[:=>\s])(?<![:/]/)(?!\S*://)[A-Za-z0-9+~*!#%^&\-]+@[A-Za-z0-9+~*!#%^&\-]+(?=[\s;,<)]|$)"
 _TOKEN = re.compile(
-    rf"(?P<pem>{_PEM})|(?P<cat>{_CAT})|(?P<word>[\w.+/~*!#%^&\-]+=*(?=[\"'`\s),;<>\\]|$)|[\w.+/~*!#%^&\-]+)|(?P<mark>[^\w\s])", re.S
+    rf"(?P<pem>{_PEM})|(?P<cat>{_CAT})|(?P<word>{_SIGNED}|[\w.+/~*!#%^&\-]+=*(?=[\"'`\s),;<>\\]|$)|[\w.+/~*!#%^&\-]+)|(?P<mark>[^\w\s])", re.S
 )
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-zà-ÿ]+|\d+")
 #: A token of eight characters with a digit is looked at wherever it stands, any other where a value stands.
@@ -383,7 +385,9 @@ class Field:
         rng = random.Random(11)
         squares: dict[str, float] = {}
         order = list(range(len(lines)))
-        for _ in range(rounds):
+        # The mean of the later rounds does not depend on which line came last.
+        late, mean = rounds - rounds // 2, {}
+        for done in range(rounds):
             rng.shuffle(order)
             for k in order:
                 rows, gold = lines[k]
@@ -396,6 +400,10 @@ class Field:
                         squares[x] = squares.get(x, 1e-6) + g * g
                         self.weights[x] = self.weights.get(x, 0.0) - rate * g / math.sqrt(squares[x])
                 self.pairs -= 0.01 * pair
+            if done >= late:
+                for x, w in self.weights.items():
+                    mean[x] = mean.get(x, 0.0) + w / (rounds - late)
+        self.weights = mean or self.weights
         return self
 
 
@@ -502,8 +510,8 @@ def training_lines(count: int = 2400, seed: int = 5) -> list[tuple[str, str | No
     return out
 
 
-def plain_lines(count: int = 2400, seed: int = 7) -> list[tuple[str, str | None]]:
-    """Composed lines of credentials that are short or have no digit, and of such words that are none."""
+def plain_lines(count: int = 2400, seed: int = 7, placed: bool = False) -> list[tuple[str, str | None]]:
+    """Composed lines of credentials that are short or have no digit, and of such words that are none; ``placed``: of values whose place says what they are, and of addresses."""
     rng = random.Random(seed)
     pick = rng.choice
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -544,6 +552,25 @@ def plain_lines(count: int = 2400, seed: int = 7) -> list[tuple[str, str | None]
             f"export const {n} = ({w}: {pick(types)}): {pick(types)} => {{", f"export function filter{a.capitalize()}(tokens: any[], limit: number = 26): any[] {{", f"    const basic {w}", f"  basic {w} and token {a}", f"const {n} = '{{{{ {n} }}}}';", f'{n} = "${{{n.upper()}}}"', f'{n} = "%{n.upper()}%"',
         ])
 
+    def placed_value() -> tuple[str, str]:
+        """A value whose place alone says what it is."""
+        a, b, n = pick(_STEMS), pick(_STEMS), name(_GOOD_PASS)
+        v = pick([a + b, a + b + pick(_STEMS), a + b.capitalize(), a.capitalize() + pick("@!#") + str(rng.randrange(10, 9999)), lone(word=False)])
+        bare_url = v if "@" not in v and "#" not in v else a + b
+        return pick([
+            (f"{pick(['redis', 'postgres', 'mongodb', 'mongodb+srv', 'amqp', 'mysql', 'https'])}://{pick([a, 'app', 'admin', 'root', 'svc'])}:{bare_url}@{b}.{pick(['internal', 'example.org', 'svc'])}{pick(['', ':6379', '/0', '/main?x=1'])}", bare_url), (f"CREATE ROLE {a} LOGIN PASSWORD '{v}';", v), (f"SET PASSWORD FOR {a} = '{v}';", v), (f"GRANT ALL ON {a}.* TO {b} IDENTIFIED BY '{v}';", v),
+            (f'config.set("{n}", "{v}")', v), (f"put('{n}', '{v}')", v), (f'env.{n.upper()} = "{v}"', v), (f"ARG {n.upper()}={v}", v), (f"{n.upper()} {v if any(c.isdigit() for c in v) else v + '7'}", v if any(c.isdigit() for c in v) else v + "7"), (quoted(name(["session_secret", "cookie_secret", "jwt_secret", "hmac_secret", "app_secret"]), v), v), (f"{n}: {v}" if not v.isalpha() else f'{n}: "{v}"', v),
+        ])
+
+    def address() -> str:
+        a, b = pick(_STEMS), pick(_STEMS)
+        mail = f"{a}.{b}@{pick(_STEMS)}.{pick(['example', 'org', 'com'])}"
+        mark = rand(rng.randrange(8, 15), letters + "0123456789")
+        if rng.random() < 0.5:
+            # Marks of rows, which no name calls a secret.
+            return pick([f"INSERT INTO {a} VALUES ({rng.randrange(99)}, '{b}', {rng.randrange(99999)}, '{mark}');", f"({rng.randrange(99)}, '{a}', '{mark}'),", f'["{mark}", "{a}"]', f"{a} = '{mark}'", f'  "{b}": "{mark}",', f'<td id="{mark}">', f"const {mark[0]}{rng.randrange(99)}={rng.randrange(999)},{mark[1]}{rng.randrange(99)}='{a}';", f"{mark[0]}{rng.randrange(99)} = '{a}'", f'var {mark[:2]}="{b}",{mark[2]}=1', f"{a}Kind='{b}'"])
+        return pick([f'email = "{mail}"', f"  user: '{mail}',", f"// contact {mail}", f'login("{mail}")', f'"username": "{mail}"', f"password_reset_mail = '{mail}'", f"git@{a}.example:{b}/repo.git", f"npm i @{a}/{b}@1.2.3", f'"{a}@{rng.randrange(9)}"', f"@{a}('{b}')", f"scp {a}@{b} .", f"uses: {a}/{b}@v{rng.randrange(9)}", f"key={a}@{b}, n=3"])
+
     def calm() -> str:
         v = "".join(pick(_STEMS).capitalize() for _ in range(rng.randrange(2, 5)))
         v = pick([v, v[0].lower() + v[1:], v[0].lower() + v[1:] + rand(3).capitalize(), "_".join(pick(_STEMS) for _ in range(3)), "-".join(pick(_STEMS) for _ in range(3)), pick(_STEMS), "/".join(pick(_STEMS) for _ in range(3)), rand(rng.randrange(2, 6)) + str(rng.randrange(10)), "x" + str(rng.randrange(100))])
@@ -554,7 +581,7 @@ def plain_lines(count: int = 2400, seed: int = 7) -> list[tuple[str, str | None]
 
     out: list[tuple[str, str | None]] = []
     while len(out) < count:
-        kind = rng.randrange(8)
+        kind = 8 + rng.randrange(2) if placed else rng.randrange(8)
         drawn = rand(rng.randrange(16, 44))
         if kind == 0:
             out.append((pick([quoted(name(_GOOD_KEY + _GOOD_PASS + _NEUTRAL), drawn), told(drawn), bare(name(_GOOD_KEY), drawn), f"https://{pick(_STEMS)}.example/hook?token={drawn}"]), drawn))
@@ -566,6 +593,10 @@ def plain_lines(count: int = 2400, seed: int = 7) -> list[tuple[str, str | None]
             out.append((pick([bare(name(_GOOD_PASS), v), told(v)]), v))
         elif kind <= 5:
             out.append((none(), None))
+        elif kind == 8:
+            out.append(placed_value())
+        elif kind == 9:
+            out.append((address(), None))
         else:
             out.append((calm(), None))
     return out
@@ -574,7 +605,7 @@ def plain_lines(count: int = 2400, seed: int = 7) -> list[tuple[str, str | None]
 @lru_cache(maxsize=1)
 def trained_field() -> Field:
     lines = []
-    for text, secret in training_lines() + plain_lines():
+    for text, secret in training_lines() + plain_lines(3000) + plain_lines(600, 9, placed=True):
         tokens = tokens_of(text)
         rows = features(tokens, text)
         at = text.find(secret) if secret else -1
