@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.llm import credentials, encode, handwritten, language, leaks, rank_merge, scans
 from quarrylight.llm.syntax import check as syntax
-from quarrylight.runtime import table
+from quarrylight.runtime import cut, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = table(spark, sf_dir, "document_nodes").select("id", "document_id", "node_type", "page_number", "raw_text", "metadata", "ingested_at")
+    nodes = table(spark, sf_dir, "document_nodes").select("id", "document_id", "node_type", "page_number", "order_index", "raw_text", "metadata", "ingested_at")
     return scans.repair(nodes)
 
 
@@ -48,8 +48,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Continuous readable text of each damaged or wrapped body node."""
-    return _repaired(spark, sf_dir).select("id", "text")
+    """Continuous readable text of each body node."""
+    return scans.continuous(cut(_repaired(spark, sf_dir)))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
