@@ -14,18 +14,25 @@ def _words(text: str) -> set[str]:
 
 
 #: Lines whose tokens a worker keeps, by language.
-MAX_LINES = 150_000
+MAX_LINES = 300_000
 _LINES: dict[tuple, dict] = {}
+#: Lines of equal tokens share one list of them.
+_SHAPES: dict[tuple, tuple] = {}
 
 
 def _lines_of(*key: object) -> dict:
     """The tokens of the lines that stand for themselves."""
     known = _LINES.setdefault(key, {})
-    if len(known) > MAX_LINES:
+    if len(known) > MAX_LINES or len(_SHAPES) > MAX_LINES:
         known.clear()
+        _SHAPES.clear()
     return known
 
 
+def _shared(shape: tuple) -> tuple:
+    return _SHAPES.setdefault(shape, shape)
+
+
 # ---- JSON ------------------------------------------------------------------
 
 _JSON = re.compile(
@@ -145,7 +152,7 @@ def python_tokens(text: str, soft: frozenset[str] = PY_SOFT) -> Tokens:
                 put("NEWLINE")
                 begin = True
                 if first >= 0 and at == stop + 1:
-                    known[line] = tuple(kinds[first:])
+                    known[line] = _shared(tuple(kinds[first:]))
         elif g:
             put(BAD if g == "bad" else g)
     if kinds and kinds[-1] != "NEWLINE" and not depth:
@@ -172,7 +179,7 @@ _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])
 _VALUE_ENDS = _words("ID NUM STR REGEX TPL ) ] } this super null true false ++ --") | {"`end"} | JS_SOFT
 
 
-_NOT_ALONE = ((), (), 0)
+_NOT_ALONE = (None, None, 0)
 _SPANS_LINES = re.compile(r"`|/\*|\*/|^\s*/(?!/)|\\\r?$|<!--|[\r\u2028\u2029](?!$)")
 
 
@@ -203,7 +210,7 @@ def _script_line(line: str) -> tuple[tuple, tuple, int]:
             kinds.append(w)
             continue
         kinds.append(BAD if g == "bad" else g)
-    return tuple(kinds), (True, *(False,) * (len(kinds) - 1)) if kinds else (), depth
+    return _shared((tuple(kinds), (True, *(False,) * (len(kinds) - 1)) if kinds else (), depth)) if kinds else ((), (), 0)
 
 
 def script_tokens(text: str) -> Tokens:
