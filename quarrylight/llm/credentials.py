@@ -92,6 +92,7 @@ def eligible(token: Token) -> bool:
 #: What stands before a value without quotes.
 _TOLD = r"(?:password|passwd|pwd|clave|contraseña|secret|token|login)\b[^=:\"']{0,24}\b(?:was|is|era|es|now)\s*:?\s*|login\s*:?\s*[\w.\-]+\s*/\s*"
 _TOLD_NEXT = re.compile(rf"(?:{_TOLD})$", re.I)
+_IDENTIFIED = re.compile(r"\bidentified\s+by\s*.$", re.I)
 _ANNOUNCES = {"basic", "bearer", "token", "password", "passwd", "pwd", "clave", "secret"}
 _CAMEL = re.compile(r"[a-zà-ÿ]*(?:[A-ZÀ-Þ][a-zà-ÿ]+)*$|[A-ZÀ-Þ]+$")
 _UNSPOKEN = re.compile(r"[bcdfghjklmnpqrstvwxz]{5}", re.I)
@@ -312,6 +313,8 @@ def features(line: list[Token], text: str) -> list[list[str] | None]:
             f.append("cli-user")
         if before[-1:] not in ("'", '"', "`", "=", "(", ",", ">") and _TOLD_NEXT.search(before):
             f.append("told")
+        if left[-1:] in ("'", '"') and _IDENTIFIED.search(before):
+            f.append("identified")
         if left.endswith(("{", "<", "%", "$", "(")) and right[:1] in ("}", ">", "%", ")") and not left.endswith("("):
             f.append("template")
         if before.endswith("base64,"):
