@@ -61,8 +61,14 @@ def split_documents(docs: DataFrame, *, most: int = 800, overlap: int = 80, key:
     return spread(docs.select(key, "text")).mapInPandas(run, f"`{key}` long, position int, char_start int, char_end int, tokens int, text string")
 
 
-def assemble(rows: pd.DataFrame, least: int = 400, most: int = 800) -> pd.DataFrame:
-    """Chunks of one block of a document's nodes in order; metadata nodes are left out.
+#: Tokens of a chunk: from so many on it ends at a structural boundary, and never has more; pieces of a longer node overlap.
+LEAST, MOST, OVERLAP = 400, 800, 80
+#: Nodes of a document up to which one task folds it whole.
+NODES_PER_TASK = 50_000
+
+
+def assemble(rows: pd.DataFrame, least: int = LEAST, most: int = MOST, overlap: int = OVERLAP) -> pd.DataFrame:
+    """Chunks of a document's nodes in order; metadata nodes are left out.
 
     A chunk ends before it would exceed ``most`` tokens, and at a structural
     boundary once it holds ``least``.
@@ -79,7 +85,7 @@ def assemble(rows: pd.DataFrame, least: int = 400, most: int = 800) -> pd.DataFr
         text = x.text
         if not text or not text.strip():
             continue
-        for a, b in split_text(text, most, 0):
+        for a, b in split_text(text, most, overlap):
             piece = text[a:b]
             t = tokens_of(piece)
             if size and (size + t > most or x.node_type in BOUNDARY_TYPES and size >= least):
@@ -95,11 +101,19 @@ def assemble(rows: pd.DataFrame, least: int = 400, most: int = 800) -> pd.DataFr
     )
 
 
-def document_chunks(nodes: DataFrame, *, block: int = 4_000) -> DataFrame:
-    """Chunks of each document. A long document is folded in blocks of its order, so none fills one task."""
+def document_chunks(nodes: DataFrame, *, most_nodes: int = NODES_PER_TASK) -> DataFrame:
+    """Chunks of each document.
+
+    A document of more than ``most_nodes`` nodes is cut into blocks of so many
+    places of its order, and a chunk ends where a block does; any other is one
+    block, whatever its order_index.
+    """
     latest = nodes.where(F.col("id").isNotNull()).groupBy("id").agg(F.max(F.struct("ingested_at", "document_id", "order_index", "node_type", "page_number", F.coalesce("normalized_text", "raw_text").alias("text"), F.col("metadata.content_role").alias("role"))).alias("r")).select("id", "r.*")
     rows = latest.where("role IS NULL OR role <> 'metadata'").select("id", "document_id", F.coalesce("order_index", F.lit(0)).alias("order_index"), "node_type", "page_number", "text")
-    rows = rows.withColumn("block", F.floor(F.col("order_index") / block).cast("int"))
+    sizes = nodes.where(F.col("id").isNotNull()).groupBy("document_id").agg(F.count_distinct("id").alias("n"), F.min(F.coalesce("order_index", F.lit(0))).alias("low"), F.max(F.coalesce("order_index", F.lit(0))).alias("high")).where(F.col("n") > most_nodes)
+    # At most a most_nodes-th of the rows.
+    wide = sizes.select("document_id", "low", F.greatest(F.lit(1), ((F.col("high") - F.col("low") + 1) * most_nodes / F.col("n")).cast("int")).alias("width"))
+    placed = rows.join(wide, "document_id", "left").withColumn("block", F.coalesce(F.floor((F.col("order_index") - F.col("low")) / F.col("width")).cast("int"), F.lit(0))).drop("low", "width")
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         out = assemble(frame)
@@ -107,7 +121,7 @@ def document_chunks(nodes: DataFrame, *, block: int = 4_000) -> DataFrame:
         out.insert(0, "document_id", key[0])
         return out
 
-    return rows.groupBy("document_id", "block").applyInPandas(run, "document_id string, block int, position int, node_ids array<string>, text string, tokens int, page int")
+    return placed.groupBy("document_id", "block").applyInPandas(run, "document_id string, block int, position int, node_ids array<string>, text string, tokens int, page int")
 
 
 def code_spans(text: str, lines: int = CODE_LINES, chars: int = CODE_CHARS) -> list[tuple[int, int]]:

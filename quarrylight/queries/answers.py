@@ -16,7 +16,7 @@ def query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def follow_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "golden_cases").groupBy(answers.needs_context(F.col("question")).alias("follow_up")).agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "golden_cases").select("item_id", answers.needs_context(F.col("question")).alias("follow_up"))
 
 
 def conversation_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,12 +42,12 @@ def citation_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = lifecycle.retrieve(docs, cases.drop("answer"), k=5)
     sources = docs.select(F.col("doc_id").cast("string").alias("document_id"), F.coalesce("text", F.lit("")).alias("source"))
     evidence = items.join(sources, "document_id").select("query_id", "rank", "citable", "source", "snippet").dropDuplicates(["query_id", "rank", "source"])
-    return answers.bind_citations(cases, evidence).groupBy("state").agg(F.count("*").alias("n"))
+    return answers.bind_citations(cases, evidence).select("query_id", "rank", "state")
 
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", F.lit("Grounding score: 0."), F.col("status"), F.element_at(F.array(F.lit("verified"), F.lit("unverified"), F.lit("conflicting"), F.lit("partially verified")), (F.col("doc_id") % 4 + 1).cast("int"))).alias("t"))
-    return texts.select("doc_id", answers.parse_verdict(F.col("t")).alias("v")).groupBy("v.verdict").agg(F.count("*").alias("n"), F.round(F.sum("v.score"), 3).alias("score"))
+    return texts.select("doc_id", answers.parse_verdict(F.col("t")).alias("v")).select("doc_id", "v.verdict", "v.score")
 
 
 def substantive_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,12 @@ QUERIES = {
     f.__name__: f for f in (query_variants, follow_ups, conversation_contexts, excerpts, title_spans, citation_states, verdicts, substantive_hits, inferred_callers)
 }
 
+_CUES = [*answers.POINTERS, *answers.MENTIONS, *answers.CONTINUERS, *(f"{a} {b}" for a in answers.ASKED_ABOUT[0] for b in answers.ASKED_ABOUT[1])]
+
 ORACLE = {
+    "follow_ups": f"""WITH w AS (SELECT item_id, regexp_extract_all(lower(coalesce(question, '')), '[\\p{{L}}\\p{{N}}_]+') AS w FROM golden_cases)
+SELECT item_id, coalesce(w[1] IN ({", ".join(f"'{x}'" for x in answers.OPENERS)}), false) OR len(list_filter([{", ".join(f"'{x}'" for x in _CUES)}], lambda c: contains(' ' || array_to_string(w, ' ') || ' ', ' ' || c || ' '))) > 0 AS follow_up FROM w""",
+    "verdicts": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'verified' WHEN 1 THEN 'unverified' WHEN 2 THEN 'conflicting' ELSE 'partially_verified' END AS verdict, 0.0::DOUBLE AS score FROM documents",
     "title_spans": """
 WITH e AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS s, lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) AS w FROM documents WHERE title IS NOT NULL AND text IS NOT NULL),
 p AS (SELECT doc_id, length(s) > 0 AND length(w) > 0 AS ok, instr(s, w) AS a, length(w) AS n, instr(s, substr(w, 1, 80)) AS b, length(substr(w, 1, 80)) AS m FROM e)

@@ -35,8 +35,8 @@ def safe_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def binary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _files(spark, sf_dir).where("text IS NOT NULL").select(admission.is_binary(F.encode("text", "UTF-8")).alias("binary"))
-    return rows.groupBy("binary").agg(F.count("*").alias("n"))
+    """Distinct texts of each path that are binary or not."""
+    return _files(spark, sf_dir).where("text IS NOT NULL").select("path", F.sha2("text", 256).alias("digest"), admission.is_binary(F.encode("text", "UTF-8")).alias("binary")).distinct()
 
 
 def admission_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,6 +219,20 @@ _LOCKS = ", ".join(f"'{x}'" for x in admission.LOCK_FILES)
 _SAFE = "(NOT regexp_matches(path, '^[/\\\\]|^[A-Za-z]:|(^|[/\\\\])\\.\\.([/\\\\]|$)') AND trim(path) <> '')"
 _IN = lambda xs: ", ".join(f"'{x}'" for x in xs)
 
+_LIVE = """
+WITH a AS (SELECT max(generation_id) AS generation_id FROM generations WHERE state = 'active' GROUP BY repository_id),
+live AS (SELECT * FROM (SELECT f.*, row_number() OVER (PARTITION BY f.generation_id, path ORDER BY captured_at DESC NULLS LAST, content_hash DESC NULLS LAST) AS nth FROM files f JOIN a USING (generation_id)) WHERE nth = 1)"""
+_WIDER = "MAP {" + ", ".join(f"'{k}': [{_IN(v)}]" for k, v in lexical.SYNONYMS.items()) + "}"
+_TERMS = f"""
+WITH asked_once AS (SELECT query_id, max(focus_text) AS query FROM ranking_queries WHERE query_id IS NOT NULL GROUP BY 1),
+raw AS (SELECT query_id, list_filter(list_transform(regexp_extract_all(query, '[\\p{{L}}\\p{{N}}_.:/@\\-]+'), lambda w: regexp_replace(w, '^[.:/@\\-]+|[.:/@\\-]+$', '', 'g')), lambda w: w <> '') AS w FROM asked_once),
+kept AS (SELECT query_id, CASE WHEN len(list_filter(w, lambda x: NOT list_contains([{_IN(lexical.STOPWORDS)}], lower(x)))) > 0 THEN list_filter(w, lambda x: NOT list_contains([{_IN(lexical.STOPWORDS)}], lower(x))) ELSE w END AS w FROM raw),
+wide AS (SELECT query_id, i, p, k, term FROM (SELECT query_id, i, unnest([1, 2, 3]) AS p, w[i] AS x FROM (SELECT query_id, w, unnest(range(1, len(w) + 1)) AS i FROM kept)), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS k, unnest(l) AS term FROM (SELECT CASE p WHEN 1 THEN [x] WHEN 2 THEN
+  CASE WHEN len(list_filter(regexp_split_to_array(x, '[/:.\\-]+'), lambda y: length(y) > 1)) > 1 THEN list_filter(regexp_split_to_array(x, '[/:.\\-]+'), lambda y: length(y) > 1) ELSE [] END
+  ELSE flatten(list_transform(list_concat([x], list_filter(regexp_split_to_array(x, '[/:.\\-]+'), lambda y: length(y) > 1)), lambda c: coalesce({_WIDER}[lower(c)], []))) END AS l))),
+firsts AS (SELECT query_id, term, min((i, p, k)) AS first FROM wide GROUP BY ALL), terms AS (SELECT query_id, list(term ORDER BY first) AS t FROM firsts GROUP BY query_id)
+"""
+
 ORACLE = {
     "file_languages": f"""SELECT DISTINCT path, CASE WHEN {_NAME} IN ('Dockerfile', 'Containerfile') THEN 'dockerfile' WHEN lower({_NAME}) IN ({_LOCKS}) THEN 'lockfile'
   ELSE coalesce({_LANG}[lower(regexp_extract({_NAME}, '[^.]\\.([^.]+)$', 1))], 'text') END AS language FROM files""",
@@ -241,6 +255,22 @@ UNION ALL SELECT * FROM (SELECT 'directory' AS what, CASE WHEN contains(path, '/
     "index_terms": """
 WITH c AS (SELECT DISTINCT ON (generation_id, id) * FROM chunks), w AS (SELECT generation_id, id, unnest(list_transform(regexp_extract_all(concat_ws(' ', path, coalesce(heading, ''), coalesce(content, '')), '[\\p{L}\\p{N}_]+'), lambda x: lower(x))) AS term FROM c)
 SELECT term, count(*) AS items, CAST(sum(tf) AS BIGINT) AS occurrences FROM (SELECT generation_id, id, term, count(*) AS tf FROM w GROUP BY ALL) GROUP BY term""",
+    "binary_files": """SELECT DISTINCT path, sha256(text) AS digest, contains(substr(text, 1, 8192), chr(0)) OR length(regexp_replace(substr(text, 1, 8192), '[^\\x01-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g')) > 0.15 * greatest(1, least(8192, octet_length(encode(text)))) AS "binary" FROM files WHERE text IS NOT NULL""",
+    "search_terms": _TERMS + "SELECT DISTINCT query_id, CAST(i - 1 AS INTEGER) AS place, t[i] AS term FROM (SELECT query_id, t, unnest(range(1, len(t) + 1)) AS i FROM terms)",
+    "literal_hits": _LIVE
+    + """, w AS (SELECT DISTINCT query_id, regexp_extract(focus_text, '[\\p{L}\\p{N}_]{4,}') AS query FROM ranking_queries), q AS (SELECT DISTINCT query FROM w WHERE query <> ''),
+h AS (SELECT query, generation_id, path, CAST((length(text) - length(replace(text, query, ''))) // length(query) AS BIGINT) AS occurrences, CAST(len(string_split(substr(text, 1, instr(text, query) - 1), chr(10))) AS INTEGER) AS line_no FROM q JOIN live ON contains(text, query))
+SELECT query_id, generation_id, path, occurrences, line_no FROM h JOIN w USING (query)""",
+    "plan_hits": _TERMS
+    + """, asked AS (SELECT query_id, len(t) AS wanted, unnest(t) AS term FROM terms), bare AS (SELECT query_id, wanted, term, regexp_replace(lower(term), '[^\\p{L}\\p{N}_]', '', 'g') AS b FROM asked WHERE regexp_replace(lower(term), '[^\\p{L}\\p{N}_]', '', 'g') <> ''),
+c AS (SELECT DISTINCT generation_id, id, path, kind, line_start, line_end, lower(concat_ws(' ', path, coalesce(heading, ''), coalesce(content, ''))) AS body FROM chunks WHERE id IS NOT NULL AND path IS NOT NULL),
+w AS (SELECT generation_id, id, len(x) AS n, unnest(x) AS word FROM (SELECT generation_id, id, regexp_extract_all(body, '[\\p{L}\\p{N}_]+') AS x FROM c)),
+tf AS (SELECT generation_id, id, n, b, count(*) AS tf FROM w JOIN (SELECT DISTINCT b FROM bare) s ON starts_with(word, b) GROUP BY ALL),
+f AS (SELECT query_id, wanted, generation_id, id, n, term, max(tf) AS tf FROM tf JOIN bare USING (b) GROUP BY ALL), df AS (SELECT query_id, term, count(*) AS df FROM f GROUP BY ALL),
+m AS (SELECT query_id, count(*) AS matched, avg(n) AS mean FROM (SELECT DISTINCT query_id, generation_id, id, n FROM f) GROUP BY 1),
+s AS (SELECT query_id, generation_id, id, round(sum(ln(1 + (matched - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 9) AS weight, count(*) = max(wanted) AS strict FROM f JOIN df USING (query_id, term) JOIN m USING (query_id) GROUP BY query_id, generation_id, id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, generation_id, id) AS a, row_number() OVER (PARTITION BY query_id ORDER BY strict DESC, weight DESC, generation_id, id) AS b FROM s)
+SELECT DISTINCT query_id, generation_id, id, weight, strict FROM r WHERE a <= 500 OR strict AND b <= 500""",
     "link_expansion": """
 WITH RECURSIVE e AS (SELECT 's' || s_suppkey AS a, 'n' || s_nationkey AS b FROM supplier UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer),
 both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.functions.text import ANSWER_STOPWORDS, fold_accents
+from quarrylight.functions.text import ANSWER_STOPWORDS, SUPPORT_STOPWORDS, fold_accents
 from quarrylight.operators import evaluation, fusion, lexical, packing, vectors
 from quarrylight.plans import lifecycle
 from quarrylight.runtime import cut, table
@@ -47,8 +47,7 @@ def sparse_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sparse_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = lexical.sparse_vectors(_asked(spark), "query_id", "query")
-    scored = lexical.sparse_dot(q, lexical.sparse_vectors(_docs(spark, sf_dir)), "query_id", "doc_id").withColumn("score", F.round("score", 6))
+    scored = lexical.sparse_search(_docs(spark, sf_dir), _asked(spark)).withColumn("score", F.round("score", 6))
     return lexical.top(scored, 10, "query_id", [F.desc("score"), F.col("doc_id")])
 
 
@@ -106,7 +105,7 @@ def _over_cases(name: str):
         if name == "facet_fusion":
             hits = best.join(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("path")), "doc_id")
             return fusion.focus_fusion(hits.select((F.col("query_id") - 1).alias("facet"), "path", "rank", "score")).select("path", F.round("fused", 9).alias("fused"), "appearances", "best")
-        dots = lexical.sparse_dot(lexical.sparse_vectors(asked, "query_id", "query"), lexical.sparse_vectors(docs), *keys).withColumn("score", F.round("score", 6))
+        dots = lexical.sparse_search(docs, asked).withColumn("score", F.round("score", 6))
         sparse = lexical.top(dots, 10, "query_id", order)
         if name == "sparse_search":
             return sparse
@@ -164,6 +163,35 @@ def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.grounding(*_answers(spark, sf_dir))
 
 
+def _best_texts(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """query_id, rank, doc_id and the whole title and text of the ``k`` best documents of each question."""
+    docs = _docs(spark, sf_dir)
+    asked = _questions(spark, sf_dir).where("query_id IS NOT NULL AND query IS NOT NULL").select("query_id", "query")
+    scored = lexical.bm25(docs, asked).withColumn("score", F.round("score", 6))
+    best = lexical.top(scored, k, "query_id", [F.desc("score"), F.col("doc_id")])
+    return best.join(docs, "doc_id").select("query_id", "rank", F.col("doc_id").alias("document_id"), F.concat_ws(" ", "title", "text").alias("text"))
+
+
+def text_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieval metrics over whole texts instead of snippets."""
+    hits = _best_texts(spark, sf_dir, 20).select("query_id", "rank", "document_id", fold_accents(F.col("text")).alias("blob"))
+    words = table(spark, sf_dir, "golden_cases").where("item_id IS NOT NULL").select(F.col("item_id").alias("query_id"), F.posexplode("expected_keywords").alias("position", "keyword"))
+    return evaluation.retrieval_metrics(hits, words.withColumn("keyword", fold_accents(F.col("keyword"))))
+
+
+def _text_answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    answers = table(spark, sf_dir, "golden_cases").where("item_id IS NOT NULL").select(F.col("item_id").alias("query_id"), F.concat("expected_answer", F.lit(" [1, 2]")).alias("answer"))
+    return answers, _best_texts(spark, sf_dir, 5).withColumn("citable", F.lit(True))
+
+
+def text_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.claim_support(*_text_answers(spark, sf_dir))
+
+
+def text_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.grounding(*_text_answers(spark, sf_dir))
+
+
 def answer_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = table(spark, sf_dir, "golden_cases").select(F.col("item_id").alias("query_id"), F.col("question").alias("answer"), F.col("expected_answer").alias("expected"))
     return evaluation.answer_metrics(cases)
@@ -189,7 +217,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         term_statistics, corpus_statistics, bm25_scores, bm25_topk, sparse_vectors, sparse_search, cosine_topk, cosine_by_label, vector_norms, quantized_topk, quantized_recall, hash_embeddings, rank_fusion, dense_sparse_fusion,
-        facet_fusion, evidence_packs, pack_summaries, retrieval_metrics, claim_support, grounding, answer_relevance, case_means, metric_deltas, run_history,
+        facet_fusion, evidence_packs, pack_summaries, retrieval_metrics, claim_support, grounding, text_metrics, text_support, text_grounding, answer_relevance, case_means, metric_deltas, run_history,
     )
 }
 
@@ -272,3 +300,41 @@ ORACLE |= {
     f"{name}_of_cases": ORACLE[name].replace(f"asked(query_id, query) AS (VALUES {_ASKED})", "asked AS (SELECT item_id AS query_id, question AS query FROM golden_cases WHERE item_id IS NOT NULL AND question IS NOT NULL)")
     for name in _OVER_CASES
 }
+
+_CASES = ORACLE["bm25_topk_of_cases"].removesuffix("SELECT query_id, doc_id, score, rank FROM bm25_top")
+_BEST = _CASES.replace("WHERE rank <= 10)", "WHERE rank <= 20)") + ", best AS (SELECT query_id, rank, b.doc_id, concat_ws(' ', title, text) AS text FROM bm25_top b JOIN documents d ON d.doc_id = b.doc_id)"
+_WEIGHTY = f"list_filter(list_distinct(regexp_extract_all(lower(coalesce({{0}}, '')), '[\\p{{{{L}}}}\\p{{{{N}}}}_\\-]+')), lambda w: length(w) > 2 AND NOT regexp_matches(w, '^\\p{{{{Nd}}}}+$') AND NOT list_contains({list(SUPPORT_STOPWORDS)}, w))"
+_SUPPORT = (
+    _BEST
+    + r""", evidence AS (SELECT query_id, rank, text FROM best WHERE rank <= 5), said AS (SELECT item_id AS query_id, expected_answer || ' [1, 2]' AS answer FROM golden_cases WHERE item_id IS NOT NULL),
+l AS (SELECT query_id, list_transform(string_split(coalesce(answer, ''), chr(10)), lambda x: trim(regexp_replace(regexp_replace(x, '\r$', ''), '^\s*(?:#{1,6}|[*+\-]|\p{Nd}+[.)])\s+', ''))) AS l FROM said),
+c AS (SELECT query_id, list_filter(list_transform(flatten(list_transform(l, lambda x: string_split(regexp_replace(x, '([.!?])\s+([\p{Lu}\p{Nd}¡¿])', '\1' || chr(1) || '\2', 'g'), chr(1)))), lambda x: trim(x)), lambda x: x <> '') AS c FROM l),
+claims AS (SELECT query_id, CAST(i - 1 AS INTEGER) AS n, c[i] AS claim FROM (SELECT query_id, c, unnest(range(1, len(c) + 1)) AS i FROM c)),
+weighed AS (SELECT query_id, n, """.replace("\\", "\\")
+    + _WEIGHTY.format("regexp_replace(claim, '\\[\\d+(?:\\s*,\\s*\\d+)*\\]', ' ', 'g')")
+    + """ AS tokens, contains(claim, '[1, 2]') AS cites FROM claims),
+held AS (SELECT query_id, rank AS ref, """
+    + _WEIGHTY.format("text")
+    + """ AS known FROM evidence WHERE rank <= 2),
+pairs AS (SELECT w.query_id, w.n, len(tokens) AS t, r.ref, len(h.known) AS k, len(list_intersect(tokens, h.known)) AS shared, h.known IS NOT NULL AS ok FROM (SELECT * FROM weighed WHERE len(tokens) >= 3) w LEFT JOIN (SELECT unnest([1, 2]) AS ref) r ON w.cites LEFT JOIN held h ON h.query_id = w.query_id AND h.ref = r.ref),
+rated AS (SELECT *, shared / greatest(t, 1) AS recall, shared / greatest(k, 1) AS precision FROM pairs),
+support AS (SELECT query_id, n, max(CASE WHEN ok THEN round(0.75 * recall + 0.25 * CASE WHEN recall + precision > 0 THEN 2 * recall * precision / (recall + precision) ELSE 0 END, 3) ELSE 0.0 END) AS support, count(*) FILTER (WHERE ok) AS citable, count(ref) AS referenced FROM rated GROUP BY ALL)
+"""
+)
+ORACLE |= {
+    "text_metrics": _BEST
+    + """, hits AS (SELECT query_id, rank, doc_id, strip_accents(lower(text)) AS blob FROM best),
+kw AS (SELECT item_id AS query_id, i - 1 AS position, strip_accents(lower(expected_keywords[i])) AS keyword FROM (SELECT item_id, expected_keywords, unnest(range(1, len(expected_keywords) + 1)) AS i FROM golden_cases WHERE item_id IS NOT NULL)),
+f AS (SELECT kw.query_id, position, keyword, min(rank) FILTER (WHERE contains(blob, keyword)) AS place FROM kw LEFT JOIN hits ON hits.query_id = kw.query_id GROUP BY ALL),
+p AS (SELECT query_id, avg((place IS NOT NULL)::INT) AS recall, arg_min(place, position) FILTER (WHERE place IS NOT NULL) AS first, sum(coalesce(1 / log2(place + 1), 0)) AS gain, count(*) AS n FROM f GROUP BY 1),
+d AS (SELECT query_id, count(DISTINCT doc_id) AS documents FROM hits GROUP BY 1)
+SELECT query_id, round(recall, 6) AS recall_at_k, round(coalesce(1 / first, 0), 6) AS mrr, round(least(1.0, gain / list_sum(list_transform(range(2, n + 2), lambda i: 1 / log2(i)))), 6) AS ndcg, coalesce(documents, 0) AS documents FROM p LEFT JOIN d USING (query_id)""",
+    "text_support": _SUPPORT + "SELECT * FROM support",
+    "text_grounding": _SUPPORT
+    + """, per AS (SELECT query_id, count(*) AS claims, avg((citable > 0)::INT) AS cited, avg((citable > 0 AND support >= 0.18)::INT) AS supported, avg(support) AS mean FROM support GROUP BY 1),
+w AS (SELECT query_id, list_filter(regexp_extract_all(lower(answer), '[\\p{L}\\p{N}_\\-]+'), lambda w: length(w) > 2) AS w FROM said), e AS (SELECT query_id, lower(string_agg(text, ' ')) AS t FROM evidence GROUP BY 1),
+cov AS (SELECT query_id, len(list_filter(w, lambda x: contains(coalesce(t, ''), x))) / greatest(len(w), 1) AS coverage FROM w LEFT JOIN e USING (query_id)),
+r AS (SELECT query_id, coalesce(claims, 0) AS claims, coalesce(cited, 0) AS cited, coalesce(supported, 0) AS supported, least(1.0, 0.20 * coverage + 0.35 * round(coalesce(cited, 0), 3) + 0.25 * round(coalesce(supported, 0), 3) + 0.20 * round(coalesce(mean, 0), 3)) AS score FROM cov LEFT JOIN per USING (query_id)),
+k AS (SELECT *, claims > 0 AND (cited < 1 OR supported < cited) AS weak FROM r)
+SELECT query_id, claims, round(CASE WHEN weak THEN least(score, 0.74) ELSE score END, 3) AS grounding, CASE WHEN cited = 0 OR score < 0.35 THEN 'unverified' WHEN weak OR score < 0.7 THEN 'partially_verified' ELSE 'verified' END AS verdict FROM k""",
+}

@@ -166,6 +166,9 @@ f AS (SELECT item_id, {", ".join(_cue(n, "c_" + n) for n in routing.CUES)},
 """
 
 ORACLE = {
+    "claim_counts": r"""
+WITH l AS (SELECT item_id, list_transform(string_split(coalesce(expected_answer, ''), chr(10)), lambda x: trim(regexp_replace(regexp_replace(x, '\r$', ''), '^\s*(?:#{1,6}|[*+\-]|\p{Nd}+[.)])\s+', ''))) AS l FROM golden_cases)
+SELECT item_id, CAST(len(list_filter(list_transform(flatten(list_transform(l, lambda x: string_split(regexp_replace(x, '([.!?])\s+([\p{Lu}\p{Nd}¡¿])', '\1' || chr(1) || '\2', 'g'), chr(1)))), lambda x: trim(x)), lambda x: x <> '')) AS INTEGER) AS claims FROM l""",
     "document_tokens": f"SELECT doc_id, array_to_string({_TOKENS.format('text')}, ' ') AS tokens FROM documents",
     "token_hashes": f"SELECT DISTINCT token, CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) AS hash FROM (SELECT unnest({_TOKENS.format('title')}) AS token FROM documents)",
     "document_sentences": f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, s[i] AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {_SENTENCES.format('text')} AS s FROM documents))",
