@@ -151,3 +151,22 @@ def code_chunks(files: DataFrame) -> DataFrame:
 
     held = files.select("generation_id", "path", "text").where("text IS NOT NULL").distinct()
     return spread(held).mapInPandas(run, "generation_id int, path string, line_start int, line_end int, chars int")
+
+
+def lexical_chunks(files: DataFrame) -> DataFrame:
+    """Bounded pieces of files that no parser reads: id, generation_id, path, line_start, line_end, content.
+
+    A single line beyond the bound is cut to it; the id is a digest of path, text and place.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for g, p, t in zip(batch["generation_id"], batch["path"], batch["text"]):
+                held = t.split("\n")
+                rows += [(g, p, a, b, "\n".join(held[a - 1 : b])[:CODE_CHARS]) for a, b in code_spans(t)] if t else []
+            yield pd.DataFrame(rows, columns=["generation_id", "path", "line_start", "line_end", "content"])
+
+    held = files.where("text IS NOT NULL").select("generation_id", "path", "text").distinct()
+    cuts = spread(held).mapInPandas(run, "generation_id int, path string, line_start int, line_end int, content string")
+    return cuts.select(F.sha2(F.concat_ws("\x00", "path", "line_start", "line_end", F.sha2("content", 256)), 256).alias("id"), "*")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -116,23 +117,53 @@ def document_summaries(docs: DataFrame, most: int = 6) -> DataFrame:
     return spread(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, summary string, places array<int>")
 
 
-def collection_memory(summaries: DataFrame, group: str, *, batch: int = 32, most: int = 6) -> DataFrame:
-    """One summary per group, by reducing batches of summaries until one is left.
+#: Batches that a partition of a level holds on average.
+BATCHES_PER_TASK = 64
 
-    Every level shrinks the rows ``batch`` times; a hot group is spread over as
-    many tasks as it has batches. Columns: group, doc_id, summary.
+
+def collection_memory(summaries: DataFrame, group: str, *, batch: int = 32, most: int = 6, order: str = "doc_id") -> DataFrame:
+    """One summary per group, by reducing batches of neighbouring summaries until one is left.
+
+    Rows are sorted by group and order over ranges of equal size, and every
+    run of ``batch`` of a group within a range becomes one; so a hot group is
+    spread over many ranges, and a level is ``batch`` times shorter than the
+    one before. The last levels fit one range.
     """
-    level = summaries.where("summary <> ''").select(group, F.col("doc_id").alias("pos"), "summary")
+    if not 2 <= batch <= 128:
+        raise ValueError("a batch has 2 to 128 summaries")
+    level = summaries.where("summary <> ''").select(group, F.col(order).alias("pos"), "summary", F.lit(1).cast("long").alias("sources"))
+    kind = dict(level.dtypes)["pos"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+
+        def flush() -> pd.DataFrame:
+            text = held[0][2] if len(held) == 1 else summarise([h[2] for h in held], most)[0]
+            out = pd.DataFrame({group: [held[0][0]], "pos": [held[0][1]], "summary": [text], "sources": [sum(h[3] for h in held)]})
+            held.clear()
+            return out
+
+        for frame in batches:
+            for row in frame.itertuples(index=False, name=None):
+                if held and (row[0] != held[0][0] or len(held) >= batch):
+                    yield flush()
+                held.append(row)
+        if held:
+            yield flush()
+
     while True:
-        # Batches by hash of the position need no ranking of a group that may be hot.
-        sizes = level.groupBy(group).count().agg(F.max("count")).first()[0] or 0
-        if sizes <= 1:
-            return level.select(group, "summary")
-        buckets = max(1, -(-sizes // batch))
-
-        def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            texts = rows.sort_values("pos")["summary"].tolist()
-            return pd.DataFrame({group: [key[0]], "pos": [int(rows["pos"].min())], "summary": [summarise(texts, most)[0]]})
-
-        bucket = F.pmod(F.xxhash64("pos", F.lit(buckets)), F.lit(buckets)).alias("_b") if buckets > 1 else F.lit(0).alias("_b")
-        level = cut(level.withColumn("_b", bucket).groupBy(group, "_b").applyInPandas(run, f"`{group}` string, pos long, summary string"))
+        size = level.groupBy(group).count().agg(F.max("count"), F.sum("count")).first()
+        if (size[0] or 0) <= 1:
+            return level.select(group, "summary", "sources")
+        ranges = max(1, size[1] // (batch * BATCHES_PER_TASK))
+        sorted_rows = level.repartitionByRange(ranges, group, "pos", "summary") if ranges > 1 else level.repartition(1)
+        level = cut(sorted_rows.sortWithinPartitions(group, "pos", "summary").mapInPandas(run, f"`{group}` string, pos {kind}, summary string, sources long"))
+
+
+def section_summaries(nodes: DataFrame, most: int = 3) -> DataFrame:
+    """document_id, section (first heading above), summary and the number of nodes it was drawn from."""
+    latest = nodes.where(F.col("id").isNotNull()).groupBy("id").agg(F.max(F.struct("ingested_at", "document_id", "order_index", F.coalesce("normalized_text", "raw_text").alias("text"), F.col("metadata.heading_path")[0].alias("section"))).alias("r")).select("id", "r.*")
+    key = F.concat_ws("\x1f", F.coalesce("document_id", F.lit("")), F.coalesce("section", F.lit("")))
+    rows = latest.where("trim(coalesce(text, '')) <> ''").select(key.alias("key"), F.concat(F.lpad(F.coalesce("order_index", F.lit(0)).cast("string"), 12, "0"), F.lit(" "), "id").alias("at"), F.col("text").alias("summary"))
+    found = collection_memory(rows, "key", most=most, order="at")
+    return found.select(F.split_part("key", F.lit("\x1f"), F.lit(1)).alias("document_id"), F.split_part("key", F.lit("\x1f"), F.lit(2)).alias("section"), "summary", "sources")

@@ -89,6 +89,48 @@ def answer_metrics(answers: DataFrame) -> DataFrame:
     return rows.select("query_id", F.round(F.size(F.array_intersect("e", "a")) / F.greatest(F.size("e"), F.lit(1)), 3).alias("relevance"))
 
 
+def answer_scores(answers: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Relevance, support, citations, grounding and overall score of each answer.
+
+    ``answers``: query_id, answer, expected, citations, min_citations, forbidden
+    (array of phrases). ``evidence``: query_id, text. A claim has three tokens or
+    more; it is supported if some evidence holds 18 % of them.
+    """
+    folded = lambda c: fold_accents(F.coalesce(F.col(c), F.lit("")))
+    each = answers.select("query_id", F.posexplode(claims(F.col("answer"))).alias("n", "claim"))
+    said = each.select("query_id", "n", answer_tokens(fold_accents(F.regexp_replace("claim", CITATION, " "))).alias("tokens"), citation_indices(F.col("claim")).alias("cited")).where(F.size("tokens") >= 3)
+    held = evidence.select("query_id", answer_tokens(fold_accents(F.coalesce("text", F.lit("")))).alias("known"))
+    best = said.join(held, "query_id", "left").groupBy("query_id", "n", "cited").agg(F.max(F.coalesce(F.size(F.array_intersect("tokens", "known")) / F.size("tokens"), F.lit(0.0))).alias("support"))
+    per = best.groupBy("query_id").agg(
+        F.count("*").alias("claims"), F.sum((F.col("support") >= SUPPORTED).cast("int")).alias("held"), F.sum((F.size("cited") > 0).cast("int")).alias("marked"), F.size(F.array_distinct(F.flatten(F.collect_list("cited")))).alias("referenced")
+    )
+    forbidden = F.filter(F.coalesce("forbidden", F.array().cast("array<string>")), lambda x: F.trim(x) != "")
+    rows = answers.select("query_id", "citations", "min_citations", folded("answer").alias("a"), folded("expected").alias("e"), forbidden.alias("forbidden"))
+    hits = F.size(F.filter("forbidden", lambda x: F.contains(F.col("a"), F.lower(x))))
+    rows = rows.join(per, "query_id", "left").select(
+        "query_id",
+        (F.size(F.array_intersect(answer_tokens(F.col("e")), answer_tokens(F.col("a")))) / F.greatest(F.size(answer_tokens(F.col("e"))), F.lit(1))).alias("relevance"),
+        F.coalesce(F.col("held") / F.col("claims"), F.lit(0.0)).alias("support"),
+        F.when(F.col("citations") < F.greatest(F.lit(0), F.coalesce("min_citations", F.lit(0))), 0.0).otherwise(F.coalesce(F.col("marked") / F.col("claims") * F.least(F.lit(1.0), F.col("citations") / F.greatest("referenced", F.lit(1))), F.lit(0.0))).alias("citation"),
+        F.when(F.size("forbidden") > 0, hits / F.size("forbidden")).otherwise(0.0).alias("broken"),
+    )
+    # A half of the last place goes up, however its sum was added.
+    unit = lambda c: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)) * 1000 + 0.5 + 1e-9) / 1000
+    return rows.select(
+        "query_id", F.round("relevance", 3).alias("relevance"), F.round("support", 3).alias("support_coverage"), F.round("citation", 3).alias("citation_coverage"), F.round("broken", 3).alias("forbidden_rate"),
+        unit(0.45 * F.col("support") + 0.30 * F.col("citation") + 0.25 * F.col("relevance") - 0.35 * F.col("broken")).alias("grounding"), unit(0.35 * F.col("relevance") + 0.35 * F.col("support") + 0.20 * F.col("citation") + 0.10 * (1 - F.col("broken"))).alias("overall"),
+    )
+
+
+def run_summary(hits: DataFrame, expected: DataFrame, *, top_k: int = 20) -> DataFrame:
+    """One row over all queries with expected paths: hits, failures, rates and means, queries without a result."""
+    per = ranked_paths(hits, expected, top_k=top_k).join(hits.groupBy("query_id").agg(F.count("*").alias("results")), "query_id", "left")
+    return per.agg(
+        F.count("*").alias("queries"), F.sum("hit").alias("hits"), F.sum(1 - F.col("hit")).alias("failures"), F.round(F.avg("hit"), 6).alias("hit_rate"), F.round(F.avg("reciprocal_rank"), 6).alias("mrr"), F.round(F.avg("recall"), 6).alias("mean_recall"),
+        F.sum(F.col("results").isNull().cast("int")).alias("without_result"),
+    )
+
+
 def ranked_paths(hits: DataFrame, expected: DataFrame, *, top_k: int = 20) -> DataFrame:
     """Per query: hit, reciprocal rank, recall of the expected paths (hits: query_id, path, rank)."""
     found = expected.join(hits.where(F.col("rank") <= top_k), ["query_id", "path"], "left")

@@ -110,3 +110,38 @@ def evidence_groups(packed: DataFrame, items: DataFrame) -> DataFrame:
     rows = packed.join(items.select("query_id", "id", "source_type", "title", "document_id"), ["query_id", "id"])
     label = F.concat_ws(":", "source_type", F.coalesce("title", "document_id", "source_type"))
     return rows.groupBy("query_id", label.alias("label")).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "id"))), lambda x: x["id"]).alias("ids"))
+
+
+#: Calls that the evidence of one answer is spread over.
+MAP_CALLS = 6
+
+
+def synthesis_groups(items: DataFrame, calls: int = MAP_CALLS) -> DataFrame:
+    """query_id, group, label and the positions of the items in it: one group a document, at most ``calls`` of them.
+
+    ``items``: query_id, position, document_id, title, of packs of bounded size.
+    More documents are dealt to the group with the fewest items, in their order.
+    """
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("position")
+        document = rows["document_id"].where(rows["document_id"].fillna("") != "", "title:" + rows["title"].fillna(""))
+        groups: dict[str, list[int]] = {}
+        labels: dict[str, str] = {}
+        for d, title, position in zip(document, rows["title"], rows["position"]):
+            groups.setdefault(d, []).append(int(position))
+            labels.setdefault(d, title or d)
+        if len(groups) <= calls:
+            out = [(labels[d], p) for d, p in groups.items()]
+        else:
+            dealt: list[list[str]] = [[] for _ in range(calls)]
+            sizes = [0] * calls
+            for d, p in groups.items():
+                k = sizes.index(min(sizes))
+                dealt[k].append(d)
+                sizes[k] += len(p)
+            named = lambda ds: " | ".join(labels[d] for d in ds[:3]) + (f" | +{len(ds) - 3} documentos" if len(ds) > 3 else "")
+            out = [(named(ds), sorted(p for d in ds for p in groups[d])) for ds in dealt if ds]
+        return pd.DataFrame({"query_id": key[0], "group": range(len(out)), "label": [x for x, _ in out], "positions": [p for _, p in out]})
+
+    return items.select("query_id", "position", "document_id", "title").groupBy("query_id").applyInPandas(run, "query_id long, group int, label string, positions array<int>")

@@ -97,6 +97,14 @@ def code_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.code_chunks(_files(spark, sf_dir))
 
 
+def lexical_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.lexical_chunks(_files(spark, sf_dir).where("language IS NULL OR language NOT IN ('python', 'javascript', 'typescript', 'java', 'sql', 'markdown', 'json', 'toml', 'yaml')"))
+
+
+def source_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return admission.source_admission(_files(spark, sf_dir).select("generation_id", "path", "size", "text")).select("generation_id", "path", "reason").distinct()
+
+
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.symbols(_files(spark, sf_dir))
 
@@ -208,7 +216,7 @@ def order_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        file_languages, secret_files, safe_paths, binary_files, admission_reasons, import_outcomes, test_paths, file_histograms, exact_hits, code_search, search_terms, literal_hits, plan_hits, index_terms, code_spans, symbols, relations, relation_counts,
+        file_languages, secret_files, safe_paths, binary_files, admission_reasons, import_outcomes, test_paths, file_histograms, exact_hits, code_search, search_terms, literal_hits, plan_hits, index_terms, code_spans, lexical_chunks, source_reasons, symbols, relations, relation_counts,
         resolved_names, file_links, chunk_symbols, file_ranks, repository_map, link_expansion, impact, affected_files, related_tests, generation_fingerprints, chunk_hashes, published_hits, flat_configs, landmarks, repeated_chunks, order_traversal,
     )
 }
@@ -255,6 +263,10 @@ UNION ALL SELECT * FROM (SELECT 'directory' AS what, CASE WHEN contains(path, '/
     "index_terms": """
 WITH c AS (SELECT DISTINCT ON (generation_id, id) * FROM chunks), w AS (SELECT generation_id, id, unnest(list_transform(regexp_extract_all(concat_ws(' ', path, coalesce(heading, ''), coalesce(content, '')), '[\\p{L}\\p{N}_]+'), lambda x: lower(x))) AS term FROM c)
 SELECT term, count(*) AS items, CAST(sum(tf) AS BIGINT) AS occurrences FROM (SELECT generation_id, id, term, count(*) AS tf FROM w GROUP BY ALL) GROUP BY term""",
+    "source_reasons": f"""WITH f AS (SELECT generation_id, path, size, text, replace(path, chr(92), '/') AS p, lower({_NAME}) AS name, lower(regexp_extract({_NAME}, '[^.]\\.([^.]+)$', 1)) AS ext FROM files)
+SELECT DISTINCT generation_id, path, CASE WHEN p = '' OR starts_with(p, '/') OR regexp_matches(p, '^.:') OR list_contains(string_split(p, '/'), '..') THEN 'excluded_path_escape' WHEN list_has_any(string_split(p, '/'), [{_IN(admission.SOURCE_SKIPPED)}]) THEN 'excluded_path'
+  WHEN name IN ({_IN(admission.SECRET_NAMES)}, '.env', 'credentials', 'secrets') OR starts_with(name, '.env.') OR ext IN ({_IN(admission.SECRET_SUFFIXES)}) THEN 'excluded_secret' WHEN name IN ({_IN(admission.GENERATED_NAMES)}) THEN 'excluded_generated'
+  WHEN ext IN ({_IN(admission.BINARY_SUFFIXES)}) THEN 'excluded_binary' WHEN size > 2000000 THEN 'excluded_large_file' WHEN coalesce(regexp_matches(substr(text, 1, 256000), '{"|".join(admission.SECRETS)}'), false) THEN 'excluded_secret_content' END AS reason FROM f""",
     "binary_files": """SELECT DISTINCT path, sha256(text) AS digest, contains(substr(text, 1, 8192), chr(0)) OR length(regexp_replace(substr(text, 1, 8192), '[^\\x01-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g')) > 0.15 * greatest(1, least(8192, octet_length(encode(text)))) AS "binary" FROM files WHERE text IS NOT NULL""",
     "search_terms": _TERMS + "SELECT DISTINCT query_id, CAST(i - 1 AS INTEGER) AS place, t[i] AS term FROM (SELECT query_id, t, unnest(range(1, len(t) + 1)) AS i FROM terms)",
     "literal_hits": _LIVE

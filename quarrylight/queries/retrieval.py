@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions.text import ANSWER_STOPWORDS, SUPPORT_STOPWORDS, fold_accents
@@ -192,6 +192,31 @@ def text_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.grounding(*_text_answers(spark, sf_dir))
 
 
+def text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All scores of the expected answers, held against the texts that are found for their questions."""
+    cases = table(spark, sf_dir, "golden_cases").where("item_id IS NOT NULL")
+    answers = cases.select(F.col("item_id").alias("query_id"), F.concat("expected_answer", F.lit(" [1, 2]")).alias("answer"), F.col("question").alias("expected"), F.lit(2).alias("citations"), "min_citations", F.slice(F.coalesce("expected_keywords", F.array().cast("array<string>")), 1, 2).alias("forbidden"))
+    return evaluation.answer_scores(answers, _best_texts(spark, sf_dir, 5))
+
+
+def _path_hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Paths ranked by their best hit, and those with the best centrality, which a run should find."""
+    once = table(spark, sf_dir, "search_hits").where("NOT isnan(score)").groupBy("query_id", "path").agg(F.max("score").alias("score"))
+    hits = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "path")))
+    wanted = table(spark, sf_dir, "repomap_entries").where("NOT isnan(centrality)").groupBy("query_id", "path").agg(F.max("centrality").alias("c"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("c"), "path"))
+    return hits.select("query_id", "path", "rank"), wanted.withColumn("n", place).where("n <= 3").select("query_id", "path")
+
+
+def path_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = evaluation.ranked_paths(*_path_hits(spark, sf_dir))
+    return found.select("query_id", "hit", F.round("reciprocal_rank", 6).alias("reciprocal_rank"), F.round("recall", 6).alias("recall"))
+
+
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.run_summary(*_path_hits(spark, sf_dir))
+
+
 def answer_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = table(spark, sf_dir, "golden_cases").select(F.col("item_id").alias("query_id"), F.col("question").alias("answer"), F.col("expected_answer").alias("expected"))
     return evaluation.answer_metrics(cases)
@@ -217,7 +242,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         term_statistics, corpus_statistics, bm25_scores, bm25_topk, sparse_vectors, sparse_search, cosine_topk, cosine_by_label, vector_norms, quantized_topk, quantized_recall, hash_embeddings, rank_fusion, dense_sparse_fusion,
-        facet_fusion, evidence_packs, pack_summaries, retrieval_metrics, claim_support, grounding, text_metrics, text_support, text_grounding, answer_relevance, case_means, metric_deltas, run_history,
+        facet_fusion, evidence_packs, pack_summaries, retrieval_metrics, claim_support, grounding, text_metrics, text_support, text_grounding, text_scores, path_metrics, run_summary, answer_relevance, case_means, metric_deltas, run_history,
     )
 }
 
@@ -338,3 +363,33 @@ r AS (SELECT query_id, coalesce(claims, 0) AS claims, coalesce(cited, 0) AS cite
 k AS (SELECT *, claims > 0 AND (cited < 1 OR supported < cited) AS weak FROM r)
 SELECT query_id, claims, round(CASE WHEN weak THEN least(score, 0.74) ELSE score END, 3) AS grounding, CASE WHEN cited = 0 OR score < 0.35 THEN 'unverified' WHEN weak OR score < 0.7 THEN 'partially_verified' ELSE 'verified' END AS verdict FROM k""",
 }
+
+_SCORED = f"list_filter(list_distinct(regexp_extract_all(strip_accents(lower(coalesce({{0}}, ''))), '[\\p{{{{L}}}}\\p{{{{N}}}}_\\-]+')), lambda w: length(w) > 2 AND NOT regexp_matches(w, '^\\p{{{{Nd}}}}+$') AND NOT list_contains({list(ANSWER_STOPWORDS)}, w))"
+_PATHS = """
+WITH o AS (SELECT query_id, path, max(score) AS score FROM search_hits WHERE NOT isnan(score) GROUP BY 1, 2), h AS (SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, path) AS rank FROM o),
+w AS (SELECT query_id, path, max(centrality) AS c FROM repomap_entries WHERE NOT isnan(centrality) GROUP BY 1, 2), e AS (SELECT query_id, path FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC NULLS LAST, path) AS n FROM w) WHERE n <= 3),
+per AS (SELECT e.query_id, CAST(max((rank IS NOT NULL)::INT) AS INTEGER) AS hit, coalesce(1 / min(rank), 0) AS reciprocal_rank, avg((rank IS NOT NULL)::INT) AS recall FROM e LEFT JOIN h ON h.query_id = e.query_id AND h.path = e.path AND rank <= 20 GROUP BY 1)
+"""
+ORACLE |= {
+    "path_metrics": _PATHS + "SELECT query_id, hit, round(reciprocal_rank, 6) AS reciprocal_rank, round(recall, 6) AS recall FROM per",
+    "run_summary": _PATHS
+    + """SELECT count(*) AS queries, CAST(sum(hit) AS BIGINT) AS hits, CAST(sum(1 - hit) AS BIGINT) AS failures, round(avg(hit), 6) AS hit_rate, round(avg(reciprocal_rank), 6) AS mrr, round(avg(recall), 6) AS mean_recall,
+  CAST(count(*) FILTER (WHERE query_id NOT IN (SELECT query_id FROM h)) AS BIGINT) AS without_result FROM per""",
+    "text_scores": _SUPPORT
+    + ", said2 AS (SELECT query_id, n, "
+    + _SCORED.format("regexp_replace(claim, '\\[\\d+(?:\\s*,\\s*\\d+)*\\]', ' ', 'g')")
+    + " AS tokens, contains(claim, '[1, 2]') AS cites FROM claims), ev AS (SELECT query_id, "
+    + _SCORED.format("text")
+    + """ AS known FROM evidence),
+b AS (SELECT s.query_id, n, cites, max(coalesce(len(list_intersect(tokens, known)) / len(tokens), 0)) AS support FROM (SELECT * FROM said2 WHERE len(tokens) >= 3) s LEFT JOIN ev USING (query_id) GROUP BY ALL),
+pc AS (SELECT query_id, count(*) AS claims, count(*) FILTER (WHERE support >= 0.18) AS held, count(*) FILTER (WHERE cites) AS marked, CASE WHEN bool_or(cites) THEN 2 ELSE 0 END AS referenced FROM b GROUP BY 1),
+g AS (SELECT item_id AS query_id, strip_accents(lower(coalesce(expected_answer || ' [1, 2]', ''))) AS a, """
+    + _SCORED.format("expected_answer || ' [1, 2]'")
+    + " AS atk, "
+    + _SCORED.format("question")
+    + """ AS etk, min_citations, list_filter(coalesce(expected_keywords, [])[1:2], lambda x: trim(x) <> '') AS f FROM golden_cases WHERE item_id IS NOT NULL),
+m AS (SELECT query_id, len(list_intersect(etk, atk)) / greatest(len(etk), 1) AS relevance, coalesce(held / claims, 0) AS support, CASE WHEN 2 < greatest(0, coalesce(min_citations, 0)) THEN 0 ELSE coalesce(marked / claims * least(1.0, 2 / greatest(referenced, 1)), 0) END AS citation,
+  CASE WHEN len(f) > 0 THEN len(list_filter(f, lambda x: contains(a, lower(x)))) / len(f) ELSE 0 END AS broken FROM g LEFT JOIN pc USING (query_id))
+SELECT query_id, round(relevance, 3) AS relevance, round(support, 3) AS support_coverage, round(citation, 3) AS citation_coverage, round(broken, 3) AS forbidden_rate, floor(greatest(0, least(1, 0.45 * support + 0.30 * citation + 0.25 * relevance - 0.35 * broken)) * 1000 + 0.5 + 1e-9) / 1000 AS grounding,
+  floor(greatest(0, least(1, 0.35 * relevance + 0.35 * support + 0.20 * citation + 0.10 * (1 - broken))) * 1000 + 0.5 + 1e-9) / 1000 AS overall FROM m""",
+}

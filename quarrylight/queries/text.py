@@ -10,8 +10,6 @@ from quarrylight.operators import chunking, enrich
 from quarrylight.runtime import table
 from quarrylight.sources import documents as parsers
 
-PREFIXES = ["title:", "source:", "url:", "date:", "author:"]
-
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
@@ -56,6 +54,11 @@ def collection_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.collection_memory(summaries, "source")
 
 
+def section_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sentences for each section of each document, and the nodes they were drawn from."""
+    return enrich.section_summaries(table(spark, sf_dir, "document_nodes"))
+
+
 def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).where("text IS NOT NULL").select(
         "doc_id", text.estimate_quarter(F.col("text")).alias("quarter"), text.estimate_bytes(F.col("text")).alias("bytes"), text.estimate_words(F.col("title"), F.lit("")).alias("words")
@@ -67,7 +70,7 @@ def even_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.length(text.without_envelope(F.col("text"), PREFIXES)).alias("kept"))
+    return _docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", text.without_envelope(F.col("text")).alias("kept"))
 
 
 def term_references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,11 +130,12 @@ def title_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        document_tokens, token_hashes, document_sentences, propositions, document_edges, keyword_graph, document_summaries, collection_memory, token_estimates, even_spaces, without_envelope, term_references,
+        document_tokens, token_hashes, document_sentences, propositions, document_edges, keyword_graph, document_summaries, collection_memory, section_summaries, token_estimates, even_spaces, without_envelope, term_references,
         contradiction_sentences, title_slugs, claim_counts, question_routes, question_languages, overlaps, split_documents, document_chunks, parsed_nodes, transcripts, folded_titles, title_numbers,
     )
 }
 
+_SPACE = "\\s\\x0b\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 _TOKENS = "list_transform(list_filter(regexp_extract_all(coalesce({0}, ''), '[\\p{{L}}\\p{{N}}_\\-]+'), lambda w: length(w) > 2), lambda w: translate(lower(w), 'áéíóúü', 'aeiouu'))"
 _SENTENCES = "list_filter(list_transform(string_split(regexp_replace(regexp_replace(coalesce({0}, ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: length(s) > 20)"
 _KIND = """CASE WHEN regexp_matches(lower({0}), 'is defined as|means|se define|defined as') THEN 'definition'
@@ -180,7 +184,7 @@ UNION ALL SELECT doc_id, pos, nxt, CASE next_kind WHEN 'definition' THEN 'define
     "token_estimates": """SELECT doc_id, greatest(1, CAST(floor(length(text) / 4) AS INTEGER)) AS quarter, CAST(ceil(octet_length(encode(text)) / 3) AS INTEGER) AS bytes,
   CAST(len(list_filter(regexp_split_to_array(coalesce(title, ''), '\\s+'), lambda w: w <> '')) + 12 AS INTEGER) AS words FROM documents WHERE text IS NOT NULL""",
     "even_spaces": "SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t\\r]+', ' ', 'g'))), chr(10)) AS text FROM documents WHERE text IS NOT NULL",
-    "without_envelope": """SELECT doc_id, CAST(length(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(lower(trim(x)), '^(title:|source:|url:|date:|author:|-----)')), chr(10))) AS INTEGER) AS kept FROM documents WHERE text IS NOT NULL""",
+    "without_envelope": f"""SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: regexp_replace(x, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g')), lambda x: x <> '' AND x <> '-----' AND NOT regexp_matches(lower(x), '^(?:{"|".join(text.ENVELOPE_PREFIXES)})')), ' ') AS kept FROM documents WHERE text IS NOT NULL""",
     "term_references": f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter({_TOKENS.format('text')}, lambda w: length(w) > 3)))[1:32], ' ') AS terms FROM documents",
     "contradiction_sentences": _PROPS + "SELECT regexp_matches(lower(sentence), 'however|but|sin embargo|no obstante|contradict') AS contradicts, kind, count(*) AS n FROM typed GROUP BY ALL",
     "title_slugs": "SELECT doc_id, regexp_replace(regexp_replace(lower(trim(title)), '[^\\p{L}\\p{N}\\s\\-_]', '', 'g'), '\\s+', '-', 'g') AS slug FROM documents WHERE title IS NOT NULL",

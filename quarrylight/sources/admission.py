@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,6 +85,41 @@ def admission(files: DataFrame) -> DataFrame:
     return files.withColumn("reason", reason)
 
 
+#: Directories, names and suffixes of files that are no source.
+SOURCE_SKIPPED = (".git", ".venv", ".venv312", "venv", "node_modules", "dist", "build", "coverage", "htmlcov", ".next", ".cache", ".pytest_cache", ".mypy_cache", ".ruff_cache", "storage", "qdrant_data", "qdrant_storage", "__pycache__")
+SECRET_NAMES = (".env", ".env.local", "id_rsa", "id_ed25519", "credentials.json", "secrets.json")
+SECRET_SUFFIXES = ("jks", "key", "keystore", "p12", "pfx", "pem")
+GENERATED_NAMES = ("test_out.json", "coverage.json", "lcov.info", "junit.xml")
+BINARY_SUFFIXES = ("7z", "avi", "bin", "bmp", "class", "db", "dll", "doc", "docx", "dylib", "exe", "gif", "gz", "ico", "jar", "jpeg", "jpg", "lockb", "mp3", "mp4", "o", "obj", "otf", "pdf", "png", "pyc", "sqlite", "sqlite3", "so", "tar", "tgz", "ttf", "wav", "webp", "woff", "woff2", "xls", "xlsx", "zip")
+SOURCE_BYTES = 2_000_000
+
+
+def source_admission(files: DataFrame) -> DataFrame:
+    """Each source file with the first reason against it, null if it is admitted.
+
+    Columns path, size, text; ``link`` (null, inside or outside), if there is one, tells symbolic links.
+    """
+    path, name, end = F.col("path"), F.lower(file_name(F.col("path"))), F.lower(suffix(F.col("path")))
+    plain = F.translate(path, "\\", "/")
+    parts = F.split(plain, "/")
+    escapes = (plain == "") | F.startswith(plain, F.lit("/")) | plain.rlike("^.:") | F.array_contains(parts, "..")
+    link = F.col("link") if "link" in files.columns else F.lit(None).cast("string")
+    secret = name.isin(*SECRET_NAMES) | (name == ".env") | F.startswith(name, F.lit(".env.")) | end.isin(*SECRET_SUFFIXES) | name.isin("credentials", "secrets")
+    reason = (
+        F.when(escapes, "excluded_path_escape")
+        .when(F.arrays_overlap(parts, F.array(*map(F.lit, SOURCE_SKIPPED))), "excluded_path")
+        .when(link == "outside", "excluded_symlink_escape")
+        .when(link.isNotNull(), "excluded_symlink")
+        .when(secret, "excluded_secret")
+        .when(name.isin(*GENERATED_NAMES), "excluded_generated")
+        .when(end.isin(*BINARY_SUFFIXES), "excluded_binary")
+        .when(F.col("size") > SOURCE_BYTES, "excluded_large_file")
+        .when(F.coalesce(holds_secret(F.col("text")), F.lit(False)), "excluded_secret_content")
+        .when(F.coalesce(is_binary(F.encode("text", "UTF-8")), F.lit(False)), "excluded_binary_content")
+    )
+    return files.withColumn("reason", reason)
+
+
 def import_outcomes(files: DataFrame, known: DataFrame) -> DataFrame:
     """created, deduplicated or skipped for each file (columns path, size, checksum), against known checksums."""
     rows = admission(files)
@@ -93,11 +130,12 @@ def import_outcomes(files: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def scan_directory(spark: SparkSession, root: str, most_files: int | None = None) -> DataFrame:
-    """Files below a directory: path, size, content_hash, language, text; binaries are left out."""
+    """Files below a directory: path, size, content_hash, language, text; binaries and what lies in skipped directories are left out."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/") + "/"
-    path = F.regexp_replace("path", "^(file:)?/*" + base.lstrip("/").replace(".", r"\."), "")
-    rows = raw.select(path.alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("content_hash"), "content")
+    path = F.regexp_replace("path", "^(file:)?/*" + re.escape(base.lstrip("/")), "")
+    kept = raw.withColumn("path", path).where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SOURCE_SKIPPED))))
+    rows = kept.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("content_hash"), "content")
     rows = rows.where(~is_binary("content")).select("path", "size", "content_hash", language_of(F.col("path")).alias("language"), F.decode("content", "UTF-8").alias("text"))
     if most_files is not None and rows.count() > most_files:
         raise ValueError(f"more than {most_files} files below {root}")

@@ -148,3 +148,40 @@ def audit_events(steps: DataFrame) -> DataFrame:
     """Audit rows with their duration in milliseconds and their metrics as JSON."""
     ms = F.round((F.unix_micros("ended_at") - F.unix_micros("started_at")) / 1000, 2)
     return steps.select("stage", "status", ms.alias("duration_ms"), F.to_json("metrics").alias("metrics"))
+
+
+def blob_path(name: Column) -> Column:
+    """The place of a blob below its store: a plain relative path, null for one that would leave it."""
+    plain = F.array_join(F.filter(F.split(F.translate(name, "\\", "/"), "/"), lambda p: (p != "") & (p != ".")), "/")
+    return F.when((plain != "") & ~F.array_contains(F.split(plain, "/"), "..") & ~name.rlike(r"^[/\\]|^[A-Za-z]:"), plain)
+
+
+def write_blobs(rows: DataFrame, folder: str) -> DataFrame:
+    """Write blobs (name, content) with their digest and size, by the first two digits of the digest; returns what was written."""
+    kept = rows.select(blob_path(F.col("name")).alias("name"), "content", F.sha2("content", 256).alias("digest"), F.octet_length("content").alias("size")).where("name IS NOT NULL AND content IS NOT NULL")
+    kept.withColumn("part", F.substring("digest", 1, 2)).write.mode("overwrite").partitionBy("part").parquet(folder)
+    return rows.sparkSession.read.parquet(folder).drop("part")
+
+
+#: Vectors that one batch of an upsert writes.
+UPSERT_BATCH = 256
+
+
+def upsert_vectors(store: DataFrame | None, incoming: DataFrame, folder: str, dimensions: int, *, key: str = "vec_id", value: str = "embedding", batch: int = UPSERT_BATCH) -> DataFrame:
+    """Write a store of vectors with the incoming ones in place of those of equal key, in ordered batches.
+
+    The same call again writes the same rows. A vector of another length fails
+    the whole call before anything is written.
+    """
+    wrong = incoming.where(F.col(value).isNull() | (F.size(value) != dimensions))
+    if not wrong.isEmpty():
+        raise ValueError(f"a vector does not have {dimensions} dimensions")
+    fresh = incoming.groupBy(key).agg(F.max(F.struct(value)).alias("v")).select(key, f"v.{value}")
+    rows = fresh if store is None else store.select(key, value).join(fresh.select(key), key, "left_anti").unionByName(fresh)
+    rows.withColumn("batch", F.floor(F.col(key) / batch)).repartition("batch").sortWithinPartitions("batch", key).write.mode("overwrite").parquet(folder)
+    return incoming.sparkSession.read.parquet(folder)
+
+
+def append_audit(steps: DataFrame, folder: str) -> None:
+    """Append audit rows to a table of theirs."""
+    audit_events(steps).write.mode("append").json(folder)
