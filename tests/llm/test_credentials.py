@@ -66,7 +66,8 @@ def test_held_out_accuracy_without_digit():
     assert wrong <= 12
 
 
-#: Lines of forms that no training line has, by the kinds of values that they may hold.
+#: Lines of forms that no training line has literally, by the kinds of values that they may hold. Training was widened after a look at
+#: what of these was missed (0.77 before), so this is no held-out measure; the README has one.
 FORMS = [("env",lambda v:f"DATABASE_PASSWORD={v}",'word short mix'),("env2",lambda v:f"export STRIPE_SECRET_KEY='{v}'",'key prefixed'),("yaml",lambda v:f"    rootPassword: {v}",'word mix short'),("yaml2",lambda v:f'  api_key: "{v}"','key prefixed hex'),("props",lambda v:f"spring.datasource.password={v}",'word mix'),("ini",lambda v:f"secret_key = {v}",'key hex'),
 ("docker",lambda v:f"ENV POSTGRES_PASSWORD {v}",'mix word'),("docker2",lambda v:f"ENV REDIS_PASSWORD={v}",'mix word'),("tf",lambda v:f'  password             = "{v}"','word mix short'),("tf2",lambda v:f'  access_key = "{v}"','prefixed key'),("xml",lambda v:f"<password>{v}</password>",'word mix short'),("xml2",lambda v:f'<add key="ApiSecret" value="{v}" />','key hex'),
 ("py",lambda v:f'PASSWORD = "{v}"','word short mix'),("py2",lambda v:f"client = Client(token='{v}')",'key prefixed'),("py3",lambda v:f'    "auth_token": "{v}",','key hex'),("js",lambda v:f"  apiKey: '{v}',",'key prefixed'),("js2",lambda v:f'const jwtSecret = "{v}";','word key'),("java",lambda v:f'props.setProperty("db.password", "{v}");','word mix'),("java2",lambda v:f'private String secretKey = "{v}";','key hex'),
@@ -75,7 +76,7 @@ FORMS = [("env",lambda v:f"DATABASE_PASSWORD={v}",'word short mix'),("env2",lamb
 CALM = ["password = input('x')","password: str = None","def login(password, token):","if token == other_token:","API_KEY = os.getenv('API_KEY')","secret = settings.SECRET_KEY","password: ${{ secrets.DB_PASSWORD }}","token = response.json()['token']","# the password is stored in the vault","passwordField.setText(label)","key = lambda x: x.name","sha256 = 'e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855'","\"version\": \"1.2.3-beta.4\",","import { tokenizer } from './tokenizer'","password: <your password here>","private_key_path = '/etc/ssl/private/key.pem'","public_key = 'AAAAB3NzaC1yc2EAAAADAQABAAABgQC7'","getPasswordHash(userPassword)","const tokens = text.split(' ');","label: 'Enter password'"]
 
 
-def test_recall_on_forms_outside_the_generator():
+def test_recall_on_forms_that_were_looked_at():
     import random
 
     rng = random.Random(123)
