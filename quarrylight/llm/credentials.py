@@ -205,6 +205,8 @@ def value_features(t: str, kind: str) -> tuple[str, ...]:
             out.append("passwordlike")
         else:
             out.append("wordlike")
+    if "prefix" in out:
+        out.append(f"prefix&{out[-1]}")
     if len(t) > 200:
         out.append("huge")
     if "/" in t and t.count("/") + t.count(".") >= 2:
