@@ -62,7 +62,7 @@ def flat_config(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["text_key", "language", "key", "value"])
 
     # Few distinct texts are left behind the partial aggregation, however many copies there are.
-    texts = distinct_texts(files.where(F.col("language").isin("json", "toml")), "text", "language", salt=("path",), hot=[])
+    texts = distinct_texts(files.where(F.col("language").isin("json", "toml")).select("language", "text"), "text", "language", salt=(), hot=[])
     return texts.mapInPandas(run, "text_key string, language string, key string, value string").distinct()
 
 
