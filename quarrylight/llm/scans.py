@@ -9,7 +9,9 @@ flow together again; a word cut at a node's end is made whole with the next
 node's first word.
 
 All statistics cover the whole corpus, and the rules are ratios, the same at
-every size. The model's vocabulary is bounded (VOCABULARY).
+every size. Every frequent word has a vector, trained on every pair that is
+counted PAIR_LEAST times; what is more than one task may hold is trained in
+blocks of words.
 
 Defined cases: the row with the latest ingested_at stands for a node; null and
 empty texts have no damage; code, formulas, images and table cells are left as
@@ -21,7 +23,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,17 +33,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from quarrylight.runtime import cut, parallelism, partitions_for
+from quarrylight.runtime import cut, hot_keys, parallelism, partitions_for, spread_join
 
 BODY = ("paragraph", "list_item", "footnote", "caption")
 #: A word is frequent from so many occurrences on, and a candidate for a form if it is so many times as usual.
 FREQUENT_LEAST, TIMES_AS_USUAL = 8, 15
 PAIR_LEAST = 3
 DIMENSIONS, WINDOW, EPOCHS = 24, 3, 6
-#: Words that get a vector: the most usual ones.
-VOCABULARY = 30_000
-#: Pairs, each in both directions, that the vectors are trained on: the most usual ones.
-TRAINING_PAIRS = 2_000_000
+#: Words and pairs, each in both directions, that one task trains at once; more are cut into blocks.
+BLOCK_WORDS, BLOCK_PAIRS = 30_000, 2_000_000
 #: Words up to which a table goes to every executor.
 BROADCAST_WORDS = 500_000
 #: Tokens that a worker remembers as needing nothing.
@@ -249,6 +249,16 @@ class Lexicon:
             return True
         return not low.isalpha() and bool(_INSIDE.fullmatch(part))
 
+    def asked(self, text: str) -> set[str]:
+        """The words whose vectors decide on the suspect forms of a text."""
+        tokens = [t.strip(_EDGE).lower() for t in _TOKEN.findall(text)]
+        words: set[str] = set()
+        for i, core in enumerate(tokens):
+            for part in {*_JOINTS.split(core), *_JOINTS.split(core.rstrip("!"))}:
+                if part in self.suspects:
+                    words |= {part, *(w for w, _ in self.suspects[part][1]), *tokens[max(0, i - WINDOW) : i + 1 + WINDOW]}
+        return words
+
     def fit(self, word: str, around: list[str]) -> float | None:
         """How well a word goes with those around it; None if nothing is known."""
         near = [self.index[w] for w in around if w in self.index]
@@ -303,26 +313,31 @@ def start_vectors(size: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     return (np.random.default_rng(seed).random((size, DIMENSIONS)) - 0.5) / DIMENSIONS, np.zeros((size, DIMENSIONS))
 
 
+def train_epoch(a: np.ndarray, b: np.ndarray, weight: np.ndarray, inner: np.ndarray, outer: np.ndarray, chance: np.ndarray, epoch: int, rng: np.random.Generator) -> None:
+    """One pass of skip-gram with negative sampling over weighted pairs, in place."""
+    order = rng.permutation(len(a))
+    rate = 0.2 * (1 - epoch / EPOCHS)
+    for at in range(0, len(order), 4096):
+        k = order[at : at + 4096]
+        x, w = inner[a[k]], weight[k][:, None]
+        grad = np.zeros_like(x)
+        drawn = np.minimum(np.searchsorted(chance, rng.random((2, len(k)))), len(chance) - 1)
+        for target, label in ((b[k], 1.0), (drawn[0], 0.0), (drawn[1], 0.0)):
+            y = outer[target]
+            g = rate * w * (label - 1 / (1 + np.exp(-np.clip((x * y).sum(axis=1, keepdims=True), -30, 30))))
+            grad += g * y
+            np.add.at(outer, target, np.clip(g * x, -0.5, 0.5))
+        np.add.at(inner, a[k], np.clip(grad, -0.5, 0.5))
+
+
 def train_vectors(pairs: pd.DataFrame, inner: np.ndarray, outer: np.ndarray, share: np.ndarray, seed: int = 8) -> None:
-    """Skip-gram with negative sampling over (a, b, n) pair counts, in place."""
+    """All epochs over (a, b, n) pair counts, in place."""
     rng = np.random.default_rng(seed)
     a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
     weight = np.log1p(pairs["n"].to_numpy(dtype=float))
     chance = np.cumsum(share)
     for epoch in range(EPOCHS):
-        order = rng.permutation(len(a))
-        rate = 0.2 * (1 - epoch / EPOCHS)
-        for at in range(0, len(order), 4096):
-            k = order[at : at + 4096]
-            x, w = inner[a[k]], weight[k][:, None]
-            grad = np.zeros_like(x)
-            drawn = np.minimum(np.searchsorted(chance, rng.random((2, len(k)))), len(share) - 1)
-            for target, label in ((b[k], 1.0), (drawn[0], 0.0), (drawn[1], 0.0)):
-                y = outer[target]
-                g = rate * w * (label - 1 / (1 + np.exp(-np.clip((x * y).sum(axis=1, keepdims=True), -30, 30))))
-                grad += g * y
-                np.add.at(outer, target, np.clip(g * x, -0.5, 0.5))
-            np.add.at(inner, a[k], np.clip(grad, -0.5, 0.5))
+        train_epoch(a, b, weight, inner, outer, chance, epoch, rng)
 
 
 # ---- over the corpus -------------------------------------------------------
@@ -454,55 +469,189 @@ def suspects_of(counted: DataFrame) -> DataFrame:
     return met.groupBy("form").agg(F.max("n").alias("n"), F.array_sort(F.collect_set(F.struct("word", "many"))).alias("options"))
 
 
-def learn_vectors(marked: DataFrame, counted: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Skip-gram vectors of the VOCABULARY most usual words, from the pairs of the whole corpus, and how well each word fits any surroundings.
+def _frequent(counted: DataFrame) -> DataFrame:
+    return counted.where((F.col("n") >= FREQUENT_LEAST) & F.col("word").rlike(r"^[\p{L}'’]+$"))
 
-    Every pair of the corpus is counted. One executor trains, on the most usual
-    pairs, at most TRAINING_PAIRS of them, a bound that documents the model's size.
-    """
-    spark = marked.sparkSession
-    usual = counted.where((F.col("n") >= FREQUENT_LEAST) & F.col("word").rlike(r"^[\p{L}'’]+$")).orderBy(F.desc("n"), "word").limit(VOCABULARY)
-    words = sorted(r["word"] for r in usual.select("word").toLocalIterator())
-    size = len(words)
-    inner, outer = start_vectors(size)
-    if not size:
-        return words, inner, outer, np.zeros(0)
-    shared = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
 
-    def pairs_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number, held, many = shared.value, [], 0
+def _pair_counts(number: dict[str, int] | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Counts of pairs of words at most WINDOW apart: of numbered words by their numbers; without numbers, of all words as they are."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[int] = []
         gap = [-1] * WINDOW
+        met: dict[str, int] = {}
 
         def counts() -> pd.DataFrame:
             ids = np.array(held, dtype=np.int64)
+            size = int(ids.max(initial=0)) + 1
             keys = []
             for d in range(1, WINDOW + 1):
                 a, b = ids[:-d], ids[d:]
                 ok = (a >= 0) & (b >= 0)
                 keys.append(np.minimum(a, b)[ok] * size + np.maximum(a, b)[ok])
             key, n = np.unique(np.concatenate(keys), return_counts=True)
-            return pd.DataFrame({"a": key // size, "b": key % size, "n": n})
+            a, b = key // size, key % size
+            if number is None:
+                words = np.array(list(met), dtype=object)
+                a, b = words[a], words[b]
+            return pd.DataFrame({"a": a, "b": b, "n": n})
 
-        get = number.get
         for batch in batches:
             for text in batch["plain"]:
-                held += [get(w, -1) for w in _WORD.findall(text.replace(CUT_MARK, "").lower())]
+                words = _WORD.findall(text.replace(CUT_MARK, "").lower())
+                held += [met.setdefault(w, len(met)) for w in words] if number is None else [number.get(w, -1) for w in words]
                 held += gap
             if len(held) > 1_000_000:
                 yield counts()
-                held = []
+                held, met = [], {}
         if len(held) > WINDOW:
             yield counts()
 
-    pairs = marked.select("plain").mapInPandas(pairs_of, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= PAIR_LEAST)
+    return run
+
+
+def _numbered(words: DataFrame) -> DataFrame:
+    """word and at, its place in the order of all words, counted range by range."""
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = cut(words.select("word").repartitionByRange(partitions_for(words), "word").sortWithinPartitions("word").select("word", F.spark_partition_id().alias("part"), row.alias("row")))
+    before, total = [], 0
+    for r in ranged.groupBy("part").count().orderBy("part").collect():
+        before.append((r["part"], total))
+        total += r["count"]
+    return cut(ranged.join(F.broadcast(words.sparkSession.createDataFrame(before, "part int, before long")), "part").select("word", (F.col("row") + F.col("before")).alias("at")))
+
+
+def _joined_pairs(marked: DataFrame, numbers: DataFrame) -> DataFrame:
+    """a, b, n of pairs of numbered words, for more words than every executor can hold."""
+    pairs = marked.select("plain").mapInPandas(_pair_counts(None), "a string, b string, n long").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("n").alias("n")).where(F.col("n") >= PAIR_LEAST)
+    for side, other in (("a", "b"), ("b", "a")):
+        pairs = cut(pairs)
+        known = numbers.select(F.col("word").alias(side), F.col("at").alias("at_" + side))
+        pairs = spread_join(pairs, known, [side], "inner", hot_keys(pairs, side), (other,))
+    return pairs.select(F.col("at_a").alias("a"), F.col("at_b").alias("b"), "n")
+
+
+def _blocks_for(both: DataFrame, size: int) -> int:
+    """Into how many blocks the words are cut so that no cell, the pairs of one block with another, has more than BLOCK_PAIRS; they are counted."""
+    blocks = max(1, -(-size // BLOCK_WORDS), int(np.ceil(np.sqrt(both.count() / BLOCK_PAIRS))))
+    while blocks < size and (both.groupBy(F.col("a") % blocks, F.col("b") % blocks).count().agg(F.max("count")).first()[0] or 0) > BLOCK_PAIRS:
+        blocks = min(size, blocks + max(1, blocks // 2))
+    return blocks
+
+
+HELD = "side int, block long, data binary"
+
+
+def _matrix(data: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(data, np.float32).reshape(-1, width).astype(np.float64)
+
+
+def _bytes(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values, dtype=np.float32).tobytes()
+
+
+def _unit(values: np.ndarray) -> np.ndarray:
+    return values / np.maximum(np.linalg.norm(values, axis=1, keepdims=True), 1e-9)
+
+
+def train_in_blocks(both: DataFrame, size: int, blocks: int) -> DataFrame:
+    """The trained vectors of all words in rows of one block each: side 0 inner, side 1 outer with the words' share as last column.
+
+    Word ``w`` is row ``w div blocks`` of block ``w mod blocks``. In each round
+    every task takes one block of inner and another of outer vectors and the
+    pairs between them, so no two tasks touch the same vectors; an epoch is a
+    round for each distance between the blocks, and covers every pair.
+    """
+    words = both.sparkSession.range(size).withColumnRenamed("id", "b").join(both.groupBy("b").agg(F.sum("n").alias("n")), "b", "left").withColumn("block", F.col("b") % blocks)
+
+    def start(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = start_vectors(len(rows), seed=[7, int(key[0])])
+        share = 1e-9 + rows.sort_values("b")["n"].fillna(0).to_numpy(dtype=float) ** 0.75
+        return pd.DataFrame({"side": [0, 1], "block": key[0], "data": [_bytes(x), _bytes(np.column_stack((y, share)))]})
+
+    held = cut(words.groupBy("block").applyInPandas(start, HELD))
+    cells = both.select((F.col("a") % blocks).alias("cell"), F.pmod(F.col("b") - F.col("a"), F.lit(blocks)).alias("round"), F.expr(f"a div {blocks}").alias("a"), F.expr(f"b div {blocks}").alias("b"), "n")
+    rounds = [cut(cells.where(F.col("round") == r).drop("round")) for r in range(blocks)]
+
+    def trainer(epoch: int, distance: int) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+        def run(key: tuple, pairs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("side").reset_index(drop=True)
+            if len(pairs):
+                pairs = pairs.sort_values(["a", "b"])
+                x, y = _matrix(rows["data"][0], DIMENSIONS), _matrix(rows["data"][1], DIMENSIONS + 1)
+                outer, share = y[:, :-1].copy(), y[:, -1]
+                rng = np.random.default_rng([8, epoch, distance, int(key[0])])
+                train_epoch(pairs["a"].to_numpy(), pairs["b"].to_numpy(), np.log1p(pairs["n"].to_numpy(dtype=float)), x, outer, np.cumsum(share / share.sum()), epoch, rng)
+                rows["data"] = [_bytes(x), _bytes(np.column_stack((outer, share)))]
+            return rows[["side", "block", "data"]]
+
+        return run
+
+    for epoch in range(EPOCHS):
+        for distance, pairs in enumerate(rounds):
+            cell = F.when(F.col("side") == 0, F.col("block")).otherwise(F.pmod(F.col("block") - distance, F.lit(blocks)))
+            held = cut(pairs.groupBy("cell").cogroup(held.withColumn("cell", cell).groupBy("cell")).applyInPandas(trainer(epoch, distance), HELD))
+    return held
+
+
+def _mean_outer(held: DataFrame) -> np.ndarray:
+    """The mean of all outer vectors by share; one row a block comes here."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for data in batch["data"]:
+                y = _matrix(data, DIMENSIONS + 1)
+                yield pd.DataFrame({"total": [(y[:, -1] @ _unit(y[:, :-1])).tolist()], "share": [y[:, -1].sum()]})
+
+    rows = held.where("side = 1").mapInPandas(run, "total array<double>, share double").collect()
+    return np.sum([r["total"] for r in rows], axis=0) / sum(r["share"] for r in rows)
+
+
+def _vector_table(held: DataFrame, numbers: DataFrame, blocks: int) -> DataFrame:
+    """word, inner, outer, usual: one row a word."""
+    mean = _mean_outer(held)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for side, block, data in zip(batch["side"], batch["block"], batch["data"]):
+                v = _unit(_matrix(data, DIMENSIONS + side)[:, :DIMENSIONS])
+                yield pd.DataFrame({"at": np.arange(len(v)) * blocks + block, "side": side, "v": [_bytes(x) for x in v], "usual": v @ mean})
+
+    each = held.mapInPandas(run, "at long, side int, v binary, usual double")
+    one = lambda side, name: F.max(F.when(F.col("side") == side, F.col(name)))
+    return cut(numbers.join(each.groupBy("at").agg(one(0, "v").alias("inner"), one(1, "v").alias("outer"), one(0, "usual").alias("usual")), "at").drop("at"))
+
+
+def learn_vectors(marked: DataFrame, counted: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray] | DataFrame:
+    """Skip-gram vectors of all frequent words, from all pairs of the corpus, and how well each word fits any surroundings.
+
+    Up to BLOCK_WORDS words and BLOCK_PAIRS pairs one task trains; more are
+    trained in blocks. Up to BROADCAST_WORDS words the model is given whole,
+    with more as a table with a row a word.
+    """
+    spark = marked.sparkSession
+    usual = _frequent(counted)
+    size = usual.count()
+    few = size <= max(BROADCAST_WORDS, BLOCK_WORDS)
+    words = sorted(r["word"] for r in usual.select("word").toLocalIterator()) if few else []
+    inner, outer = start_vectors(size if few else 0)
+    if not size:
+        return words, inner, outer, np.zeros(0)
+    if few:
+        shared = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+        pairs = marked.select("plain").mapInPandas(lambda batches: _pair_counts(shared.value)(batches), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= PAIR_LEAST)
+    else:
+        numbers = _numbered(usual)
+        pairs = cut(_joined_pairs(marked, numbers))
     both = cut(pairs.unionByName(pairs.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "n")))
-    # The count from which the most usual pairs are no more than one task trains on; a table of counts is short.
-    least, many = PAIR_LEAST, 0
-    for row in both.groupBy("n").agg(F.count("*").alias("pairs")).orderBy(F.desc("n")).toLocalIterator():
-        many += row["pairs"]
-        if many > TRAINING_PAIRS:
-            least = row["n"] + 1
-            break
+    blocks = _blocks_for(both, size)
+    if blocks > 1 or not few:
+        held = train_in_blocks(both, size, blocks)
+        if not few:
+            return _vector_table(held, numbers, blocks)
+        for r in held.toLocalIterator():
+            (outer if r["side"] else inner)[r["block"] :: blocks] = _unit(_matrix(r["data"], DIMENSIONS + r["side"])[:, :DIMENSIONS])
+        return words, inner.astype(np.float32), outer.astype(np.float32), inner @ _mean_outer(held)
     weights = both.groupBy("b").agg(F.sum("n").alias("n")).toPandas()
     share = np.full(size, 1e-9)
     share[weights["b"].to_numpy()] += weights["n"].to_numpy(dtype=float) ** 0.75
@@ -517,12 +666,11 @@ def learn_vectors(marked: DataFrame, counted: DataFrame) -> tuple[list[str], np.
             train_vectors(rows, x, y, share)
             yield pd.DataFrame(np.concatenate((x, y), axis=1), columns=columns).assign(word=np.arange(size))
 
-    trained = both.where(F.col("n") >= least).repartition(1).sortWithinPartitions("a", "b").mapInPandas(train, ", ".join(f"{c} float" for c in columns) + ", word long").toPandas()
+    trained = both.repartition(1).sortWithinPartitions("a", "b").mapInPandas(train, ", ".join(f"{c} float" for c in columns) + ", word long").toPandas()
     if len(trained):
         values = trained.sort_values("word")[columns].to_numpy(np.float64)
         inner, outer = values[:, :DIMENSIONS], values[:, DIMENSIONS:]
-    for m in (inner, outer):
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+    inner, outer = _unit(inner), _unit(outer)
     return words, inner.astype(np.float32), outer.astype(np.float32), inner @ (share @ outer)
 
 
@@ -549,27 +697,61 @@ def repair(nodes: DataFrame) -> DataFrame:
     compounds = counted.where((F.col("n") >= FREQUENT_LEAST) & F.col("word").contains("-") & ~F.col("word").rlike(r"[^\p{L}\-]")).select(F.col("word").alias("form"))
     model = learn_vectors(marked, counted)
     context = nodes.sparkSession.sparkContext
-    if suspects.unionByName(compounds.select("form", F.lit(0).cast("long").alias("n"), F.array().cast(suspects.schema["options"].dataType).alias("options"))).limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
+    given = isinstance(model, DataFrame)
+    if not given and suspects.unionByName(compounds.select("form", F.lit(0).cast("long").alias("n"), F.array().cast(suspects.schema["options"].dataType).alias("options"))).limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
         held = {r["form"]: (r["n"], tuple((o["word"], o["many"]) for o in r["options"])) for r in suspects.toLocalIterator()}
         shared = context.broadcast(Lexicon(held, {r["form"] for r in compounds.toLocalIterator()}, *model))
         return marked.mapInPandas(lambda batches: _repair(batches, shared.value), REPAIRED)
-    # Too many for every executor: each text gets those of its own forms.
-    shared = context.broadcast(model)
+    # Too many for every executor: each text gets those of its own forms, and the vectors that they need.
     asked = marked.select("id", "plain").mapInPandas(_forms, "id string, form string")
     known = suspects.unionByName(compounds.select("form", F.lit(-1).cast("long").alias("n"), F.array().cast(suspects.schema["options"].dataType).alias("options")))
     own = asked.join(known, "form").groupBy("id").agg(F.collect_list(F.struct("form", "n", "options")).alias("own"))
+    if given:
+        own = cut(own)
+        words = cut(marked.join(own, "id").mapInPandas(_asked_words, "id string, word string"))
+        near = spread_join(words, model, ["word"], "inner", hot_keys(words, "word"), ("id",)).groupBy("id").agg(F.collect_list(F.struct("word", "inner", "outer", "usual")).alias("near"))
+        return marked.join(own, "id", "left").join(near, "id", "left").mapInPandas(lambda batches: _repair_each(batches, None), REPAIRED)
+    shared = context.broadcast(model)
     return marked.join(own, "id", "left").mapInPandas(lambda batches: _repair_each(batches, shared.value), REPAIRED)
 
 
-def _repair_each(batches: Iterator[pd.DataFrame], model: tuple) -> Iterator[pd.DataFrame]:
-    lexicon = Lexicon({}, set(), *model)
+def _take_own(lexicon: Lexicon, own: Iterable | None) -> None:
+    own = own if own is not None else ()
+    lexicon.calm = set()
+    lexicon.suspects = {x["form"]: (x["n"], tuple((o["word"], o["many"]) for o in x["options"])) for x in own if x["n"] >= 0}
+    lexicon.compounds = {x["form"] for x in own if x["n"] < 0}
+
+
+def _take_near(lexicon: Lexicon, near: Iterable | None) -> None:
+    near = near if near is not None else ()
+    lexicon.index = {x["word"]: i for i, x in enumerate(near)}
+    lexicon.inner, lexicon.outer = (np.frombuffer(b"".join(x[side] for x in near), np.float32).reshape(-1, DIMENSIONS) for side in ("inner", "outer"))
+    lexicon.usual = np.array([x["usual"] for x in near])
+
+
+def _empty() -> Lexicon:
+    return Lexicon({}, set(), [], np.zeros((0, DIMENSIONS)), np.zeros((0, DIMENSIONS)))
+
+
+def _asked_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """id and each word whose vector a node's text needs."""
+    lexicon = _empty()
+    for batch in batches:
+        rows = []
+        for node, plain, own in zip(batch["id"], batch["plain"], batch["own"]):
+            _take_own(lexicon, own)
+            rows += [(node, w) for w in lexicon.asked(lexicon.whole(plain)[0])]
+        yield pd.DataFrame(rows, columns=["id", "word"])
+
+
+def _repair_each(batches: Iterator[pd.DataFrame], model: tuple | None) -> Iterator[pd.DataFrame]:
+    lexicon = Lexicon({}, set(), *model) if model else _empty()
     for batch in batches:
         rows = []
         for i, own in enumerate(batch["own"]):
-            own = own if own is not None else ()
-            lexicon.calm = set()
-            lexicon.suspects = {x["form"]: (x["n"], tuple((o["word"], o["many"]) for o in x["options"])) for x in own if x["n"] >= 0}
-            lexicon.compounds = {x["form"] for x in own if x["n"] < 0}
+            _take_own(lexicon, own)
+            if model is None:
+                _take_near(lexicon, batch["near"].iloc[i])
             rows += list(_repair(iter([batch.iloc[i : i + 1]]), lexicon))
         if rows:
             yield pd.concat(rows, ignore_index=True)

@@ -52,6 +52,55 @@ def test_large_tables_give_the_same(spark, monkeypatch):
     assert rows() == small
 
 
+def bounded(monkeypatch, **bounds):
+    for name, value in bounds.items():
+        monkeypatch.setattr(scans, name, value, raising=False)
+
+
+def test_every_word_and_pair_is_trained(spark, monkeypatch):
+    """More words and pairs than one task trains are trained in blocks; none is left out, in a model given whole or as a table."""
+    marked = spark.createDataFrame([(f"{a} {b} {c}",) for k in range(40) for a, b, c in (("sea", "ship", "sail"), ("ship", "sail", "sea"), ("oven", "bread", "flour"), ("bread", "flour", "oven"))] + [("sail again " * 9,)], "plain string")
+    counted = spark.createDataFrame([(w, 80) for w in ("sea", "ship", "sail", "oven", "bread", "flour")] + [("again", 9), ("rare", 2)], "word string, n long")
+    bounded(monkeypatch, VOCABULARY=3, BLOCK_WORDS=3, TRAINING_PAIRS=8, BLOCK_PAIRS=8)
+    words, inner, outer, usual = scans.learn_vectors(marked, counted)
+    assert words == ["again", "bread", "flour", "oven", "sail", "sea", "ship"] and len(inner) == len(outer) == len(usual) == 7
+    assert abs((inner**2).sum(axis=1) - 1).max() < 1e-3 and abs((outer**2).sum(axis=1) - 1).max() < 1e-3
+    bounded(monkeypatch, BROADCAST_WORDS=0)
+    rows = {r.word: r for r in scans.learn_vectors(marked, counted).collect()}
+    assert sorted(rows) == words
+    for i, w in enumerate(words):
+        assert rows[w].inner == inner[i].tobytes() and rows[w].outer == outer[i].tobytes() and abs(rows[w].usual - usual[i]) < 1e-6
+
+
+def test_blocks_learn_what_one_task_learns(spark):
+    """Words of one topic fit each other and not those of another, in whatever blocks they lie."""
+    import numpy as np
+    import pandas as pd
+
+    topic = np.arange(1000) // 100
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(1000), np.arange(1000)))
+    kept = topic[a] == topic[b]
+    pairs = pd.DataFrame({"a": a[kept], "b": b[kept], "n": 20})
+    inner, outer = scans.start_vectors(1000)
+    scans.train_vectors(pairs, inner, outer, np.full(1000, 1 / 1000))
+    x, y = np.zeros((1000, scans.DIMENSIONS)), np.zeros((1000, scans.DIMENSIONS))
+    for r in scans.train_in_blocks(spark.createDataFrame(pairs), 1000, 3).collect():
+        (y if r.side else x)[r.block :: 3] = scans._matrix(r.data, scans.DIMENSIONS + r.side)[:, : scans.DIMENSIONS]
+    for own, other in ((inner, outer), (x, y)):
+        fit = scans._unit(own) @ scans._unit(other).T
+        assert fit[a[kept], b[kept]].mean() > fit[a[~kept], b[~kept]].mean() + 0.3
+
+
+def test_models_in_blocks_and_tables_give_the_same(spark, monkeypatch):
+    nodes = spark.createDataFrame(corpus(), NODES)
+    rows = lambda: {(r.id, tuple(sorted(r.kinds)), r.text) for r in scans.repair(nodes).collect()}
+    small = rows()
+    bounded(monkeypatch, BLOCK_WORDS=12)
+    assert rows() == small
+    bounded(monkeypatch, BROADCAST_WORDS=0)
+    assert rows() == small
+
+
 def test_rule_is_the_same_at_every_size(spark):
     """A form is suspect by its share of the word's count, however often both occur."""
     for times in (1, 50):
