@@ -98,8 +98,7 @@ def proposition_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twelve sentences that answer each question best by terms."""
     props = _sentences(spark, sf_dir).select(F.concat_ws(":", "doc_id", "pos").alias("prop"), F.col("sentence").alias("text"))
     asked = _cases(spark, sf_dir).where("question IS NOT NULL").select(F.col("item_id").alias("query_id"), F.col("question").alias("query"))
-    scored = lexical.bm25(props, asked, key="prop").withColumn("score", F.round("score", 6))
-    return lexical.top(scored, 12, "query_id", [F.desc("score"), F.col("prop")])
+    return lexical.bm25_top(props, asked, 12, key="prop")
 
 
 def summary_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
